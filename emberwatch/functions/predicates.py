@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, functions as F
 
+from emberwatch.functions.literals import FOLDED_FROM, FOLDED_TO, required_literals
 from emberwatch.model import PROMOTED
 
 # Java flags giving the usual case-insensitive, Unicode-aware, line-based search.
@@ -65,14 +66,64 @@ def pred_not(test: Column) -> Column:
     return ~F.coalesce(test, F.lit(False))
 
 
-def field_test(spec: str, expected: Any) -> Column:
-    """`field|operator[|not]` against one value or a list of alternatives."""
+# -- the same tests as SQL text ------------------------------------------------
+# A rule set has thousands of expression nodes. Built one call at a time they take
+# seconds to cross into the JVM; as text they are parsed there in one go.
+
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def field_ref(name: str, lowered: dict[str, str] | None = None) -> str:
+    """Column reference of a rule field; `lowered` names columns holding its lower-case text."""
+    if lowered is not None and name in lowered:
+        return lowered[name]
+    ref = f"`{name}`" if name in PROMOTED else f"raw[{sql_text(name)}]"
+    ref = f"string({ref})" if name in ("event_id", "process_id", "timestamp") else ref
+    return ref if lowered is None else f"lower({ref})"
+
+
+def folded_ref(name: str) -> str:
+    """Lower-case text of a field with the letters that caseless matching equates made plain."""
+    text = field_ref(name)
+    odd = " OR ".join(f"contains({text}, '{ch}')" for ch in FOLDED_FROM)
+    return f"IF({odd}, lower(translate({text}, '{FOLDED_FROM}', '{FOLDED_TO}')), lower({text}))"
+
+
+def _regex_sql(name: str, pattern: str, folded: dict[str, str]) -> str:
+    test = f"{field_ref(name)} RLIKE {sql_text(REGEX_FLAGS + pattern)}"
+    needed = required_literals(pattern) if name in folded else []
+    gate = " OR ".join(f"contains({folded[name]}, {sql_text(text)})" for text in needed)
+    return f"(({gate}) AND {test})" if gate else test
+
+
+def field_sql(
+    spec: str, expected: Any, lowered: dict[str, str] | None = None, folded: dict[str, str] | None = None
+) -> str:
+    """`field|operator[|not]` against one value or a list of alternatives, as a boolean SQL expression.
+
+    `lowered` and `folded` name columns that hold a field's lower-case text; with
+    `folded`, an expression runs only where a text it needs occurs.
+    """
     name, *modifiers = spec.split("|")
     operators = [m for m in modifiers if m != "not"]
-    if len(operators) > 1 or any(op not in PREDICATES for op in operators):
+    operator = operators[0] if operators else "equals"
+    if len(operators) > 1 or operator not in PREDICATES:
         raise ValueError(f"unknown operator in {spec!r}")
-    test = PREDICATES[operators[0] if operators else "equals"](resolve_field(name), expected)
-    return pred_not(test) if "not" in modifiers else F.coalesce(test, F.lit(False))
+    values = as_values(expected)
+    text = field_ref(name, lowered or {})
+    if operator == "equals":
+        test = f"{text} IN ({', '.join(sql_text(v.lower()) for v in values)})"
+    elif operator == "re":
+        test = " OR ".join(_regex_sql(name, v, folded or {}) for v in values)
+    else:
+        test = " OR ".join(f"{operator}({text}, {sql_text(v.lower())})" for v in values)
+    test = f"coalesce({test}, false)" if values else "false"
+    return f"NOT {test}" if "not" in modifiers else test
+
+
+def field_test(spec: str, expected: Any) -> Column:
+    return F.expr(field_sql(spec, expected))
 
 
 # -- wildcards ---------------------------------------------------------------

@@ -29,7 +29,7 @@ def connections(events: DataFrame, excluded: tuple[str, ...] = EXCLUDED_IMAGES)
 
 def channel_intervals(conns: DataFrame, keys: list[str] = CHANNEL) -> DataFrame:
     """Add `interval_s`, the seconds since the channel's previous connection."""
-    return previous_time(conns, keys, "us", "seq").withColumn(
+    return previous_time(conns, keys, "us", ["seq"]).withColumn(
         "interval_s", (F.col("us") - F.col("previous_us")) / SECOND
     ).drop("previous_us")
 

@@ -130,7 +130,7 @@ def running_last_seen(members: DataFrame) -> DataFrame:
 
 def timeline_gaps(members: DataFrame) -> DataFrame:
     """Add `gap_s`, the seconds since the incident's previous detection."""
-    return previous_time(members, ["incident_id"], "us", "seq").withColumn(
+    return previous_time(members, ["incident_id"], "us", ["seq", "source", "rule_id"]).withColumn(
         "gap_s", (F.col("us") - F.col("previous_us")) / SECOND
     ).drop("previous_us")
 

@@ -11,11 +11,14 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from emberwatch.functions.predicates import all_of, any_of, field_test
+from emberwatch.functions.predicates import field_ref, field_sql, folded_ref, sql_text
 from emberwatch.model import DETECTION_COLUMNS, SEVERITIES, epoch_us
 from emberwatch.rules.catalogue import RULES
 
 
+SEPARATOR = "\x1f"
+
+
 @dataclass(frozen=True)
 class Rule:
     id: str
@@ -41,10 +44,13 @@ class Rule:
             enabled=bool(data.get("enabled", True)),
         )
 
+    def test_sql(self, lowered: dict[str, str] | None = None, folded: dict[str, str] | None = None) -> str:
+        """Field tests only; `condition` other than `all` means any, and no test at all never holds."""
+        glue = " AND " if self.condition == "all" else " OR "
+        return glue.join(field_sql(spec, value, lowered, folded) for spec, value in self.detection.items()) or "false"
+
     def test(self) -> Column:
-        """Field tests only; `condition` other than `all` means any."""
-        tests = [field_test(spec, expected) for spec, expected in self.detection.items()]
-        return all_of(tests) if self.condition == "all" else any_of(tests)
+        return F.expr(self.test_sql())
 
 
 def shipped_rules() -> list[Rule]:
@@ -87,33 +93,71 @@ RULE_SCHEMA = T.StructType([
 
 
 def rules_frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
-    """Rule metadata as a local relation; its size is known, so the planner decides on broadcasting."""
-    return spark.createDataFrame(
-        [(r.id, r.event_id, r.title, r.severity, list(r.attack)) for r in rules], RULE_SCHEMA
-    )
+    """Rule metadata as literal rows, whose size the planner knows when it weighs a broadcast."""
+    rows = [
+        f"({sql_text(r.id)}, {r.event_id}, {sql_text(r.title)}, {sql_text(r.severity)}, "
+        f"CAST(array({', '.join(sql_text(t) for t in r.attack)}) AS array<string>))"
+        for r in rules
+    ]
+    if not rows:
+        return spark.createDataFrame([], RULE_SCHEMA)
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS r(rule_id, event_id, title, severity, attack)")
+
 
+def _text_columns(rules: list[Rule]) -> tuple[dict[str, str], dict[str, str], dict[str, Column]]:
+    """Helper columns: lower-case text per field compared, folded text per field searched, and their definitions.
 
-def matching_rule_ids(rules: Iterable[Rule]) -> Column:
-    """Array of the ids of all rules an event fires, evaluated only for the event's own code."""
+    Each is filled only for the event codes whose rules read the field.
+    """
+    codes: dict[tuple[str, str], set[int]] = defaultdict(set)
+    for rule in rules:
+        for spec in rule.detection:
+            name, *modifiers = spec.split("|")
+            codes["re" if "re" in modifiers else "text", name].add(rule.event_id)
+    names = {"text": {}, "re": {}}
+    definitions = {}
+    for i, ((kind, name), used) in enumerate(sorted(codes.items())):
+        column = names[kind][name] = f"_{kind}_{i}"
+        text = folded_ref(name) if kind == "re" else f"lower({field_ref(name)})"
+        definitions[column] = F.expr(f"IF(event_id IN ({', '.join(map(str, sorted(used)))}), {text}, NULL)")
+    return names["text"], names["re"], definitions
+
+
+def matching_rule_ids(
+    rules: Iterable[Rule], lowered: dict[str, str] | None = None, folded: dict[str, str] | None = None
+) -> Column:
+    """Ids of all rules an event fires, joined by `SEPARATOR`; only its own code's rules are evaluated.
+
+    Two choices keep the tests in compiled code. The ids are joined as text, for
+    skipping nulls in an array is a higher-order function and those interpret what
+    is inside them. And the first code is tested by such a function on purpose: an
+    operator that has one compiles its expressions into many small methods, where
+    fusing a hundred rules into the stage's one method would pass the JVM's limit.
+    """
     by_code: dict[int, list[Rule]] = defaultdict(list)
     for rule in rules:
         if rule.enabled and rule.detection:
             by_code[rule.event_id].append(rule)
-    out = None
-    for code, group in sorted(by_code.items()):
-        fired = F.array_compact(F.array(*[F.when(r.test(), F.lit(r.id)) for r in group]))
-        is_code = F.col("event_id") == code
-        out = F.when(is_code, fired) if out is None else out.when(is_code, fired)
-    return F.array().cast("array<string>") if out is None else out
+    branches = [
+        f"WHEN {f'exists(array(event_id), c -> c = {code})' if i == 0 else f'event_id = {code}'} THEN concat_ws('{SEPARATOR}', "
+        + ", ".join(f"IF({r.test_sql(lowered, folded)}, {sql_text(r.id)}, NULL)" for r in group) + ")"
+        for i, (code, group) in enumerate(sorted(by_code.items()))
+    ]
+    return F.expr("CASE " + " ".join(branches) + " ELSE '' END") if branches else F.lit("")
 
 
 def match_rules(events: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     """One detection per (event, firing rule). A single pass: no shuffle but the small metadata join."""
     rules = [r for r in rules if r.enabled]
     codes = sorted({r.event_id for r in rules})
+    # Lower-case texts are computed once per event, not once per rule.
+    lowered, folded, texts = _text_columns(rules)
     fired = (
         events.filter(F.col("event_id").isin(*codes) if codes else F.lit(False))
-        .withColumn("rule_id", F.explode(matching_rule_ids(rules)))
+        .withColumns(texts)
+        .withColumn("_fired", matching_rule_ids(rules, lowered, folded))
+        .withColumn("rule_id", F.explode(F.split("_fired", SEPARATOR)))
+        .filter(F.col("rule_id") != "")
     )
     meta = rules_frame(events.sparkSession, rules).drop("event_id")
     return (

@@ -42,16 +42,16 @@ def gap_sessions(df: DataFrame, keys: list[str], us: str, gap_us: int, out: str
 
 
 def previous_time(
-    df: DataFrame, keys: list[str], us: str, seq: str, out: str = "previous_us", cell_us: int = HOUR_US
+    df: DataFrame, keys: list[str], us: str, order: list[str], out: str = "previous_us", cell_us: int = HOUR_US
 ) -> DataFrame:
-    """Add the time of the preceding row of the same key, in (us, seq) order."""
+    """Add the time of the preceding row of the same key, in (us, *order) order."""
     celled = df.withColumn("_cell", _cell(us, cell_us))
     by_key = Window.partitionBy(*keys).orderBy("_cell")
     before = (
         celled.groupBy(*keys, "_cell").agg(F.max(us).alias("_hi"))
         .select(*keys, "_cell", F.lag("_hi").over(by_key).alias("_before"))
     )
-    inside = F.lag(us).over(Window.partitionBy(*keys, "_cell").orderBy(us, seq))
+    inside = F.lag(us).over(Window.partitionBy(*keys, "_cell").orderBy(us, *order))
     return (
         celled.withColumn("_inside", inside)
         .join(before, [*keys, "_cell"])
@@ -134,6 +134,12 @@ def active_breadth(
     )
 
 
+def sample_first_n(df: DataFrame, keys: list[str], value: str, n: int, out: str = "sample") -> DataFrame:
+    """The `n` smallest values per key as a sorted array; ranks are cut before the shuffle."""
+    ranked = df.select(*keys, value, F.row_number().over(Window.partitionBy(*keys).orderBy(value)).alias("_n"))
+    return ranked.filter(F.col("_n") <= n).groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias(out))
+
+
 # -- cooldown ------------------------------------------------------------------
 
 def _fold_kept(cooldown_us: int) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from emberwatch.operators import detectors, incidents, matching, tree
 from emberwatch.operators.matching import Rule
+from emberwatch.session import checkpointed
 
 
 class Detection:
@@ -25,7 +26,8 @@ class Detection:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return tree.process_nodes(self.events)
+        # Written once: the forest and every attribute lookup read nodes, not events again.
+        return checkpointed(tree.process_nodes(self.events))
 
     @cached_property
     def paths(self) -> DataFrame:
@@ -48,7 +50,8 @@ class Detection:
             frames.append(detectors.discovery_burst(self.events, self.roots, **self.settings["discovery"]))
         if "scan" in self.settings:
             frames.append(detectors.scan_detect(self.events, **self.settings["scan"]))
-        return matching.all_detections(*frames)
+        # Written once: the rules scan every event, what follows reads the few that fired.
+        return checkpointed(matching.all_detections(*frames))
 
     @cached_property
     def members(self) -> DataFrame:

@@ -218,15 +218,18 @@ CTES = {
 }
 
 
-def sql(body: str) -> str:
-    """`body` with the building blocks it names, directly or through another, in front."""
-    names = list(CTES)
+def sql(body: str, **extra: str) -> str:
+    """`body` with the building blocks it names, directly or through another, in front.
+
+    `extra` adds blocks for this query alone; they may name shared ones.
+    """
+    blocks = {**CTES, **extra}
     need, todo = set(), [body]
     while todo:
         text = todo.pop()
-        for name in names:
+        for name in blocks:
             if name not in need and re.search(rf"\b{name}\b", text):
                 need.add(name)
-                todo.append(CTES[name])
-    parts = [f"{name} AS ({CTES[name]})" for name in names if name in need]
+                todo.append(blocks[name])
+    parts = [f"{name} AS ({blocks[name]})" for name in blocks if name in need]
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body

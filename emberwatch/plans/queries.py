@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberwatch import model as m
 from emberwatch.functions import predicates as pr, scalars as sc
@@ -29,9 +29,9 @@ CHANNEL = detectors.CHANNEL
 REGISTRY: dict[str, tuple[Callable[["Data"], DataFrame], str | None]] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, **blocks: str):
     def register(fn):
-        REGISTRY[name] = (fn, o.sql(sql) if sql else None)
+        REGISTRY[name] = (fn, o.sql(sql, **blocks) if sql else None)
         return fn
     return register
 
@@ -98,10 +98,6 @@ class Data:
 
 # -- 2.1 sources and sinks -------------------------------------------------------
 
-def _payload_sql(columns: str, where: str = "true") -> str:
-    return f"SELECT {columns} FROM tele WHERE {where}"
-
-
 @query("read_events_jsonl", "SELECT seq % 25 <> 4 AS is_valid, count(*) AS lines FROM tele GROUP BY 1")
 def _(d):
     path = d.scratch()
@@ -350,13 +346,15 @@ def _(d):
     return coverage.coverage_join(d.catalogue, coverage.rule_counts_by_technique(d.rules)).select("id", "name", joined("tactics").alias("tactics"), "rule_count")
 
 
-NOISE_PAIRS = """WITH x AS (SELECT id, coalesce(lower(chain[1]), '') AS root, list_distinct([lower(c) for c in chain]) AS chain, techniques, rule_ids, last_us, status FROM triage),
-  past AS (SELECT * FROM x WHERE status = 'false_positive' ORDER BY last_us DESC, id LIMIT 500),
-  s AS (SELECT a.id, b.id AS matched_id, b.last_us, (0.5 * len(list_intersect(a.rule_ids, b.rule_ids)) / len(list_distinct(list_concat(a.rule_ids, b.rule_ids)))
-      + 0.2 * len(list_intersect(a.techniques, b.techniques)) / len(list_distinct(list_concat(a.techniques, b.techniques)))
-      + 0.2 * (a.root <> '' AND a.root = b.root)::INT + 0.1 * len(list_intersect(a.chain, b.chain)) / len(list_distinct(list_concat(a.chain, b.chain))))::DOUBLE AS score
-    FROM x a, past b WHERE a.status = 'open'),
-  hit AS (SELECT * FROM s WHERE score >= 0.6 - 1e-12) """
+UNION_SIZE = "len(list_distinct(list_concat(a.{0}, b.{0})))"
+NOISE = {
+    "prints": "SELECT id, coalesce(lower(chain[1]), '') AS root, list_distinct([lower(c) for c in chain]) AS chain, techniques, rule_ids, last_us, status FROM triage",
+    "past": "SELECT * FROM prints WHERE status = 'false_positive' ORDER BY last_us DESC, id LIMIT 500",
+    "scored": "SELECT a.id, b.id AS matched_id, b.last_us AS matched_us, (" + " + ".join(
+        f"{w} * len(list_intersect(a.{c}, b.{c})) / {UNION_SIZE.format(c)}" for w, c in ((0.5, "rule_ids"), (0.2, "techniques"), (0.1, "chain"))
+    ) + " + 0.2 * (a.root <> '' AND a.root = b.root)::INT)::DOUBLE AS score FROM prints a, past b WHERE a.status = 'open'",
+    "noisy": "SELECT * FROM scored WHERE score >= 0.6 - 1e-12",
+}
 
 
 def _noise(d):
@@ -364,24 +362,7 @@ def _noise(d):
     return similarity.noise_join(shape.filter("status = 'open'").drop("status"), shape.filter("status = 'false_positive'").drop("status"))
 
 
-def _with_blocks(text: str) -> str:
-    """A query that brings its own WITH list, merged behind the shared blocks."""
-    return text.replace("WITH x AS", "x AS", 1)
-
-
-def merged(body: str) -> str:
-    head = o.sql("SELECT * FROM triage")
-    return head[: head.rindex("SELECT * FROM triage")].rstrip() + ",\n" + _with_blocks(body)
-
-
-def query_merged(name: str, body: str):
-    def register(fn):
-        REGISTRY[name] = (fn, merged(body))
-        return fn
-    return register
-
-
-@query_merged("noise_join", NOISE_PAIRS + "SELECT id, matched_id, round(score, 6) AS score FROM hit")
+@query("noise_join", "SELECT id, matched_id, round(score, 6) AS score FROM noisy", **NOISE)
 def _(d):
     return _noise(d).select("id", "matched_id", F.round("score", 6).alias("score"))
 
@@ -393,12 +374,8 @@ def _(d):
     return tree.node_detection_join(d.plan.nodes, d.plan.detections).select("host", "guid", "detections", "worst_severity")
 
 
-REPUTATION = """SELECT dest_ip AS indicator, 'abuse' AS provider, max(k) AS score, true AS available FROM tele WHERE dest_ip IS NOT NULL GROUP BY 1"""
-
-
 def _reputation(d):
-    """Two providers' verdicts per destination: an abuse score from payload values, vendor flags from users."""
-    k = F.crc32(F.col("seq").cast("string"))
+    """Two providers' verdicts per destination, from its connection count."""
     net = d.events.filter("event_id = 3").withColumn("ip", F.col("raw")["DestinationIp"])
     by_ip = net.groupBy(F.col("ip").alias("indicator")).agg((F.count("*") % 120).alias("score"), (F.count("*") % 5).alias("flags"), F.max("timestamp").alias("fetched_at"))
     rows = F.array(
@@ -518,9 +495,6 @@ def _(d):
     return inc.incident_sweep(d.plan.incidents, as_of, window_s=20 * DAY_S).select("id", "closed")
 
 
-FIRST_SEEN = f"list({{}} ORDER BY {o.ORD})[1]"
-
-
 @query("indicators", f"""SELECT incident_id, kind, value, coalesce(detail, '') AS detail, coalesce(list(img ORDER BY {o.ORD})[1], '') AS image, min(us) AS us FROM (
     SELECT incident_id, us, seq, rule_id, 'user' AS kind, usr AS value, NULL AS detail, NULL AS img FROM members
     UNION ALL SELECT incident_id, us, seq, rule_id, 'destination', dest_ip, dest_port || '|', NULL FROM members
@@ -657,7 +631,8 @@ def _(d):
         e["regularity"].cast("double").alias("regularity"))
 
 
-@query("cooldown_filter", o.sql("SELECT host, us, seq FROM det").replace("SELECT host, us, seq FROM det", "") and f"""SELECT host, us FROM (SELECT host, us FROM cool_kept)""")
+@query("cooldown_filter", "SELECT host, us FROM cool_kept", cool_cand="SELECT host, us, seq FROM tele WHERE code = 1",
+       cool_kept=o.cooldown_cte("cool_cand", "host", 3_600_000_000).format(self="cool_kept"))
 def _(d):
     out = ordering.cooldown_filter(d.events.filter("event_id = 1").select("host", us("timestamp").alias("us"), "seq"), ["host"], "us", "seq", 3_600_000_000)
     return out.select("host", "us")
@@ -671,12 +646,11 @@ def _(d):
 
 
 @query("discovery_burst", """SELECT a.seq, a.host, a.us, a.kinds AS distinct_techniques, CASE WHEN a.kinds >= 5 THEN 'high' ELSE 'medium' END AS severity,
-    string_agg(DISTINCT s.technique, ',' ORDER BY s.technique) AS attack, (max(s.us) - min(s.start_us)) AS span_us
+    string_agg(DISTINCT s.technique, ',' ORDER BY s.technique) AS attack, round_even((max(s.us) - min(s.start_us)) / 1e6, 0)::BIGINT AS span_s
     FROM disc_alerts a JOIN disc_sess s ON s.host = a.host AND s.root = a.root AND s.us >= a.us - 1800000000 AND (s.us < a.us OR (s.us = a.us AND s.seq <= a.seq)) GROUP BY a.seq, a.host, a.us, a.kinds""")
 def _(d):
     out = detectors.discovery_burst(d.events, d.plan.roots, **DISCOVERY)
     e = F.col("evidence")
-    # The span is checked as whole seconds, as the evidence states it.
     return out.select("seq", "host", us("matched_at").alias("us"), e["distinct_techniques"].cast("bigint").alias("distinct_techniques"), "severity",
                       joined("attack").alias("attack"), e["span_seconds"].cast("bigint").alias("span_s"))
 
@@ -691,11 +665,269 @@ def _(d):
                       F.array_join(F.from_json(e["sample_destinations"], "array<string>"), ",").alias("sample"), joined("attack").alias("attack"))
 
 
-@query("timeline_gaps", "SELECT incident_id, seq, rule_id, us FROM members")
+@query("timeline_gaps", f"SELECT incident_id, seq, rule_id, coalesce((us - lag(us) OVER (PARTITION BY incident_id ORDER BY {o.ORD})) / 1e6, -1) AS gap_s FROM members")
 def _(d):
-    return inc.timeline_gaps(d.plan.members).select("incident_id", "seq", "rule_id", "us")
+    return inc.timeline_gaps(d.plan.members).select("incident_id", "seq", "rule_id", F.coalesce("gap_s", F.lit(-1.0)).alias("gap_s"))
 
 
 @query("running_last_seen", f"SELECT incident_id, seq, rule_id, max(us) OVER w AS last_us, row_number() OVER w AS ordinal FROM members WINDOW w AS (PARTITION BY incident_id ORDER BY {o.ORD} ROWS UNBOUNDED PRECEDING)")
 def _(d):
     return inc.running_last_seen(d.plan.members).select("incident_id", "seq", "rule_id", us("last_seen").alias("last_us"), "ordinal")
+
+
+# -- 2.8 sorts, limits, top-k ------------------------------------------------------------------
+
+@query("latest_detections", "SELECT seq, rule_id, us, (SELECT count(*) FROM det) AS total FROM det ORDER BY us DESC, seq DESC, rule_id DESC LIMIT 100")
+def _(d):
+    rows = stats.latest_detections(d.plan.detections, 100).select("seq", "rule_id", us("matched_at").alias("us"))
+    return rows.withColumn("total", F.lit(d.plan.detections.count()))
+
+
+@query("latest_incidents", "SELECT id, last_us FROM inc WHERE actionable ORDER BY last_us DESC, id LIMIT 50")
+def _(d):
+    return stats.latest_incidents(d.plan.incidents, 50, actionable_only=True).select("id", us("last_seen").alias("last_us"))
+
+
+@query("incidents_by_status", "SELECT id, last_us FROM triage WHERE status = 'closed' ORDER BY last_us DESC, id LIMIT 500")
+def _(d):
+    return stats.incidents_by_status(d.triaged, "closed").select("id", us("last_seen").alias("last_us"))
+
+
+@query("triage_queue", "SELECT id, status, last_us FROM triage WHERE actionable AND status = 'open'")
+def _(d):
+    return stats.triage_queue(d.triaged).select("id", "status", us("last_seen").alias("last_us"))
+
+
+HAY = "lower(concat_ws(' ', rule_id, title, image, coalesce(parent_image, ''), coalesce(cmd, ''), host, usr, coalesce(hashes, ''), coalesce(dest_ip, ''), '', coalesce(target_object, ''), coalesce(target_image, ''), array_to_string(attack, ' ')))"
+
+
+@query("search_rank", "SELECT incident_id, match_count FROM ("
+       "SELECT i.id AS incident_id, i.last_us, coalesce(h.n, 0) AS match_count, lower(i.title || ' ' || array_to_string(i.chain, ' ')) AS text FROM inc i LEFT JOIN hits h ON h.incident_id = i.id) WHERE match_count > 0 OR contains(text, 'whoami') ORDER BY match_count DESC, last_us DESC, incident_id LIMIT 200",
+       hits=f"SELECT incident_id, count(*) AS n FROM members WHERE contains({HAY}, 'whoami') GROUP BY 1")
+def _(d):
+    hits = search.search_rank(search.search_incidents(d.plan.incidents, d.plan.members, terms=["WhoAmI"])).limit(200)
+    return hits.select("incident_id", "match_count")
+
+
+@query("noise_top3", "SELECT id, matched_id, score, place FROM (SELECT id, matched_id, matched_us, round_even(score, 2) AS score, row_number() OVER (PARTITION BY id ORDER BY round_even(score, 2) DESC, matched_us DESC, matched_id) AS place FROM noisy) WHERE place <= 3", **NOISE)
+def _(d):
+    return similarity.noise_top3(_noise(d)).select("id", "matched_id", "score", F.col("rank").cast("bigint").alias("place"))
+
+
+@query("sample_first_n", "SELECT host, array_to_string(list_sort(list(DISTINCT dest_ip || ':' || dest_port))[:10], ',') AS sample FROM conn GROUP BY host")
+def _(d):
+    pairs = d.conns.select("host", F.concat_ws(":", "dest_ip", "dest_port").alias("dest")).distinct()
+    return ordering.sample_first_n(pairs, ["host"], "dest", 10).select("host", joined("sample").alias("sample"))
+
+
+# -- 2.9 set operations ---------------------------------------------------------------------------
+
+@query("all_detections", """SELECT 'rule' AS source, count(*) AS detections, sum(seq)::BIGINT AS seqs FROM det UNION ALL SELECT 'beacon', count(*), sum(seq)::BIGINT FROM beacon_alerts
+    UNION ALL SELECT 'discovery', count(*), sum(seq)::BIGINT FROM disc_alerts UNION ALL SELECT 'scan', count(*), sum(seq)::BIGINT FROM scan_alerts""")
+def _(d):
+    plan = Detection(d.events, settings={"beacon": BEACON, "discovery": DISCOVERY, "scan": SCAN})
+    name = F.element_at(F.lit(["rule", "beacon", "discovery", "scan"]), F.col("source") + 1)
+    return plan.detections.groupBy(name.alias("source")).agg(F.count("*").alias("detections"), F.sum("seq").alias("seqs"))
+
+
+@query("jaccard", """SELECT id, round(len(list_intersect(techniques, ['T1059', 'T1003.001', 'T1082', 'T1571'])) / len(list_distinct(list_concat(techniques, ['T1059', 'T1003.001', 'T1082', 'T1571']))), 6) AS likeness FROM inc""")
+def _(d):
+    return d.plan.incidents.select("id", F.round(similarity.jaccard(F.col("techniques"), F.lit(["T1059", "T1003.001", "T1082", "T1571"])), 6).alias("likeness"))
+
+
+@query("noise_similarity", "SELECT id, matched_id, round(score, 6) AS score, array_to_string([r for r in [CASE WHEN rules >= 0.5 THEN 'same detection rules' END, CASE WHEN techniques >= 0.5 THEN 'same ATT&CK techniques' END, "
+       "CASE WHEN root THEN 'same root process' END, CASE WHEN chains >= 0.5 THEN 'overlapping process chain' END] if r IS NOT NULL], '; ') AS matched_on FROM parts", **NOISE,
+       parts="SELECT n.id, n.matched_id, n.score, a.root <> '' AND a.root = b.root AS root, " + ", ".join(
+           f"len(list_intersect(a.{c}, b.{c})) / {UNION_SIZE.format(c)} AS {alias}" for c, alias in (("rule_ids", "rules"), ("techniques", "techniques"), ("chain", "chains"))
+       ) + " FROM noisy n JOIN prints a ON a.id = n.id JOIN past b ON b.id = n.matched_id")
+def _(d):
+    return _noise(d).select("id", "matched_id", F.round("score", 6).alias("score"), joined("matched_on", "; ").alias("matched_on"))
+
+
+@query("noise_open_only", "SELECT t.id, coalesce(n.score, -1) AS noise_score FROM triage t LEFT JOIN (SELECT id, max(round_even(score, 2)) AS score FROM noisy GROUP BY 1) n ON n.id = t.id WHERE t.status = 'open'", **NOISE)
+def _(d):
+    return similarity.noise_open_only(d.triaged, similarity.noise_top3(_noise(d))).select("id", F.coalesce("noise_score", F.lit(-1.0)).alias("noise_score"))
+
+
+# -- 2.10 search -------------------------------------------------------------------------------------
+
+@query("search_incidents", "SELECT i.id AS incident_id, i.title, i.last_us, h.n AS match_count FROM inc i JOIN hits h ON h.incident_id = i.id WHERE i.severity = 'critical' AND contains(lower(i.host), 'h')",
+       hits=f"SELECT incident_id, count(*) AS n FROM members WHERE severity = 'critical' AND contains(lower(host), 'h') AND len([t for t in attack if starts_with(lower(t), 't1003')]) > 0 AND contains({HAY}, 'lsass') GROUP BY 1")
+def _(d):
+    hits = search.search_incidents(d.plan.incidents, d.plan.members, terms=["lsass"], filters={"severity": "critical", "technique": "T1003", "host": "h"})
+    return hits.select("incident_id", "title", us("last_seen").alias("last_us"), "match_count")
+
+
+@query("detection_haystack", f"SELECT seq, rule_id, md5({HAY}) AS digest FROM det")
+def _(d):
+    return d.plan.detections.select("seq", "rule_id", F.md5(search.detection_haystack()).alias("digest"))
+
+
+@query("detection_filters", "SELECT seq, rule_id FROM det WHERE contains(lower(usr), 'u1') AND severity = 'high' AND contains(lower(coalesce(cmd, '')), 'net')")
+def _(d):
+    keep = search.detection_filters({"user": "u1", "severity": "high", "command_line": "net"})
+    return d.plan.detections.filter(keep).select("seq", "rule_id")
+
+
+@query("incident_filters", "SELECT id FROM inc WHERE severity = 'high' AND NOT actionable AND contains(lower(host), '3')")
+def _(d):
+    return d.plan.incidents.filter(search.incident_filters({"severity": "high", "actionable": "no", "host": "3"})).select("id")
+
+
+# -- 2.11 scalar functions -------------------------------------------------------------------------------
+
+@query("parse_hashes", "SELECT doc_id, md5(text) AS md5, sha256(source) AS sha256, 2 AS entries FROM documents")
+def _(d):
+    raw = F.concat(F.lit("SHA256="), F.sha2("source", 256), F.lit(",junk, Md5 = 0,MD5="), F.md5("text"))
+    h = F.col("h")
+    return d.table("documents").withColumn("h", sc.parse_hashes(raw)).select("doc_id", h["md5"].alias("md5"), h["sha256"].alias("sha256"), F.size(h).alias("entries"))
+
+
+@query("best_hash", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN sha256(source) WHEN 1 THEN md5(source) ELSE sha1(source) END AS best FROM documents")
+def _(d):
+    raw = F.concat_ws(",", F.concat(F.lit("MD5="), F.md5("source")), F.when(F.col("doc_id") % 3 != 1, F.concat(F.lit("SHA1="), F.sha1("source"))),
+                      F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("SHA256="), F.sha2("source", 256))))
+    return d.table("documents").select("doc_id", sc.best_hash(sc.parse_hashes(raw)).alias("best"))
+
+
+IPV4 = "((o_orderkey % 256) || '.' || (o_custkey % 256) || '.' || (o_orderkey // 7 % 256) || '.' || (o_custkey // 3 % 256))"
+V4_RANGES = " OR ".join(f"n BETWEEN {sc._v4_const(a)} AND {sc._v4_const(a) + 2 ** (32 - b) - 1}" for a, b in sc.NON_PUBLIC_V4)
+
+
+@query("classify_indicator", f"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN CASE WHEN ({V4_RANGES}) AND ip NOT IN ('192.0.0.9', '192.0.0.10') THEN NULL ELSE 'ip' END WHEN o_orderkey % 4 = 2 THEN 'hash' WHEN o_custkey % 2 = 0 THEN 'domain' END AS kind
+    FROM (SELECT *, (o_orderkey % 256) * 16777216 + (o_custkey % 256) * 65536 + (o_orderkey // 7 % 256) * 256 + o_custkey // 3 % 256 AS n, {IPV4} AS ip FROM orders)""")
+def _(d):
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    ip = F.concat_ws(".", *[x.cast("string") for x in (key % 256, cust % 256, F.expr("o_orderkey div 7 % 256"), F.expr("o_custkey div 3 % 256"))])
+    name = F.when(cust % 2 == 0, F.concat(F.lit("host"), key.cast("string"), F.lit(".example.com"))).otherwise(F.lit("not a.domain"))
+    value = F.when(key % 4 < 2, ip).when(key % 4 == 2, F.md5(key.cast("string"))).otherwise(name)
+    return d.table("orders").select("o_orderkey", sc.classify_indicator(value).alias("kind"))
+
+
+@query("verdict_bands", "SELECT o_orderkey, CASE WHEN s >= 90 THEN 'malicious' WHEN s >= 25 THEN 'suspicious' ELSE 'clean' END AS abuse, CASE WHEN f IS NULL THEN 'unknown' WHEN f >= 3 THEN 'malicious' WHEN f > 0 THEN 'suspicious' ELSE 'clean' END AS vendor FROM (SELECT o_orderkey, o_custkey % 101 AS s, nullif(o_orderkey % 6, 5) AS f FROM orders)")
+def _(d):
+    return d.table("orders").select("o_orderkey", sc.abuse_verdict(F.col("o_custkey") % 101).alias("abuse"), sc.vendor_verdict(F.nullif(F.col("o_orderkey") % 6, F.lit(5))).alias("vendor"))
+
+
+@query("worst_verdict", f"SELECT indicator, {WORST} AS verdict FROM {REP} GROUP BY 1")
+def _(d):
+    return _reputation(d).groupBy("indicator").agg(sc.worst_verdict(F.col("verdict"), F.col("available")).alias("verdict"))
+
+
+@query("reputation_ttl", f"SELECT indicator, r.p AS provider, r.v AS verdict FROM {REP} WHERE (SELECT max(us) FROM tele) - last_us < 1800000000")
+def _(d):
+    as_of = F.lit(d.events.agg(F.max("timestamp")).first()[0])
+    return tables.reputation_ttl(_reputation(d), as_of, ttl_s=1800).select("indicator", "provider", "verdict")
+
+
+@query("technique_tactic", "SELECT t.id, coalesce(a.tactic, b.tactic) AS title_tactic, coalesce(c.tactic, e.tactic) AS phase FROM (SELECT 'T' || (1000 + p_partkey % 700) || CASE WHEN p_partkey % 3 > 0 THEN '.00' || (p_partkey % 3) ELSE '' END AS id FROM part) t "
+       "LEFT JOIN tactic_of a ON a.technique = t.id LEFT JOIN tactic_of b ON b.technique = split_part(t.id, '.', 1) LEFT JOIN phase_of c ON c.technique = t.id LEFT JOIN phase_of e ON e.technique = split_part(t.id, '.', 1)")
+def _(d):
+    key = F.col("p_partkey")
+    tid = F.concat(F.lit("T"), (key % 700 + 1000).cast("string"), F.when(key % 3 > 0, F.concat(F.lit(".00"), (key % 3).cast("string"))).otherwise(""))
+    rows = d.table("part").select(tid.alias("id"))
+    return rows.select("id", m.technique_tactic(F.col("id")).alias("title_tactic"), m.technique_tactic(F.col("id"), m.NARRATIVE_TACTICS).alias("phase"))
+
+
+RUNS = "[r for r in regexp_extract_all(text, '[A-Za-z0-9+/]{16,}={0,2}') if len(r) % 4 = 0 AND NOT (regexp_full_match(r, '[0-9a-fA-F]+') AND len(r) <= 64) AND len(list_distinct(regexp_split_to_array(r, ''))) >= 8]"
+
+
+def _base64_text():
+    """Whole texts; half of them in base64 after a word, so that there is something to find."""
+    return F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("run "), F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", ""))).otherwise(F.col("text"))
+
+
+@query("base64_runs", f"SELECT doc_id, len(runs) AS runs, md5(array_to_string(runs, ' ')) AS digest FROM (SELECT doc_id, {RUNS} AS runs FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'run ' || base64(encode(text)) ELSE text END AS text FROM documents))")
+def _(d):
+    runs = d.table("documents").select("doc_id", sc.base64_runs(_base64_text()).alias("r"))
+    return runs.select("doc_id", F.size("r").cast("bigint").alias("runs"), F.md5(F.array_join("r", " ")).alias("digest"))
+
+
+@query("base64_decode_text", "SELECT doc_id, md5(CASE WHEN doc_id % 4 = 2 THEN regexp_replace(text, '[^\\x20-\\x7e]', '', 'g') ELSE text END) AS digest, (doc_id % 4 = 2) AS is_utf16 FROM documents WHERE doc_id % 2 = 0 AND length(regexp_replace(text, '[^\\x20-\\x7e]', '', 'g')) > 4")
+def _(d):
+    plain = F.regexp_replace("text", r"[^\x20-\x7e]", "")
+    data = F.when(F.col("doc_id") % 4 == 2, F.encode(plain, "UTF-16LE")).otherwise(F.encode("text", "UTF-8"))
+    rows = d.table("documents").filter((F.col("doc_id") % 2 == 0) & (F.length(plain) > 4)).select("doc_id", sc.base64_decode_text(F.translate(F.base64(data), "\r\n", "")).alias("t"))
+    return rows.select("doc_id", F.md5("t.text").alias("digest"), F.col("t.is_utf16").alias("is_utf16"))
+
+
+@query("utc_day", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events FROM events GROUP BY 1")
+def _(d):
+    return d.events.groupBy(sc.utc_day(F.col("timestamp")).cast("string").alias("day")).agg(F.count("*").alias("events"))
+
+
+@query("iso_millis_z", "SELECT event_id AS seq, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS stamp FROM events")
+def _(d):
+    return d.events.select("seq", sc.iso_millis_z(F.col("timestamp")).alias("stamp"))
+
+
+UUID5 = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ('89ab89ab89ab89ab')[('0x' || substr(h, 17, 1))::INT + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+@query("uuid5", f"SELECT doc_id, {UUID5} AS id FROM (SELECT doc_id, sha1(unhex('{uuid.NAMESPACE_URL.hex}') || encode(text)) AS h FROM documents)")
+def _(d):
+    return d.table("documents").select("doc_id", sc.uuid5_url(F.col("text")).alias("id"))
+
+
+@query("stix_escape", r"SELECT seq, replace(replace(image || '''s', '\', '\\'), '''', '\''') AS escaped FROM tele")
+def _(d):
+    return d.events.select("seq", sc.pattern_escape(F.concat("image", F.lit("'s"))).alias("escaped"))
+
+
+@query("word_count", r"SELECT doc_id, len([w for w in regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+') if w <> '']) AS words, len([w for w in regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+') if w <> '']) <= 500 AS accepted FROM documents")
+def _(d):
+    return d.table("documents").select("doc_id", sc.word_count(F.col("text")).cast("bigint").alias("words"), sc.note_accepted(F.col("text")).alias("accepted"))
+
+
+@query("technique_ids_from_tags", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'T' || (1000 + p_partkey % 900) || ',T1059.001' ELSE 'T' || (1000 + p_partkey % 900) END AS ids FROM part WHERE 1000 + p_partkey % 900 < 1059 OR p_partkey % 2 = 1 "
+       "UNION ALL SELECT p_partkey, CASE WHEN 1000 + p_partkey % 900 = 1059 THEN 'T1059,T1059.001' ELSE 'T1059.001,T' || (1000 + p_partkey % 900) END FROM part WHERE 1000 + p_partkey % 900 >= 1059 AND p_partkey % 2 = 0")
+def _(d):
+    tid = F.concat(F.lit(" Attack.t"), (F.col("p_partkey") % 900 + 1000).cast("string"))
+    tags = F.array(tid, F.lit("attack.execution"), F.when(F.col("p_partkey") % 2 == 0, F.lit("attack.T1059.001")).otherwise("attack.t12"), tid)
+    return d.table("part").select("p_partkey", F.array_join(sc.techniques_from_tags(tags), ",").alias("ids"))
+
+
+# -- 2.12 exports ------------------------------------------------------------------------------------------
+
+@query("navigator_layer", "SELECT count(*) AS techniques, greatest(max(rule_count), 1) AS max_value, sum(rule_count)::BIGINT AS score_sum, md5(string_agg(id || '=' || rule_count || '=' || CASE WHEN rule_count > 0 THEN rule_count || ' rule(s)/detector(s)' ELSE 'No rule coverage' END, ';' ORDER BY id)) AS digest FROM covered")
+def _(d):
+    covered = coverage.coverage_join(d.catalogue, coverage.rule_counts_by_technique(d.rules))
+    layer = F.from_json("layer", "techniques array<struct<techniqueID:string,score:bigint,comment:string>>, gradient struct<maxValue:bigint>")
+    rows = exports.navigator_layer(covered).select(layer.alias("l"))
+    listed = F.transform("l.techniques", lambda t: F.concat_ws("=", t["techniqueID"], t["score"].cast("string"), t["comment"]))
+    return rows.select(F.size("l.techniques").cast("bigint").alias("techniques"), F.col("l.gradient.maxValue").alias("max_value"),
+                       F.aggregate("l.techniques", F.lit(0).cast("bigint"), lambda a, t: a + t["score"]).alias("score_sum"), F.md5(F.array_join(listed, ";")).alias("digest"))
+
+
+STIX_ID = "'{kind}--' || (SELECT " + UUID5 + " FROM (SELECT sha1(unhex('" + uuid.NAMESPACE_URL.hex + "') || encode('emberwatch:{kind}:' || {seed})) AS h))"
+PATTERN = """SELECT DISTINCT incident_id, pattern FROM (
+    SELECT incident_id, '[ipv4-addr:value = ''' || dest_ip || ''']' AS pattern FROM members UNION ALL
+    SELECT incident_id, '[file:hashes.SHA256 = ''' || regexp_extract(hashes, 'SHA256=([0-9a-f]+)', 1) || ''']' FROM members WHERE hashes IS NOT NULL UNION ALL
+    SELECT incident_id, '[windows-registry-key:key = ''' || replace(target_object, chr(92), chr(92) || chr(92)) || ''']' FROM members) WHERE pattern IS NOT NULL"""
+
+
+@query("stix_objects", "SELECT id AS incident_id, 'identity' AS type, " + STIX_ID.format(kind="identity", seed="'emberwatch'") + " AS id, strftime(make_timestamp(first_us), '%Y-%m-%dT%H:%M:%S.%gZ') AS created, 'emberwatch' AS name FROM inc "
+       "UNION ALL SELECT incident_id, 'attack-pattern', " + STIX_ID.format(kind="attack-pattern", seed="t") + ", created, t FROM (SELECT id AS incident_id, unnest(techniques) AS t, strftime(make_timestamp(first_us), '%Y-%m-%dT%H:%M:%S.%gZ') AS created FROM inc) "
+       "UNION ALL SELECT p.incident_id, 'indicator', " + STIX_ID.format(kind="indicator", seed="p.pattern") + ", strftime(make_timestamp(i.first_us), '%Y-%m-%dT%H:%M:%S.%gZ'), p.pattern FROM patterns p JOIN inc i ON i.id = p.incident_id "
+       "UNION ALL SELECT id, 'report', " + STIX_ID.format(kind="report", seed="inc.id") + ", strftime(make_timestamp(first_us), '%Y-%m-%dT%H:%M:%S.%gZ'), title FROM inc", patterns=PATTERN)
+def _(d):
+    members = d.plan.members
+    summaries = evidence.behavior_profile(d.plan.incidents, evidence.behavior_phases(members))
+    out = exports.stix_objects(d.plan.incidents, evidence.indicators(members), summaries)
+    get = lambda k: F.get_json_object("object", f"$.{k}")
+    return out.select("incident_id", "type", "id", get("created").alias("created"), F.coalesce(get("pattern"), get("name")).alias("name"))
+
+
+@query("incident_report_rows", """SELECT id AS incident_id, 'summary' AS section, '01' AS position, 'Severity' AS label, severity || ' (score ' || score || ')' AS content FROM inc
+    UNION ALL SELECT id, 'summary', '05', 'Process chain', array_to_string(chain, ' -> ') FROM inc UNION ALL SELECT id, 'summary', '03', 'First seen', strftime(make_timestamp(first_us), '%Y-%m-%d %H:%M:%S UTC') FROM inc
+    UNION ALL SELECT incident_id, 'behavior', lpad(position::VARCHAR, 2, '0'), upper(replace(tactic, '-', ' ')), phrase FROM phases
+    UNION ALL SELECT incident_id, 'timeline', lpad(us::VARCHAR, 17, '0') || '-' || lpad(seq::VARCHAR, 19, '0') || '-0-' || rule_id, rule_id, strftime(make_timestamp(us), '%H:%M:%S') || ' ' || severity FROM members""")
+def _(d):
+    members = d.plan.members
+    profile = evidence.behavior_profile(d.plan.incidents, evidence.behavior_phases(members))
+    rows = evidence.incident_report_rows(d.plan.incidents, members, profile)
+    get = lambda k: F.get_json_object("content", f"$.{k}")
+    content = F.when(F.col("section") == "timeline", F.concat_ws(" ", get("time"), get("severity"))).otherwise(F.col("content"))
+    # The other four summary pairs repeat plain incident columns.
+    shown = (F.col("section") != "summary") | F.col("position").isin("01", "03", "05")
+    return rows.filter(shown).select("incident_id", "section", "position", "label", content.alias("content"))
