@@ -169,11 +169,11 @@ def behavior_phases(members: DataFrame) -> DataFrame:
     return (
         grouped.withColumn("position", position).filter("position > 0")
         .select(
-            "incident_id", "position", F.replace("tactic", F.lit("-"), F.lit(" ")).alias("tactic"),
-            _phrase().alias("phrase"),
+            "incident_id", "position", "tactic", _phrase().alias("phrase"),
             F.array_sort(F.filter("_techniques", lambda t: exact[t] == F.col("tactic"))).alias("techniques"),
             F.col("rule_ids").alias("rules"),
         )
+        .withColumn("tactic", F.replace("tactic", F.lit("-"), F.lit(" ")))
     )
 
 

@@ -18,6 +18,7 @@ from emberwatch.plans import oracle as o, telemetry as tel
 from emberwatch.plans.detection import Detection
 from emberwatch.session import _ensure_checkpoint_dir, load_table
 from emberwatch.sources import catalogue as cat, events as src, tables
+from emberwatch.streaming import detectors as live, flow
 
 DAY_S = 86_400
 # Thresholds that fit the driver's sparse synthetic events; the operators' own defaults suit real telemetry.
@@ -722,8 +723,9 @@ def _(d):
 
 # -- 2.9 set operations ---------------------------------------------------------------------------
 
-@query("all_detections", """SELECT 'rule' AS source, count(*) AS detections, sum(seq)::BIGINT AS seqs FROM det UNION ALL SELECT 'beacon', count(*), sum(seq)::BIGINT FROM beacon_alerts
-    UNION ALL SELECT 'discovery', count(*), sum(seq)::BIGINT FROM disc_alerts UNION ALL SELECT 'scan', count(*), sum(seq)::BIGINT FROM scan_alerts""")
+@query("all_detections", """SELECT 'rule' AS source, count(*) AS detections, sum(seq)::BIGINT AS seqs FROM det UNION ALL SELECT 'beacon', count(*), sum(seq)::BIGINT FROM beacon_alerts HAVING count(*) > 0
+    UNION ALL SELECT 'discovery', count(*), sum(seq)::BIGINT FROM disc_alerts HAVING count(*) > 0
+    UNION ALL SELECT 'scan', count(*), sum(seq)::BIGINT FROM scan_alerts HAVING count(*) > 0""")
 def _(d):
     plan = Detection(d.events, settings={"beacon": BEACON, "discovery": DISCOVERY, "scan": SCAN})
     name = F.element_at(F.lit(["rule", "beacon", "discovery", "scan"]), F.col("source") + 1)
@@ -931,3 +933,63 @@ def _(d):
     # The other four summary pairs repeat plain incident columns.
     shown = (F.col("section") != "summary") | F.col("position").isin("01", "03", "05")
     return rows.filter(shown).select("incident_id", "section", "position", "label", content.alias("content"))
+
+
+# -- 2.13 streaming ------------------------------------------------------------------------------------------
+# Each runs the events through a stream to its end and is checked against the batch result.
+
+def _stream(d) -> DataFrame:
+    path = d.scratch()
+    d.events.write.parquet(path)
+    return flow.stream_events(d.spark, path, fmt="parquet")
+
+
+def _finished(d, rows: DataFrame, mode: str = "append") -> DataFrame:
+    d.spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path = d.scratch()
+    flow.live_push(rows, path, d.scratch(), mode=mode).awaitTermination()
+    return d.spark.read.schema(rows.schema).parquet(path)
+
+
+@query("stream_events", f"SELECT CASE WHEN seq % 5 < 3 THEN code ELSE 0 END AS event_id, CASE WHEN seq % 5 = 4 THEN 'unknown' ELSE host END AS host, count(*) AS events FROM tele WHERE seq % 25 NOT IN (4, 9, 14) AND seq % 25 <> 19 GROUP BY 1, 2")
+def _(d):
+    path = d.scratch()
+    tel.payloads(d.events).filter("seq % 25 <> 19").select("value").write.text(path)
+    rows = _finished(d, flow.stream_events(d.spark, path).select("event_id", "host"))
+    return rows.groupBy("event_id", "host").agg(F.count("*").alias("events"))
+
+
+@query("stream_match_rules", "SELECT seq, rule_id FROM det")
+def _(d):
+    return _finished(d, flow.stream_match_rules(_stream(d), d.plan.rules).select("seq", "rule_id"))
+
+
+@query("live_push", "SELECT rule_id, count(*) AS detections FROM det GROUP BY 1")
+def _(d):
+    rows = _finished(d, flow.stream_match_rules(_stream(d), d.plan.rules).select("seq", "rule_id", "title"))
+    return rows.groupBy("rule_id").agg(F.count("*").alias("detections"))
+
+
+@query("stream_beacon", "SELECT host, dest_ip, dest_port, us, seq, len(frame) AS connections, round(regularity, 6) AS regularity FROM beacon_alerts")
+def _(d):
+    rows = _finished(d, live.stream_beacon(_stream(d), idle_s=30 * DAY_S, **BEACON))
+    return rows.select("host", "dest_ip", "dest_port", "us", "seq", "connections", F.round("regularity", 6).alias("regularity"))
+
+
+@query("stream_discovery", "SELECT host, root AS root_guid, us, seq, kinds AS distinct_items FROM disc_alerts")
+def _(d):
+    return _finished(d, live.stream_discovery(_stream(d), d.plan.roots, **DISCOVERY)).select("host", "root_guid", "us", "seq", "distinct_items")
+
+
+@query("stream_scan", "SELECT host, process, guid, us, seq, ips AS distinct_ips, ports AS distinct_ports FROM scan_alerts")
+def _(d):
+    return _finished(d, live.stream_scan(_stream(d), **SCAN))
+
+
+@query("stream_incidents", "SELECT id, score, detection_count, actionable FROM inc WHERE last_us + 600000000 <= (SELECT (max(us) // 1000) * 1000 FROM det) - 600000000")
+def _(d):
+    # A session closes once the watermark, ten minutes behind the newest detection, passes its end.
+    rooted = inc.attach_tree(flow.stream_match_rules(_stream(d), d.plan.rules), d.plan.chains)
+    rows = _finished(d, flow.stream_incidents(rooted))
+    return rows.select("id", F.col("score").cast("bigint").alias("score"), "detection_count", "actionable")
