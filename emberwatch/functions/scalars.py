@@ -20,6 +20,15 @@ def present(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def once(c: Column) -> Column:
+    """A column evaluated a single time however often it is read.
+
+    The optimizer copies a plain expression into every filter and projection that
+    names it; the output of a generator is never copied.
+    """
+    return F.explode(F.array(c))
+
+
 def word_count(text: Column) -> Column:
     """Words separated by any Unicode white space or separator control."""
     return F.size(F.filter(F.split(text, r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"), lambda w: w != ""))

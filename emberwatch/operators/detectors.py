@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberwatch.functions.predicates import REGEX_FLAGS
-from emberwatch.functions.scalars import basename
+from emberwatch.functions.scalars import basename, once
 from emberwatch.model import (
     BEACON_RULE, BEACON_TECHNIQUES, DETECTION_COLUMNS, DISCOVERY_RULE, DISCOVERY_SIGNATURES, EXCLUDED_IMAGES,
     NETWORK_CONNECT, PROCESS_CREATE, SCAN_RULE, SCAN_TECHNIQUE, SWEEP_TECHNIQUE, epoch_us,
 )
+from emberwatch.session import checkpointed
 from emberwatch.operators.ordering import active_breadth, cooldown_filter, gap_sessions, previous_time, trailing_frames
 
 SECOND = 1_000_000
@@ -47,7 +48,7 @@ def _median_sorted(values: Column) -> Column:
 
 def frame_intervals(frame: Column) -> Column:
     """Sorted gaps, in microseconds, between successive times of a frame."""
-    return F.array_sort(F.transform(
+    return F.sort_array(F.transform(
         F.slice(frame, F.lit(2), F.greatest(F.size(frame) - 1, F.lit(0))), lambda t, i: t - F.get(frame, i)
     ))
 
@@ -55,7 +56,7 @@ def frame_intervals(frame: Column) -> Column:
 def regularity(intervals: Column) -> Column:
     """1 - MAD/median of sorted intervals, within [0, 1]; 0 for fewer than two or a median of 0."""
     median = _median_sorted(intervals)
-    spread = _median_sorted(F.array_sort(F.transform(intervals, lambda x: F.abs(x - median))))
+    spread = _median_sorted(F.sort_array(F.transform(intervals, lambda x: F.abs(x - median))))
     score = F.least(F.greatest(1 - spread / median, F.lit(0.0)), F.lit(1.0))
     return F.when((F.size(intervals) >= 2) & (median > 0), score).otherwise(F.lit(0.0))
 
@@ -69,7 +70,7 @@ def channel_regularity(conns: DataFrame, keys: list[str] = CHANNEL, capacity: in
     newest = Window.partitionBy(*keys).orderBy(F.col("us").desc(), F.col("seq").desc())
     last = conns.select(*keys, "us", "seq").withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= capacity)
     framed = last.groupBy(*keys).agg(F.sort_array(F.collect_list("us")).alias("frame"))
-    gaps = framed.withColumn("_gaps", frame_intervals(F.col("frame")))
+    gaps = framed.withColumn("_gaps", once(frame_intervals(F.col("frame"))))
     return gaps.select(
         *keys, F.size("frame").alias("connections"), (_median_sorted(F.col("_gaps")) / SECOND).alias("median_s"),
         regularity(F.col("_gaps")).alias("regularity"),
@@ -83,16 +84,16 @@ def beacon_candidates(
 ) -> DataFrame:
     """Connections at which their channel looks like a beacon, with the measures behind it."""
     framed = trailing_frames(conns, keys, "us", "seq", capacity).filter(F.size("frame") >= min_connections)
-    gaps = framed.withColumn("_gaps", frame_intervals(F.col("frame"))).withColumn("_median", _median_sorted(F.col("_gaps")))
+    gaps = framed.withColumn("_gaps", once(frame_intervals(F.col("frame")))).withColumn("_median", once(_median_sorted(F.col("_gaps"))))
     span = F.element_at("frame", -1) - F.element_at("frame", 1)
     rhythmic = gaps.filter(
         F.col("_median").between(min_interval_s * SECOND, max_interval_s * SECOND)
         & (span >= F.col("_median") * min_periods)
         & (F.element_at("_gaps", -1) <= F.col("_median") * max_interval_ratio)
     )
-    jitter = _median_sorted(F.array_sort(F.transform("_gaps", lambda x: F.abs(x - F.col("_median")))))
+    jitter = _median_sorted(F.sort_array(F.transform("_gaps", lambda x: F.abs(x - F.col("_median")))))
     return (
-        rhythmic.withColumn("_jitter", jitter)
+        rhythmic.withColumn("_jitter", once(jitter))
         .withColumn("regularity", F.least(F.greatest(1 - F.col("_jitter") / F.col("_median"), F.lit(0.0)), F.lit(1.0)))
         .filter(F.col("regularity") >= min_regularity)
         .withColumns({
@@ -190,7 +191,8 @@ def discovery_burst(
 ) -> DataFrame:
     """Process trees running many kinds of recon within the window, at most one detection per cooldown."""
     keys, window_us = ["host", "root_guid"], window_s * SECOND
-    recon = recon_commands(events, roots)
+    # Few events are recon; written once, they are read by each step below.
+    recon = checkpointed(recon_commands(events, roots))
     candidates = discovery_candidates(recon, keys, min_distinct=min_distinct, window_s=window_s)
     alerts = cooldown_filter(candidates, keys, "us", "seq", cooldown_s * SECOND)
     # A technique's first sighting and example come from the start of its gap session.
@@ -250,11 +252,12 @@ def scan_detect(
     conns = connections(events, excluded).withColumn(
         "guid", F.coalesce(F.when(F.col("process_guid") != "", F.col("process_guid")), F.concat(F.lit("orphan:"), F.col("host")))
     )
-    candidates = scan_candidates(conns, keys, min_ips=min_ips, min_ports=min_ports, window_s=window_s)
+    touched = checkpointed(conns.select(*keys, "us", "seq", "dest_ip", "dest_port"))
+    candidates = scan_candidates(touched, keys, min_ips=min_ips, min_ports=min_ports, window_s=window_s)
     alerts = cooldown_filter(candidates, keys, "us", "seq", cooldown_s * SECOND)
     at = [*keys, "_at", "_by"]
     pairs = (
-        _window_members(alerts, conns, keys, window_us, ["dest_ip", "dest_port"])
+        _window_members(alerts, touched, keys, window_us, ["dest_ip", "dest_port"])
         .groupBy(*at, "dest_ip", "dest_port").agg(F.max("us").alias("_last"))
         .withColumn("_dest", F.concat_ws(":", "dest_ip", "dest_port"))
     )

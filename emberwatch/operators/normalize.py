@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberwatch.model import EVENT_SCHEMA, PROMOTION_ORDER
@@ -63,9 +66,7 @@ def normalize_events(payloads: DataFrame, *, payload: str = "value", seq: str =
     opened = opened.withColumn("_inner", _truthy(_get(F.col("_w"), "event_data", "variant"))).withColumn(
         "_flat",
         F.col("_inner").isNull()
-        & F.arrays_overlap(
-            F.map_keys(F.try_variant_get(v, "$", "map<string,string>")), F.array(*[F.lit(k) for k in promoted_keys])
-        ),
+        & reduce(or_, [_get(v, k, "variant").isNotNull() for k in promoted_keys]),
     )
     source = F.when(F.col("_flat"), v).otherwise(F.col("_inner"))
     mapped = opened.withColumn(

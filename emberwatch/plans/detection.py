@@ -55,8 +55,8 @@ class Detection:
 
     @cached_property
     def members(self) -> DataFrame:
-        return incidents.assign_incidents(incidents.attach_tree(self.detections, self.chains))
+        return checkpointed(incidents.assign_incidents(incidents.attach_tree(self.detections, self.chains)))
 
     @cached_property
     def incidents(self) -> DataFrame:
-        return incidents.correlate_incidents(self.members)
+        return checkpointed(incidents.correlate_incidents(self.members))

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from emberwatch.session import load_table
+from emberwatch.functions.scalars import once
+from emberwatch.session import load_table, spread
 
 HOSTS = 8
 IMAGES = (
@@ -38,7 +39,7 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` in the typed event schema."""
-    e = load_table(spark, sf_dir, "events")
+    e = spread(load_table(spark, sf_dir, "events"), "event_id")
     k = F.get_json_object("props", "$.k").cast("bigint")
     base = e.select(
         F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("timestamp"), "user_id", k.alias("k"),
@@ -99,7 +100,7 @@ def payloads(events: DataFrame) -> DataFrame:
     )
     shape = F.col("seq") % 5
     value = F.when(shape == 0, enveloped).when(shape == 1, nested).when(shape == 2, flat).when(shape == 3, source).otherwise(odd)
-    return events.select("seq", (F.col("timestamp") + F.expr("INTERVAL 1 HOUR")).alias("received_at"), value.alias("value"))
+    return events.select("seq", (F.col("timestamp") + F.expr("INTERVAL 1 HOUR")).alias("received_at"), once(value).alias("value"))
 
 
 def evtx_records(events: DataFrame) -> DataFrame:
@@ -110,7 +111,8 @@ def evtx_records(events: DataFrame) -> DataFrame:
     created = F.struct(F.struct(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("SystemTime")).alias("#attributes"))
     system = F.struct(channel.alias("Channel"), code.alias("EventID"), F.col("host").alias("Computer"), created.alias("TimeCreated"))
     data = F.struct(text(F.col("image")).alias("Image"), F.col("user").alias("User"), text(F.col("process_guid")).alias("ProcessGuid"))
-    return events.select("seq", F.to_json(F.struct(F.struct(system.alias("System"), data.alias("EventData")).alias("Event"))).alias("value"))
+    record = F.to_json(F.struct(F.struct(system.alias("System"), data.alias("EventData")).alias("Event")))
+    return events.select("seq", once(record).alias("value"))
 
 
 def stix_source(spark: SparkSession, sf_dir: str) -> DataFrame:
