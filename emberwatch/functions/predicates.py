@@ -129,6 +129,8 @@ def field_test(spec: str, expected: Any) -> Column:
 # -- wildcards ---------------------------------------------------------------
 
 def _glob_shape(pattern: str) -> tuple[str, str]:
+    if pattern == "**":
+        return "contains", ""
     core = pattern.strip("*")
     if "?" in pattern or "*" in core or pattern.strip("*") == "" and "*" in pattern:
         return "re", ""
