@@ -202,7 +202,7 @@ CTES = {
     "raised": f"SELECT id, count(*) AS rule_count FROM (SELECT unnest(attack) AS id FROM rules UNION ALL SELECT unnest({items(m.DETECTOR_TECHNIQUES)})) GROUP BY id",
     "covered": "SELECT coalesce(c.id, r.id) AS id, coalesce(c.name, '') AS name, coalesce(c.tactics, []) AS tactics, coalesce(r.rule_count, 0) AS rule_count FROM catalogue c FULL JOIN raised r ON r.id = c.id",
     # Analyst triage: log rows come from detections.
-    "triage_log": """SELECT incident_id, us AS changed_us, seq, (['closed', 'false_positive', 'OPEN', 'bogus'])[seq % 4 + 1] AS status,
+    "triage_log": """SELECT incident_id, us AS changed_us, seq, (['closed', 'false_positive', 'OPEN', 'bogus'])[seq // 2 % 4 + 1] AS status,
         CASE WHEN seq % 3 = 0 THEN 'note ' || seq END AS notes FROM members WHERE seq % 2 = 0""",
     "triage": """SELECT i.*, coalesce(t.status, 'open') AS status, coalesce(t.notes, '') AS notes FROM inc i LEFT JOIN (
         SELECT incident_id, list(lower(status) ORDER BY changed_us DESC, seq DESC) FILTER (lower(status) IN ('open', 'closed', 'false_positive'))[1] AS status,

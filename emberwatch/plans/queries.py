@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 from functools import cached_property
@@ -16,7 +15,7 @@ from emberwatch.operators import (
 )
 from emberwatch.plans import oracle as o, telemetry as tel
 from emberwatch.plans.detection import Detection
-from emberwatch.session import _ensure_checkpoint_dir, load_table
+from emberwatch.session import load_table, scratch_path
 from emberwatch.sources import catalogue as cat, events as src, tables
 from emberwatch.streaming import detectors as live, flow
 
@@ -83,7 +82,7 @@ class Data:
         seq = F.col("seq")
         return self.plan.members.filter(seq % 2 == 0).select(
             "incident_id", F.col("us").alias("changed_at"), "seq",
-            F.element_at(F.lit(["closed", "false_positive", "OPEN", "bogus"]), (seq % 4 + 1).cast("int")).alias("status"),
+            F.element_at(F.lit(["closed", "false_positive", "OPEN", "bogus"]), F.expr("int(seq div 2 % 4 + 1)")).alias("status"),
             F.when(seq % 3 == 0, F.concat(F.lit("note "), seq.cast("string"))).alias("notes"),
         )
 
@@ -92,9 +91,7 @@ class Data:
         return tables.triage_overlay(self.plan.incidents, self.triage_log)
 
     def scratch(self) -> str:
-        """A new folder under the checkpoint folder, which all executors share."""
-        _ensure_checkpoint_dir(self.spark)
-        return os.path.join(self.spark.sparkContext.getCheckpointDir(), f"scratch-{uuid.uuid4().hex}")
+        return scratch_path(self.spark, "scratch")
 
 
 # -- 2.1 sources and sinks -------------------------------------------------------
@@ -351,10 +348,12 @@ UNION_SIZE = "len(list_distinct(list_concat(a.{0}, b.{0})))"
 NOISE = {
     "prints": "SELECT id, coalesce(lower(chain[1]), '') AS root, list_distinct([lower(c) for c in chain]) AS chain, techniques, rule_ids, last_us, status FROM triage",
     "past": "SELECT * FROM prints WHERE status = 'false_positive' ORDER BY last_us DESC, id LIMIT 500",
+    # Added in the operator's order and divided by the same sum of weights, so that doubles agree to the bit.
     "scored": "SELECT a.id, b.id AS matched_id, b.last_us AS matched_us, (" + " + ".join(
-        f"{w} * len(list_intersect(a.{c}, b.{c})) / {UNION_SIZE.format(c)}" for w, c in ((0.5, "rule_ids"), (0.2, "techniques"), (0.1, "chain"))
-    ) + " + 0.2 * (a.root <> '' AND a.root = b.root)::INT)::DOUBLE AS score FROM prints a, past b WHERE a.status = 'open'",
-    "noisy": "SELECT * FROM scored WHERE score >= 0.6 - 1e-12",
+        f"{w}::DOUBLE * (len(list_intersect(a.{c}, b.{c}))::DOUBLE / {UNION_SIZE.format(c)})" if c else
+        f"{w}::DOUBLE * (a.root <> '' AND a.root = b.root)::INT" for w, c in ((0.5, "rule_ids"), (0.2, "techniques"), (0.2, ""), (0.1, "chain"))
+    ) + f") / {0.5 + 0.2 + 0.2 + 0.1!r}::DOUBLE AS score FROM prints a, past b WHERE a.status = 'open'",
+    "noisy": "SELECT * FROM scored WHERE score >= 0.6::DOUBLE",
 }
 
 
@@ -710,7 +709,7 @@ def _(d):
     return hits.select("incident_id", "match_count")
 
 
-@query("noise_top3", "SELECT id, matched_id, score, place FROM (SELECT id, matched_id, matched_us, round_even(score, 2) AS score, row_number() OVER (PARTITION BY id ORDER BY round_even(score, 2) DESC, matched_us DESC, matched_id) AS place FROM noisy) WHERE place <= 3", **NOISE)
+@query("noise_top3", "SELECT id, matched_id, score, place FROM (SELECT id, matched_id, matched_us, printf('%.2f', score)::DOUBLE AS score, row_number() OVER (PARTITION BY id ORDER BY printf('%.2f', score)::DOUBLE DESC, matched_us DESC, matched_id) AS place FROM noisy) WHERE place <= 3", **NOISE)
 def _(d):
     return similarity.noise_top3(_noise(d)).select("id", "matched_id", "score", F.col("rank").cast("bigint").alias("place"))
 
@@ -746,7 +745,7 @@ def _(d):
     return _noise(d).select("id", "matched_id", F.round("score", 6).alias("score"), joined("matched_on", "; ").alias("matched_on"))
 
 
-@query("noise_open_only", "SELECT t.id, coalesce(n.score, -1) AS noise_score FROM triage t LEFT JOIN (SELECT id, max(round_even(score, 2)) AS score FROM noisy GROUP BY 1) n ON n.id = t.id WHERE t.status = 'open'", **NOISE)
+@query("noise_open_only", "SELECT t.id, coalesce(n.score, -1) AS noise_score FROM triage t LEFT JOIN (SELECT id, max(printf('%.2f', score)::DOUBLE) AS score FROM noisy GROUP BY 1) n ON n.id = t.id WHERE t.status = 'open'", **NOISE)
 def _(d):
     return similarity.noise_open_only(d.triaged, similarity.noise_top3(_noise(d))).select("id", F.coalesce("noise_score", F.lit(-1.0)).alias("noise_score"))
 
