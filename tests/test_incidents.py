@@ -135,3 +135,9 @@ def test_stix_report_splits_only_when_long(make_events):
     assert len(reports(one)) == 1 and set(reports(one)[0]["object_refs"]) == ids and len(ids) == 9
     assert len(reports(many)) == 3 and {x for r in reports(many) for x in r["object_refs"]} == ids
     assert reports(one)[0]["id"] in {r["id"] for r in reports(many)}
+
+
+def test_scores_round_by_their_exact_value(spark):
+    values = [i / 1000 for i in range(0, 1001)] + [0.8250000000000001, 0.625, 0.875]
+    df = spark.createDataFrame([(v,) for v in values if v >= 0.01], "v double")
+    assert all(r[1] == round(r[0], 2) for r in df.select("v", similarity.round_score(F.col("v"))).collect())
