@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm import bpe, langid, mixing, simhash
+from emberwatch.llm import bpe, langid, lm, mixing, simhash, sketches, vectors
 from emberwatch.session import load_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(F.expr(f"{IN_FIVE} = 0"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprinted(load_table(spark, sf_dir, "documents"))
+
+
+def op4_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(load_table(spark, sf_dir, "embeddings"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents")
     return mixing.mixed(docs, F.expr(DOMAIN), MIX)
@@ -65,6 +73,13 @@ def _op5_sql() -> str:
         coalesce(epochs + (before < rest)::int, 0)::int as copies from running"""
 
 
+def op6_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 10 = 0"), F.lit(False))
+    model, counts = lm.train(docs.filter(~held_out))
+    return lm.score(docs, model, counts).withColumn("held_out", held_out)
+
+
 def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(load_table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -75,7 +90,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_language_id": (op2_language_id, None),
+    "op3_scaled_sketch": (op3_scaled_sketch, None),
+    "op4_metric_range_join": (op4_metric_range_join, None),
     "op5_source_mixing": (op5_source_mixing, _op5_sql()),
+    "op6_gated_lm": (op6_gated_lm, None),
     "op7_bpe_transducer": (op7_bpe_transducer, None),
     "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
 }
