@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm import bpe, langid, lm, mixing, simhash, sketches, vectors
+from emberwatch.llm import bpe, chat, html, langid, lm, mixing, simhash, sketches, spans, vectors
 from emberwatch.session import load_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,16 @@ DOMAIN = "concat('d', cast(substring(source, 4) as int) % 4)"
 MIX = mixing.Mix(weights={"domain": {"d0": 2, "d1": 3}, "lang": {"en": 4, "de": 2}}, budget_share=0.75, max_epochs=3,
                  seed=42)
 
+TOOLS: chat.Schemas = {
+    "search": {"query": chat.Parameter("string", True), "limit": chat.Parameter("integer", True, least=1, most=100)},
+    "lookup": {"term": chat.Parameter("string", True), "exact": chat.Parameter("boolean")},
+    "summarise": {"text": chat.Parameter("string", True), "style": chat.Parameter("string", True, ("short", "long"))},
+}
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(load_table(spark, sf_dir, "pages"))
+
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents")
@@ -84,16 +94,51 @@ def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(load_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def tool_traffic(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each assistant turn read as a call made of its text, each user turn as the result of the turn before it.
+
+    A call needs the one two turns before. Turns without that neighbour give unanswered calls, orphans and needs that
+    name no call; long texts and missing styles fail their schemas.
+    """
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3))
+    search = F.to_json(F.struct(F.array_join(F.slice(words, 1, 6), " ").alias("query"), F.size(words).alias("limit")))
+    term = F.get(words, F.lit(0))
+    lookup = F.to_json(F.struct(term.alias("term"), (F.length(term) % 2 == 0).alias("exact")))
+    style = F.when(F.size(words) < 40, "short").when(F.size(words) > 80, "long")
+    summarise = F.to_json(F.struct(style.alias("style"), F.col("text").alias("text")))
+    calls = turns.filter("role = 'assistant'").select(
+        "conv_id", "turn", F.concat(F.lit("call_"), F.col("turn")).alias("call_id"),
+        F.when(kind == 0, "search").when(kind == 1, "lookup").otherwise("summarise").alias("name"),
+        F.when(kind == 0, search).when(kind == 1, lookup).otherwise(summarise).alias("arguments"),
+        F.array(F.concat(F.lit("call_"), F.col("turn") - 2)).alias("needs"))
+    results = turns.filter("role = 'user'").select(
+        "conv_id", "turn", F.concat(F.lit("call_"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return calls, results
+
+
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_traffic(load_table(spark, sf_dir, "conversations"))
+    return chat.exchanges(calls, results, TOOLS)
+
+
+def op9_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.section_tokens(load_table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(load_table(spark, sf_dir, "documents")).drop("fp")
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_html_extraction": (op1_html_extraction, None),
     "op2_language_id": (op2_language_id, None),
     "op3_scaled_sketch": (op3_scaled_sketch, None),
     "op4_metric_range_join": (op4_metric_range_join, None),
     "op5_source_mixing": (op5_source_mixing, _op5_sql()),
     "op6_gated_lm": (op6_gated_lm, None),
     "op7_bpe_transducer": (op7_bpe_transducer, None),
+    "op8_tool_calls": (op8_tool_calls, None),
+    "op9_token_spans": (op9_token_spans, None),
     "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
 }
