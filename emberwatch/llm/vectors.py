@@ -13,12 +13,13 @@ from emberwatch.llm.base import components
 from emberwatch.session import checkpointed
 
 THRESHOLD = 0.98
-PIVOTS = 16
-#: Cells above this size are partitioned again, by pivots of their own, at most LEVELS times in all.
-CELL_ROWS = 4000
-LEVELS = 4
+PIVOTS = 4
+#: Cells above this size are partitioned again, by pivots of their own, as long as that makes them smaller by SHRINK.
+CELL_ROWS = 8000
+SHRINK = 0.7
+LEVELS = 24
 #: What is still larger then is compared block by block, each pair of blocks on its own.
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 4000
 #: Rounding of distances: replication may be wider than needed, never narrower.
 SLACK = 1e-6
 
@@ -141,7 +142,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     vectors of different lengths, link with nothing: n_links 0, their own component. A null vec_id links but names no
     component. Columns besides vec_id, label and embedding are ignored. Pairs never leave a cell: it returns a count
     per vector and one edge per vector to its group. In data without clusters, high dimensions leave the triangle
-    inequality little to prune; cells then hold many replicas and the work nears that of comparing each label in blocks.
+    inequality little to prune: cells then hardly shrink, are not cut further by pivots, and are compared in blocks.
     """
     eps = float(np.sqrt(2 - 2 * threshold))
     rows = vectors.select("vec_id", "label", "embedding", unit_column().alias("unit"))
@@ -151,15 +152,17 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     kinds = checkpointed(linked.select("label", "unit", "copies", "first_id", F.monotonically_increasing_id().alias("id")))
     cells = kinds.select(F.concat_ws(":", "label", F.size("unit")).alias("cell"), "id", "copies", "unit",
                          F.lit(0).alias("away"))
-    done = []
+    done, before = [], cells.groupBy("cell").agg(F.count("*").alias("rows"))
     for level in range(LEVELS):
         cells = checkpointed(partition(cells, level, eps))
-        sizes = cells.groupBy("cell").agg(F.count("*").alias("rows"))
-        large = sizes.filter(F.col("rows") > CELL_ROWS).select("cell")
+        sizes = checkpointed(cells.groupBy("cell").agg(F.count("*").alias("rows")))
+        parents = before.select(F.col("cell").alias("parent"), F.col("rows").alias("of"))
+        large = sizes.withColumn("parent", F.regexp_replace("cell", "/[^/]*$", "")).join(parents, "parent").filter(
+            (F.col("rows") > CELL_ROWS) & (F.col("rows") < SHRINK * F.col("of"))).select("cell")
         if level == LEVELS - 1 or large.isEmpty():
             break
         done.append(cells.join(large, "cell", "left_anti"))
-        cells = cells.join(large, "cell", "left_semi")
+        cells, before = cells.join(large, "cell", "left_semi"), sizes
     for more in done:
         cells = cells.unionByName(more)
     sizes = cells.groupBy("cell").agg(F.count("*").alias("rows"))
