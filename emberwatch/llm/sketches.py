@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberwatch.session import checkpointed
+
 SHINGLE_WORDS = 5
 #: One hash in 2 ** FRACTION_BITS is kept: the kept ones are those that are 0 in so many leading bits.
 FRACTION_BITS = 4
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Neighbouring ids per cell when rows are put next to their neighbours.
-CELL_IDS = 256
+CELL_IDS = 1024
 
 
 def word_hashes(text: str) -> Column:
@@ -89,7 +91,8 @@ def with_next(docs: DataFrame, *also: str) -> DataFrame:
     ups = successors(tops.select(F.col("cell").alias("key")), 0, (high - low) // CELL_IDS)
     first_cell = ups.agg(F.min("key").alias("wrap"))
     ghosts = ups.crossJoin(F.broadcast(first_cell)).select(F.col("key").alias("cell"), F.coalesce("up", "wrap").alias("to"))
-    ghosts = ghosts.join(tops, "cell")
+    # A row per cell, written once: known to be small, it is sent to the texts, which then move once, to their cells.
+    ghosts = checkpointed(ghosts.join(tops, "cell"))
     rows = placed.join(ghosts, "cell").withColumn("g", F.explode(F.when(
         F.col("at") == F.col("top"), F.array(F.struct(F.col("cell"), F.lit(0).alias("ghost")),
                                              F.struct(F.col("to").alias("cell"), F.lit(1).alias("ghost"))))
