@@ -38,7 +38,7 @@ MARKUP = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"  # a quote that never ends
-    r"|<[!?/][^>]*+>?|<[a-zA-Z][^>]*+\Z", re.S)
+    r"|<[!?][^>]*+>?|</>|</[^a-zA-Z>][^>]*+>?|</?[a-zA-Z][^>]*+\Z", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
@@ -46,10 +46,15 @@ VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(\w+)", re.I)
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None):
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
+        self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], None
+
+    def add(self, child: Node | str, at: int | None = None) -> None:
+        self.children.insert(len(self.children) if at is None else at, child)
+        if isinstance(child, Node):
+            child.parent = self
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -111,9 +116,9 @@ class Builder:
 
     def foster(self, child: Node | str) -> None:
         """Content that can't be in a table goes before it."""
-        i = self.find({"table"}, set())
-        parent, table = self.path[i - 1], self.path[i]
-        parent.children.insert(len(parent.children) - 1 - parent.children[::-1].index(table), child)
+        table = self.path[self.find({"table"}, set())]
+        siblings = table.parent.children
+        table.parent.add(child, len(siblings) - 1 - siblings[::-1].index(table))
 
     def start(self, tag: str, source: str) -> None:
         if tag in ("html", "head", "body"):
@@ -139,7 +144,7 @@ class Builder:
         if at.tag in ("table", "thead", "tbody", "tfoot", "tr") and tag not in TABLE_PARTS and tag not in RAW | {"template"}:
             self.foster(node)
         else:
-            at.children.append(node)
+            at.add(node)
         if tag not in VOID:
             self.push(node)
 
@@ -161,7 +166,7 @@ class Builder:
 
     def imply(self, tag: str) -> None:
         node = Node(tag)
-        self.place().children.append(node)
+        self.place().add(node)
         self.push(node)
 
     def end(self, tag: str) -> None:

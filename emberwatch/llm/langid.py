@@ -40,19 +40,15 @@ _TABLE: list[np.ndarray] = []
 
 
 def ngram_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, text number) of the n-grams of all texts: windows of folded code points with at most one blank in a row."""
+    """(ids, text number) of the n-grams of all texts: windows of folded code points inside a text, blanks as one."""
     if not _TABLE:
         _TABLE.append(_folding())
-    # ORDER blanks between texts: no window reaches over them without a double blank.
-    joined = (" " * ORDER).join(t or "" for t in texts)
-    raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    lengths = np.array([len(t or "") + ORDER for t in texts], dtype=np.int64)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)[:len(raw)]
-    folded = np.concatenate([np.full(1, 32, np.uint32), _TABLE[0][raw], np.full(1, 32, np.uint32)])
-    owner = np.concatenate([owner[:1], owner, owner[-1:]])
-    blank = folded == 32
-    keep = ~(blank[1:] & blank[:-1])
-    keep = np.concatenate([[True], keep])  # runs of blanks as one
+    # A blank on either side of each text; runs of blanks inside a text count as one.
+    raw = np.frombuffer("".join(f" {t or ''} " for t in texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t or "") + 2 for t in texts])
+    folded = _TABLE[0][raw]
+    again = (folded[1:] == 32) & (folded[:-1] == 32) & (owner[1:] == owner[:-1])
+    keep = np.concatenate([np.ones(min(1, len(raw)), bool), ~again])
     folded, owner = folded[keep].astype(np.uint64), owner[keep]
     n = len(folded) - ORDER + 1
     if n <= 0:
