@@ -8,8 +8,11 @@ through the per-key window.
 
 from __future__ import annotations
 
-import math
+from bisect import bisect_left
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberwatch.session import checkpointed
@@ -142,79 +145,43 @@ def sample_first_n(df: DataFrame, keys: list[str], value: str, n: int, out: str
 
 # -- cooldown ------------------------------------------------------------------
 
-def _fold_kept(cooldown_us: int) -> Column:
-    """Greedy pass over one key's sorted candidates."""
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda acc, x: F.when(
-        acc["last"].isNull() | (x - acc["last"] >= cooldown_us),
-        F.struct(x.alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept")),
-    ).otherwise(acc)
-    return F.aggregate(F.sort_array("_times"), start, step, lambda acc: acc["kept"])
-
-
-def _next_allowed(times: DataFrame, keys: list[str], cooldown_us: int) -> DataFrame:
-    """For each candidate time, the first candidate at least `cooldown_us` later (null at the end)."""
-    cand = times.select(*keys, F.col("_us").alias("_at"), F.col("_us").alias("_found"),
-                        F.lit(None).cast("bigint").alias("_from"))
-    probe = times.select(*keys, (F.col("_us") + cooldown_us).alias("_at"), F.lit(None).cast("bigint").alias("_found"),
-                         F.col("_us").alias("_from"))
-    both = cand.unionByName(probe).withColumn("_cell", _cell("_at", cooldown_us))
-    later = Window.partitionBy(*keys).orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    first_after = (
-        both.groupBy(*keys, "_cell").agg(F.min("_found").alias("_first"))
-        .select(*keys, "_cell", F.last("_first", ignorenulls=True).over(later).alias("_after"))
-    )
-    inside = (
-        Window.partitionBy(*keys, "_cell").orderBy(F.col("_at").desc(), F.col("_from").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        both.withColumn("_here", F.last("_found", ignorenulls=True).over(inside))
-        .filter(F.col("_from").isNotNull())
-        .join(first_after, [*keys, "_cell"])
-        .select(*keys, F.col("_from").alias("_us"), F.coalesce("_here", "_after").alias("_next"))
-    )
+def _greedy(cooldown_us: int):
+    """Kept rows of pieces that arrive one after the other, each in time order; holds one batch and the last kept time."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        piece, last = None, 0
+        for frame in frames:
+            ids = list(zip(frame["_p"].tolist(), frame["_q"].tolist()))
+            times = frame["_us"].tolist()
+            cuts = np.flatnonzero((frame["_p"].diff() != 0) | (frame["_q"].diff() != 0)).tolist()
+            kept = []
+            for at, end in zip(cuts, [*cuts[1:], len(times)]):
+                if ids[at] != piece:
+                    piece, last = ids[at], times[at] - cooldown_us
+                while (at := bisect_left(times, last + cooldown_us, at, end)) < end:
+                    kept.append(at)
+                    last = times[at]
+            yield frame.iloc[kept]
 
-def _kept_by_jumps(times: DataFrame, keys: list[str], cooldown_us: int) -> DataFrame:
-    """Kept times of keys with very many candidates, by doubling the next-candidate pointer.
+    return run
 
-    The kept times are what the first candidate reaches; each round of jumps
-    doubles the distance, so the rounds grow with the log of the kept count.
-    """
-    span = times.groupBy(*keys).agg((F.max("_us") - F.min("_us")).alias("s")).agg(F.max("s")).first()[0]
-    rounds = max(1, math.ceil(math.log2((span or 0) / cooldown_us + 2)))
-    jumps = [checkpointed(_next_allowed(times, keys, cooldown_us).filter("_next IS NOT NULL"))]
-    for _ in range(rounds - 1):
-        step = jumps[-1]
-        onward = step.select(*keys, F.col("_us").alias("_next"), F.col("_next").alias("_beyond"))
-        jumps.append(checkpointed(step.join(onward, [*keys, "_next"]).select(*keys, "_us", F.col("_beyond").alias("_next"))))
-    kept = times.groupBy(*keys).agg(F.min("_us").alias("_us"))
-    for step in reversed(jumps):
-        kept = checkpointed(kept.unionByName(kept.join(step, [*keys, "_us"]).select(*keys, F.col("_next").alias("_us"))))
-    return kept
-
-
-def cooldown_filter(
-    candidates: DataFrame, keys: list[str], us: str, seq: str, cooldown_us: int, *, fold_limit: int = 200_000
-) -> DataFrame:
+
+def cooldown_filter(candidates: DataFrame, keys: list[str], us: str, seq: str, cooldown_us: int) -> DataFrame:
     """Keep a candidate only when at least `cooldown_us` passed since the last kept one of its key.
 
-    Keys of up to `fold_limit` distinct candidate times are folded in one array;
-    larger ones take the pointer-doubling route, which gives the same rows.
+    Of candidates at one time the lowest seq counts; without a cooldown all are kept. The greedy pass starts anew
+    wherever a key pauses for the cooldown, so a key's timeline is cut there and the pieces are independent. A piece
+    is sorted by Spark and walked once, batch by batch.
     """
+    if cooldown_us < 0:
+        raise ValueError("a cooldown is not negative")
+    if cooldown_us == 0:
+        return candidates
     candidates = checkpointed(candidates)
     firsts = candidates.groupBy(*keys, F.col(us).alias("_us")).agg(F.min(seq).alias("_seq"))
-    sizes = firsts.groupBy(*keys).agg(F.count("*").alias("_n"))
-    large = sizes.filter(F.col("_n") > fold_limit)
-    has_large = not large.isEmpty()
-    small = firsts.join(large, keys, "left_anti") if has_large else firsts
-    kept = (
-        small.groupBy(*keys).agg(F.collect_list("_us").alias("_times"))
-        .select(*keys, F.explode(_fold_kept(cooldown_us)).alias("_us"))
-    )
-    if has_large:
-        times = firsts.join(large, keys, "left_semi").select(*keys, "_us")
-        kept = kept.unionByName(_kept_by_jumps(times, keys, cooldown_us))
-    alerts = firsts.join(kept, [*keys, "_us"]).withColumnsRenamed({"_us": us, "_seq": seq})
+    pieces = gap_sessions(firsts, keys, "_us", max(1, cooldown_us - 1), "_start")
+    named = pieces.withColumns({"_p": F.xxhash64(*keys, "_start"), "_q": F.xxhash64(F.lit(1), *keys, "_start")})
+    ordered = named.select(*keys, "_us", "_seq", "_p", "_q").repartition("_p", "_q").sortWithinPartitions("_p", "_q", "_us")
+    alerts = ordered.mapInPandas(_greedy(cooldown_us), ordered.schema).select(
+        *keys, F.col("_us").alias(us), F.col("_seq").alias(seq))
     return candidates.join(alerts, [*keys, us, seq], "left_semi")

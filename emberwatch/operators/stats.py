@@ -29,8 +29,9 @@ def stats_totals(incidents: DataFrame, detections: DataFrame) -> DataFrame:
 
 
 def incidents_per_day(incidents: DataFrame, as_of: Column, days: int = 14) -> DataFrame:
-    """Incidents by UTC day of first_seen for the last `days` days (1 to 90), days without any included."""
-    days = min(max(days, 1), 90)
+    """Incidents by UTC day of first_seen for the last `days` days, days without any included."""
+    if days < 1:
+        raise ValueError("days is 1 or more")
     spark = incidents.sparkSession
     last = utc_day(as_of)
     calendar = spark.range(1).select(F.explode(F.sequence(F.date_sub(last, days - 1), last)).alias("day"))
@@ -121,18 +122,20 @@ def engine_counters(
 # -- queues ----------------------------------------------------------------------
 
 def latest_detections(detections: DataFrame, n: int) -> DataFrame:
-    """Newest `n` (at most 1000), handed back oldest first."""
+    """Newest `n`, handed back oldest first."""
     newest = [F.col(c).desc() for c in ("matched_at", "seq", "source", "rule_id")]
-    return detections.orderBy(*newest).limit(min(max(n, 1), 1000)).orderBy("matched_at", "seq", "source", "rule_id")
+    return detections.orderBy(*newest).limit(n).orderBy("matched_at", "seq", "source", "rule_id")
 
 
 def latest_incidents(incidents: DataFrame, n: int, actionable_only: bool = False) -> DataFrame:
     rows = incidents.filter("actionable") if actionable_only else incidents
-    return rows.orderBy(F.col("last_seen").desc(), "id").limit(min(max(n, 1), 500))
+    return rows.orderBy(F.col("last_seen").desc(), "id").limit(n)
 
 
-def incidents_by_status(incidents: DataFrame, status: str, n: int = 500) -> DataFrame:
-    return incidents.filter(F.coalesce("status", F.lit("open")) == status).orderBy(F.col("last_seen").desc(), "id").limit(n)
+def incidents_by_status(incidents: DataFrame, status: str, n: int | None = None) -> DataFrame:
+    """Incidents of one status, newest first; all of them unless `n` is given."""
+    rows = incidents.filter(F.coalesce("status", F.lit("open")) == status).orderBy(F.col("last_seen").desc(), "id")
+    return rows if n is None else rows.limit(n)
 
 
 def triage_queue(incidents: DataFrame, scope: str = "triage") -> DataFrame:

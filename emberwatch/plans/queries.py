@@ -345,26 +345,31 @@ def _(d):
 
 
 UNION_SIZE = "len(list_distinct(list_concat(a.{0}, b.{0})))"
+SHAPE_SQL = "concat_ws(chr(31), root, " + ", ".join(f"coalesce(array_to_string({c}, chr(30)), chr(29))" for c in ("chain", "techniques", "rule_ids")) + ")"
 NOISE = {
-    "prints": "SELECT id, coalesce(lower(chain[1]), '') AS root, list_distinct([lower(c) for c in chain]) AS chain, techniques, rule_ids, last_us, status FROM triage",
-    "past": "SELECT * FROM prints WHERE status = 'false_positive' ORDER BY last_us DESC, id LIMIT 500",
+    "prints": f"SELECT *, sha256({SHAPE_SQL}) AS fp FROM (SELECT id, coalesce(lower(chain[1]), '') AS root, list_sort(list_distinct([lower(c) for c in chain])) AS chain, techniques, rule_ids, last_us, status FROM triage)",
+    "open_kinds": "SELECT DISTINCT fp, root, chain, techniques, rule_ids FROM prints WHERE status = 'open'",
+    "past_kinds": "SELECT DISTINCT fp, root, chain, techniques, rule_ids FROM prints WHERE status = 'false_positive'",
     # Added in the operator's order and divided by the same sum of weights, so that doubles agree to the bit.
-    "scored": "SELECT a.id, b.id AS matched_id, b.last_us AS matched_us, (" + " + ".join(
+    "scored": "SELECT a.fp, b.fp AS matched_fp, (" + " + ".join(
         f"{w}::DOUBLE * (len(list_intersect(a.{c}, b.{c}))::DOUBLE / {UNION_SIZE.format(c)})" if c else
         f"{w}::DOUBLE * (a.root <> '' AND a.root = b.root)::INT" for w, c in ((0.5, "rule_ids"), (0.2, "techniques"), (0.2, ""), (0.1, "chain"))
-    ) + f") / {0.5 + 0.2 + 0.2 + 0.1!r}::DOUBLE AS score FROM prints a, past b WHERE a.status = 'open'",
+    ) + f") / {0.5 + 0.2 + 0.2 + 0.1!r}::DOUBLE AS score FROM open_kinds a, past_kinds b",
     "noisy": "SELECT * FROM scored WHERE score >= 0.6::DOUBLE",
+    "ranked": "SELECT n.fp, h.id AS matched_id, printf('%.2f', n.score)::DOUBLE AS score, row_number() OVER (PARTITION BY n.fp ORDER BY printf('%.2f', n.score)::DOUBLE DESC, h.last_us DESC, h.id) AS place FROM noisy n JOIN prints h ON h.fp = n.matched_fp AND h.status = 'false_positive'",
 }
 
 
 def _noise(d):
+    """(open incidents, past false positives, pairs of their shapes)."""
     shape = similarity.fingerprints(d.triaged).join(d.triaged.select("id", "status"), "id")
-    return similarity.noise_join(shape.filter("status = 'open'").drop("status"), shape.filter("status = 'false_positive'").drop("status"))
+    open_, past = (shape.filter(F.col("status") == s).drop("status") for s in ("open", "false_positive"))
+    return open_, past, similarity.noise_join(open_, past)
 
 
-@query("noise_join", "SELECT id, matched_id, round(score, 6) AS score FROM noisy", **NOISE)
+@query("noise_join", "SELECT fp, matched_fp, round(score, 6) AS score FROM noisy", **NOISE)
 def _(d):
-    return _noise(d).select("id", "matched_id", F.round("score", 6).alias("score"))
+    return _noise(d)[2].select("fp", "matched_fp", F.round("score", 6).alias("score"))
 
 
 @query("node_detection_join", """SELECT n.host, n.guid, coalesce(count(d.seq), 0) AS detections, CASE max(list_position(['info', 'low', 'medium', 'high', 'critical'], d.severity))
@@ -538,7 +543,7 @@ def _(d):
     return stats.stats_totals(d.triaged, d.plan.detections)
 
 
-@query("incidents_per_day", """SELECT strftime(day, '%Y-%m-%d') AS day, count(i.id) AS incidents FROM (SELECT unnest(range(90)) AS n) x
+@query("incidents_per_day", """SELECT strftime(day, '%Y-%m-%d') AS day, count(i.id) AS incidents FROM (SELECT unnest(range(200)) AS n) x
     JOIN (SELECT max(us) AS m FROM tele) ON true JOIN LATERAL (SELECT (make_timestamp(m)::DATE - n::INT)::DATE AS day) ON true LEFT JOIN inc i ON make_timestamp(i.first_us)::DATE = day GROUP BY day""")
 def _(d):
     as_of = F.lit(d.events.agg(F.max("timestamp")).first()[0])
@@ -688,7 +693,7 @@ def _(d):
     return stats.latest_incidents(d.plan.incidents, 50, actionable_only=True).select("id", us("last_seen").alias("last_us"))
 
 
-@query("incidents_by_status", "SELECT id, last_us FROM triage WHERE status = 'closed' ORDER BY last_us DESC, id LIMIT 500")
+@query("incidents_by_status", "SELECT id, last_us FROM triage WHERE status = 'closed'")
 def _(d):
     return stats.incidents_by_status(d.triaged, "closed").select("id", us("last_seen").alias("last_us"))
 
@@ -702,16 +707,16 @@ HAY = "lower(concat_ws(' ', rule_id, title, image, coalesce(parent_image, ''), c
 
 
 @query("search_rank", "SELECT incident_id, match_count FROM ("
-       "SELECT i.id AS incident_id, i.last_us, coalesce(h.n, 0) AS match_count, lower(i.title || ' ' || array_to_string(i.chain, ' ')) AS text FROM inc i LEFT JOIN hits h ON h.incident_id = i.id) WHERE match_count > 0 OR contains(text, 'whoami') ORDER BY match_count DESC, last_us DESC, incident_id LIMIT 200",
+       "SELECT i.id AS incident_id, i.last_us, coalesce(h.n, 0) AS match_count, lower(i.title || ' ' || array_to_string(i.chain, ' ')) AS text FROM inc i LEFT JOIN hits h ON h.incident_id = i.id) WHERE match_count > 0 OR contains(text, 'whoami') ",
        hits=f"SELECT incident_id, count(*) AS n FROM members WHERE contains({HAY}, 'whoami') GROUP BY 1")
 def _(d):
-    hits = search.search_rank(search.search_incidents(d.plan.incidents, d.plan.members, terms=["WhoAmI"])).limit(200)
+    hits = search.search_rank(search.search_incidents(d.plan.incidents, d.plan.members, terms=["WhoAmI"]))
     return hits.select("incident_id", "match_count")
 
 
-@query("noise_top3", "SELECT id, matched_id, score, place FROM (SELECT id, matched_id, matched_us, printf('%.2f', score)::DOUBLE AS score, row_number() OVER (PARTITION BY id ORDER BY printf('%.2f', score)::DOUBLE DESC, matched_us DESC, matched_id) AS place FROM noisy) WHERE place <= 3", **NOISE)
+@query("noise_top3", "SELECT p.id, r.matched_id, r.score, r.place FROM prints p JOIN ranked r USING (fp) WHERE p.status = 'open' AND r.place <= 3", **NOISE)
 def _(d):
-    return similarity.noise_top3(_noise(d)).select("id", "matched_id", "score", F.col("rank").cast("bigint").alias("place"))
+    return similarity.noise_top3(*_noise(d)).select("id", "matched_id", "score", F.col("rank").cast("bigint").alias("place"))
 
 
 @query("sample_first_n", "SELECT host, array_to_string(list_sort(list(DISTINCT dest_ip || ':' || dest_port))[:10], ',') AS sample FROM conn GROUP BY host")
@@ -736,18 +741,18 @@ def _(d):
     return d.plan.incidents.select("id", F.round(similarity.jaccard(F.col("techniques"), F.lit(["T1059", "T1003.001", "T1082", "T1571"])), 6).alias("likeness"))
 
 
-@query("noise_similarity", "SELECT id, matched_id, round(score, 6) AS score, array_to_string([r for r in [CASE WHEN rules >= 0.5 THEN 'same detection rules' END, CASE WHEN techniques >= 0.5 THEN 'same ATT&CK techniques' END, "
+@query("noise_similarity", "SELECT fp, matched_fp, round(score, 6) AS score, array_to_string([r for r in [CASE WHEN rules >= 0.5 THEN 'same detection rules' END, CASE WHEN techniques >= 0.5 THEN 'same ATT&CK techniques' END, "
        "CASE WHEN root THEN 'same root process' END, CASE WHEN chains >= 0.5 THEN 'overlapping process chain' END] if r IS NOT NULL], '; ') AS matched_on FROM parts", **NOISE,
-       parts="SELECT n.id, n.matched_id, n.score, a.root <> '' AND a.root = b.root AS root, " + ", ".join(
+       parts="SELECT n.fp, n.matched_fp, n.score, a.root <> '' AND a.root = b.root AS root, " + ", ".join(
            f"len(list_intersect(a.{c}, b.{c})) / {UNION_SIZE.format(c)} AS {alias}" for c, alias in (("rule_ids", "rules"), ("techniques", "techniques"), ("chain", "chains"))
-       ) + " FROM noisy n JOIN prints a ON a.id = n.id JOIN past b ON b.id = n.matched_id")
+       ) + " FROM noisy n JOIN open_kinds a ON a.fp = n.fp JOIN past_kinds b ON b.fp = n.matched_fp")
 def _(d):
-    return _noise(d).select("id", "matched_id", F.round("score", 6).alias("score"), joined("matched_on", "; ").alias("matched_on"))
+    return _noise(d)[2].select("fp", "matched_fp", F.round("score", 6).alias("score"), joined("matched_on", "; ").alias("matched_on"))
 
 
-@query("noise_open_only", "SELECT t.id, coalesce(n.score, -1) AS noise_score FROM triage t LEFT JOIN (SELECT id, max(printf('%.2f', score)::DOUBLE) AS score FROM noisy GROUP BY 1) n ON n.id = t.id WHERE t.status = 'open'", **NOISE)
+@query("noise_open_only", "SELECT p.id, coalesce(r.score, -1) AS noise_score FROM prints p LEFT JOIN ranked r ON r.fp = p.fp AND r.place = 1 WHERE p.status = 'open'", **NOISE)
 def _(d):
-    return similarity.noise_open_only(d.triaged, similarity.noise_top3(_noise(d))).select("id", F.coalesce("noise_score", F.lit(-1.0)).alias("noise_score"))
+    return similarity.noise_open_only(d.triaged, similarity.noise_top3(*_noise(d))).select("id", F.coalesce("noise_score", F.lit(-1.0)).alias("noise_score"))
 
 
 # -- 2.10 search -------------------------------------------------------------------------------------

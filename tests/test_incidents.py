@@ -1,5 +1,8 @@
+import itertools
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from emberwatch.functions import scalars as sc
@@ -10,6 +13,7 @@ from emberwatch.plans.detection import Detection
 from emberwatch.sources.events import intake_split
 from emberwatch.sources.tables import triage_overlay
 
+SHAPES = "id string, root_image string, chain array<string>, techniques array<string>, rule_ids array<string>, last_seen int"
 NODES = "host string, guid string, parent_guid string, image string, command_line string, first_seen timestamp, last_seen timestamp, name string"
 ANY = [Rule("R1", 1, "medium", "one", {"command_line|contains": "x"}, ("T1059",)), Rule("R2", 1, "critical", "two", {"command_line|contains": "y"}, ("T1003.001",))]
 
@@ -67,27 +71,37 @@ def test_search_levels(make_events):
     assert find(filters={"user": "bob", "severity": "critical"}) == []
 
 
-def test_noise_join_finds_what_all_pairs_find(spark):
-    import itertools
-    import random
+def likeness(a, b):
+    jac = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if set(x) | set(y) else 0.0
+    parts = [(0.5, jac(a[4], b[4]))] if a[4] is not None and b[4] else []
+    parts += [(0.2, jac(a[3], b[3])), (0.2, float(a[1] != "" and a[1] == b[1])), (0.1, jac(a[2], b[2]))]
+    return sum(w * v for w, v in parts) / sum(w for w, _ in parts)
 
+
+@pytest.mark.parametrize("threshold", [0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9])
+def test_noise_join_finds_what_all_pairs_find(spark, threshold):
     random.seed(3)
     pick = lambda pool, n: sorted(random.sample(pool, random.randint(0, n)))
     rows = [(f"i{i}", random.choice(["", "a", "b"]), pick(["a", "b", "c"], 3), pick(["T1", "T2", "T3"], 3),
-             None if i % 5 == 0 else pick(["R1", "R2", "R3"], 3), i) for i in range(60)]
-    schema = "id string, root_image string, chain array<string>, techniques array<string>, rule_ids array<string>, last_seen int"
-    frame = spark.createDataFrame(rows, schema)
-    got = {(r.id, r.matched_id) for r in similarity.noise_join(frame.filter("last_seen < 30"), frame.filter("last_seen >= 30")).collect()}
-
-    def likeness(a, b):
-        jac = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if set(x) | set(y) else 0.0
-        parts = [(0.5, jac(a[4], b[4]))] if a[4] is not None and b[4] else []
-        parts += [(0.2, jac(a[3], b[3])), (0.2, float(a[1] != "" and a[1] == b[1])), (0.1, jac(a[2], b[2]))]
-        return sum(w * v for w, v in parts) / sum(w for w, _ in parts)
-
-    sure = {(a[0], b[0]) for a, b in itertools.product(rows[:30], rows[30:]) if likeness(a, b) >= 0.6 + 1e-9}
-    possible = {(a[0], b[0]) for a, b in itertools.product(rows[:30], rows[30:]) if likeness(a, b) >= 0.6 - 1e-9}
+             None if i % 5 == 0 else pick(["R1", "R2", "R3", "R4"], 4), i) for i in range(90)]
+    frame = similarity.with_digest(spark.createDataFrame(rows, SHAPES))
+    names = {r.fp: r.id for r in frame.collect()}
+    pairs = similarity.noise_join(frame.filter("last_seen < 45"), frame.filter("last_seen >= 45"), threshold=threshold)
+    by_id = {r[0]: r for r in rows}
+    got = {(r.fp, r.matched_fp) for r in pairs.collect()}
+    prints = {r.id: r.fp for r in frame.collect()}
+    sure, possible = ({(prints[a[0]], prints[b[0]]) for a, b in itertools.product(rows[:45], rows[45:]) if likeness(a, b) >= threshold + e}
+                      for e in (1e-9, -1e-9))
     assert sure <= got <= possible and sure
+    assert len(by_id) == 90 and len(names) <= 90
+
+
+def test_the_oldest_of_many_false_positives_can_be_the_best_match(spark):
+    past = [(f"p{i}", "r", ["a"], ["T1"], ["R1", f"X{i}", f"Y{i}"], 1000 + i) for i in range(700)] + [("old", "r", ["a"], ["T1"], ["R1", "R2"], 1)]
+    open_ = similarity.with_digest(spark.createDataFrame([("o", "r", ["a"], ["T1"], ["R1", "R2"], 9999)], SHAPES))
+    history = similarity.with_digest(spark.createDataFrame(past, SHAPES))
+    top = similarity.noise_top3(open_, history, similarity.noise_join(open_, history)).orderBy("rank").collect()
+    assert [(r.matched_id, r.score) for r in top] == [("old", 1.0), ("p699", 0.63), ("p698", 0.63)]
 
 
 def test_triage_overlay_defaults_and_limits(spark):

@@ -19,9 +19,8 @@ def by_key(k):
     return sorted((u, s) for kk, u, s in ROWS if kk == k)
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])  # 0 sends every key down the route for hot keys
-@pytest.mark.parametrize("cooldown", [70, 4000])
-def test_cooldown_is_greedy_on_both_routes(rows, cooldown, limit):
+@pytest.mark.parametrize("cooldown", [1, 2, 70, 4000, 100_000])
+def test_cooldown_is_greedy(rows, cooldown):
     want = set()
     for k in "ab":
         last = None
@@ -29,7 +28,20 @@ def test_cooldown_is_greedy_on_both_routes(rows, cooldown, limit):
             if last is None or u - last >= cooldown:
                 want.add((k, u, s))
                 last = u
-    assert {tuple(r) for r in cooldown_filter(rows, ["k"], "us", "seq", cooldown, fold_limit=limit).collect()} == want
+    assert {tuple(r) for r in cooldown_filter(rows, ["k"], "us", "seq", cooldown).collect()} == want
+
+
+def test_no_cooldown_keeps_all_and_a_negative_one_is_refused(rows):
+    assert cooldown_filter(rows, ["k"], "us", "seq", 0).count() == len(ROWS)
+    with pytest.raises(ValueError):
+        cooldown_filter(rows, ["k"], "us", "seq", -1)
+
+
+def test_cooldown_of_one_busy_key(spark):
+    """A million candidates of one key: all kept, and in one piece without a pause."""
+    far = spark.range(1_000_000).selectExpr("'k' as k", "id * 10 as us", "id as seq")
+    assert cooldown_filter(far, ["k"], "us", "seq", 10).count() == 1_000_000
+    assert cooldown_filter(far, ["k"], "us", "seq", 25).count() == 333_334
 
 
 def test_gap_boundary_is_inclusive(spark):
