@@ -29,6 +29,21 @@ def once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
+def round_exact(x: Column, digits: int) -> Column:
+    """A non-negative double under 2**50 to `digits` digits, by its exact binary value and half to even.
+
+    Spark rounds the shortest decimal text of a double instead, which moves values
+    such as 0.925 (stored slightly above it) the other way, and ties away from zero.
+    """
+    bits = F.least(F.lit(60), F.lit(52) - F.floor(F.log2(F.greatest(x, F.lit(2.0 ** -8)))))
+    unit = F.pow(F.lit(2.0), bits).cast("bigint").cast("decimal(19,0)")
+    scaled = (x * F.pow(F.lit(2.0), bits)).cast("bigint").cast("decimal(19,0)") * F.lit(10 ** digits).cast(f"decimal({digits + 1},0)")
+    rest = scaled % unit
+    whole = ((scaled - rest) / unit).cast("bigint")
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & (whole % 2 == 1))
+    return (whole + up.cast("int")) / F.lit(10.0 ** digits)
+
+
 def word_count(text: Column) -> Column:
     """Words separated by any Unicode white space or separator control."""
     return F.size(F.filter(F.split(text, r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"), lambda w: w != ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberwatch.functions.predicates import REGEX_FLAGS
-from emberwatch.functions.scalars import basename, once
+from emberwatch.functions.scalars import basename, once, round_exact
 from emberwatch.model import (
     BEACON_RULE, BEACON_TECHNIQUES, DETECTION_COLUMNS, DISCOVERY_RULE, DISCOVERY_SIGNATURES, EXCLUDED_IMAGES,
     NETWORK_CONNECT, PROCESS_CREATE, SCAN_RULE, SCAN_TECHNIQUE, SWEEP_TECHNIQUE, epoch_us,
@@ -120,9 +120,9 @@ def beacon_detect(
     where = F.concat_ws(":", "dest_ip", "dest_port")
     evidence = F.create_map(
         F.lit("destination"), where, F.lit("connections"), F.col("connections").cast("string"),
-        F.lit("median_interval_seconds"), F.round("median_s", 1).cast("string"),
-        F.lit("jitter_seconds"), F.round("jitter_s", 1).cast("string"),
-        F.lit("regularity"), F.round("regularity", 3).cast("string"),
+        F.lit("median_interval_seconds"), round_exact(F.col("median_s"), 1).cast("string"),
+        F.lit("jitter_seconds"), round_exact(F.col("jitter_s"), 1).cast("string"),
+        F.lit("regularity"), round_exact(F.col("regularity"), 3).cast("string"),
         F.lit("observed_over_seconds"), whole(F.col("observed_s")),
     )
     return alerts.withColumns({

@@ -18,7 +18,7 @@ SECOND = 1_000_000
 
 
 def attach_tree(detections: DataFrame, chains: DataFrame) -> DataFrame:
-    """Add root_guid, root_image and chain; a detection of an unknown process stands alone.
+    """Add root_guid, root_image, chain and `treed` (chain is of the tree); a detection of an unknown process stands alone.
 
     Without a process the key is per host and rule, and the chain falls back to
     the parent and image names on the event itself.
@@ -35,7 +35,7 @@ def attach_tree(detections: DataFrame, chains: DataFrame) -> DataFrame:
         .withColumns({
             "root_guid": F.coalesce("_root", "guid"),
             "root_image": F.when(F.col("_root").isNotNull(), F.col("_image")).otherwise(F.col("parent_image")),
-            "chain": F.coalesce("_chain", fallback),
+            "chain": F.coalesce("_chain", fallback), "treed": F.col("_chain").isNotNull(),
         })
         .drop("_root", "_image", "_chain", "guid")
     )
@@ -96,21 +96,24 @@ def correlate_incidents(members: DataFrame) -> DataFrame:
         F.sum(severity_weight(F.col("severity"))).alias("score"),
         F.count("*").alias("detection_count"),
         F.max((F.col("severity") == "critical").cast("int")).alias("_critical"),
-        F.min_by("chain", F.struct(-F.size("chain"), "us", "seq", "source", "rule_id")).alias("chain"),
+        F.min_by("chain", order).alias("_opening"),
+        F.min_by(F.when(F.col("treed"), F.col("chain")), F.struct(~F.col("treed"), -F.size("chain"), order)).alias("_tree"),
         F.sort_array(F.collect_set("rule_id")).alias("rule_ids"),
         F.flatten(F.collect_set("attack")).alias("_attack"),
         F.min("matched_at").alias("first_seen"), F.max("matched_at").alias("last_seen"),
     )
     techniques = F.array_sort(F.array_distinct("_attack"))
+    # The opening detection's chain, fallback or not, unless a later one has a longer chain in the tree.
+    chain = F.when(F.size("_tree") > F.size("_opening"), F.col("_tree")).otherwise(F.col("_opening"))
     return (
-        grouped.withColumn("techniques", techniques)
+        grouped.withColumn("techniques", techniques).withColumn("chain", chain)
         .withColumns({
             "severity": score_severity(F.col("score")),
             "actionable": is_actionable(F.col("score"), F.col("_critical") == 1, F.col("detection_count")),
             "classification": correlation_chain(F.col("rule_ids"))["name"],
             "title": incident_title(F.col("host"), F.col("rule_ids"), F.col("techniques")),
         })
-        .drop("_critical", "_attack")
+        .drop("_critical", "_attack", "_opening", "_tree")
         .withColumnRenamed("incident_id", "id")
     )
 

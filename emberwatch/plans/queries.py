@@ -912,7 +912,7 @@ PATTERN = """SELECT DISTINCT incident_id, pattern FROM (
     SELECT incident_id, '[windows-registry-key:key = ''' || replace(target_object, chr(92), chr(92) || chr(92)) || ''']' FROM members) WHERE pattern IS NOT NULL"""
 
 
-@query("stix_objects", "SELECT id AS incident_id, 'identity' AS type, " + STIX_ID.format(kind="identity", seed="'emberwatch'") + " AS id, strftime(make_timestamp(first_us), '%Y-%m-%dT%H:%M:%S.%gZ') AS created, 'emberwatch' AS name FROM inc "
+@query("stix_objects", "SELECT NULL::VARCHAR AS incident_id, 'identity' AS type, " + STIX_ID.format(kind="identity", seed="'emberwatch'") + " AS id, strftime(make_timestamp(min(first_us)), '%Y-%m-%dT%H:%M:%S.%gZ') AS created, 'emberwatch' AS name FROM inc HAVING count(*) > 0 "
        "UNION ALL SELECT incident_id, 'attack-pattern', " + STIX_ID.format(kind="attack-pattern", seed="t") + ", created, t FROM (SELECT id AS incident_id, unnest(techniques) AS t, strftime(make_timestamp(first_us), '%Y-%m-%dT%H:%M:%S.%gZ') AS created FROM inc) "
        "UNION ALL SELECT p.incident_id, 'indicator', " + STIX_ID.format(kind="indicator", seed="p.pattern") + ", strftime(make_timestamp(i.first_us), '%Y-%m-%dT%H:%M:%S.%gZ'), p.pattern FROM patterns p JOIN inc i ON i.id = p.incident_id "
        "UNION ALL SELECT id, 'report', " + STIX_ID.format(kind="report", seed="inc.id") + ", strftime(make_timestamp(first_us), '%Y-%m-%dT%H:%M:%S.%gZ'), title FROM inc", patterns=PATTERN)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberwatch.model import MAX_EVENT_BYTES, SYSMON_CHANNEL
@@ -31,16 +34,33 @@ def intake_counts(split: DataFrame) -> DataFrame:
     return split.groupBy("outcome").agg(F.count("*").alias("payloads"))
 
 
-def lift_text_nodes(json_text: Column, depth: int = 3) -> Column:
-    """Replace each object whose only key is `#text` by its scalar value, innermost first.
+def _lifted(text: str | None) -> str | None:
+    try:
+        boxes = [[json.loads(text)]]
+    except (TypeError, ValueError):
+        return text
+    top = boxes[0]
+    while boxes:
+        box = boxes.pop()
+        for at, child in list(enumerate(box) if isinstance(box, list) else box.items()):
+            if isinstance(child, dict) and list(child) == ["#text"]:
+                box[at] = child["#text"]
+            elif isinstance(child, (dict, list)):
+                boxes.append(child)
+    return json.dumps(top[0], ensure_ascii=False, separators=(",", ":"))
+
+
+def lift_text_nodes(json_text: Column) -> Column:
+    """Replace each object whose only key is `#text` by that value, whatever it is; what is lifted is not searched again.
 
-    Works on compact JSON text: inside a string value the quotes would be escaped,
-    so the pattern cannot match there.
+    Text that is no JSON stays as it is.
     """
-    pattern = r'\{"#text":("(?:[^"\\]|\\.)*+"|[^{}\[\],"]++)\}'
-    for _ in range(depth):
-        json_text = F.regexp_replace(json_text, pattern, "$1")
-    return json_text
+
+    @F.pandas_udf("string")
+    def lifted(texts: pd.Series) -> pd.Series:
+        return texts.map(_lifted)
+
+    return lifted(json_text)
 
 
 def evtx_json_to_payload(records: DataFrame, *, record: str = "value") -> DataFrame:

@@ -10,7 +10,7 @@ from emberwatch.operators import evidence, exports, search, similarity, tree
 from emberwatch.operators.matching import Rule
 from emberwatch.operators.normalize import normalize_events
 from emberwatch.plans.detection import Detection
-from emberwatch.sources.events import intake_split
+from emberwatch.sources.events import intake_split, lift_text_nodes
 from emberwatch.sources.tables import triage_overlay
 
 SHAPES = "id string, root_image string, chain array<string>, techniques array<string>, rule_ids array<string>, last_seen int"
@@ -154,4 +154,26 @@ def test_stix_report_splits_only_when_long(make_events):
 def test_scores_round_by_their_exact_value(spark):
     values = [i / 1000 for i in range(0, 1001)] + [0.8250000000000001, 0.625, 0.875]
     df = spark.createDataFrame([(v,) for v in values if v >= 0.01], "v double")
-    assert all(r[1] == round(r[0], 2) for r in df.select("v", similarity.round_score(F.col("v"))).collect())
+    assert all(r[1] == round(r[0], 2) for r in df.select("v", sc.round_exact(F.col("v"), 2)).collect())
+
+
+def test_other_roundings_are_exact_too(spark):
+    values = [62.25, 62.35, 0.05, 0.15, 1234.5, 0.0, 863_999.95, 7.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(sc.round_exact(F.col("v"), 1)).collect()] == [round(v, 1) for v in values]
+
+
+def test_fallback_chain_is_the_opening_detections(make_events):
+    chain = lambda *rows: Detection(make_events(list(rows)), ANY).incidents.first().chain
+    first = dict(at=0, command_line="x", image="C:\\a.exe")
+    assert chain(first, dict(at=5, command_line="x", image="C:\\b.exe", parent_image="C:\\p.exe")) == ["a.exe"]
+    tree_rows = [dict(at=0, process_guid="r", image="C:\\r.exe", command_line="x"),
+                 dict(at=5, process_guid="c", parent_process_guid="r", image="C:\\c.exe", command_line="x")]
+    assert chain(*tree_rows) == ["r.exe", "c.exe"]
+
+
+def test_text_nodes_are_lifted_once(spark):
+    cases = {'{"a":{"#text":[1,2]}}': '{"a":[1,2]}', '{"#text":{"#text":1}}': '{"#text":1}', '[{"#text":"x"},{"b":{"#text":null}}]': '["x",{"b":null}]',
+             '{"a":{"#text":1,"k":2}}': '{"a":{"#text":1,"k":2}}', "broken{": "broken{", '{"t":"{\\"#text\\":1}"}': '{"t":"{\\"#text\\":1}"}'}
+    df = spark.createDataFrame(list(cases.items()) + [(None, None)], "source string, want string")
+    assert all(r[0] == r[1] for r in df.select(lift_text_nodes(F.col("source")), "want").collect())
