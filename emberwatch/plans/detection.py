@@ -15,14 +15,15 @@ from emberwatch.session import checkpointed
 class Detection:
     """The derived frames of one event table, each built on first use.
 
-    `settings` holds keyword arguments per detector: {"beacon": {...},
-    "discovery": {...}, "scan": {...}}; a detector left out does not run.
+    All detectors run on their defaults. `settings` holds keyword arguments per
+    detector: {"beacon": {...}, "discovery": {...}, "scan": {...}}; where it is
+    given, a detector left out does not run.
     """
 
     def __init__(self, events: DataFrame, rules: Iterable[Rule] | None = None, settings: dict[str, dict] | None = None):
         self.events = events
         self.rules = list(rules) if rules is not None else matching.shipped_rules()
-        self.settings = settings or {}
+        self.settings = {"beacon": {}, "discovery": {}, "scan": {}} if settings is None else settings
 
     @cached_property
     def nodes(self) -> DataFrame:

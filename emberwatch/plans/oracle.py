@@ -106,8 +106,10 @@ def phrase_sql() -> str:
     details = f"[d for d in {details} if d IS NOT NULL]"
     rows = [("tactic = 'defense-evasion'",
              f"CASE WHEN len({details}) > 0 THEN 'evaded defenses (' || array_to_string({details}, ', ') || ')' ELSE 'took steps to evade defenses' END")]
+    measured = {"discovery": "'performed host reconnaissance across ' || breadth || ' distinct techniques'",
+                "command-and-control": "'established C2, beaconing to a remote host every ~' || round_even(beat, 0)::BIGINT || 's'"}
     for tactic, options in evidence.PHRASES.items():
-        rows.append((f"tactic = {q(tactic)}", case([(occurs(r, t), q(x)) for r, t, x in options])))
+        rows.append((f"tactic = {q(tactic)}", f"coalesce({measured.get(tactic, 'NULL')}, " + case([(occurs(r, t), q(x)) for r, t, x in options]) + ")"))
     return case(rows)
 
 
@@ -115,7 +117,7 @@ def severity_case(column: str) -> str:
     return case([(f"{column} >= {floor}", q(name)) for floor, name in m.SCORE_BANDS], "'info'")
 
 
-ORD = "us, seq, rule_id"
+ORD = "us, seq, source, rule_id"
 WEIGHT = case([(f"severity = {q(k)}", str(v)) for k, v in m.SEVERITY_WEIGHT.items()])
 BASE = r"regexp_replace({}, '^.*[\\/]', '')"
 EXCLUDED = ", ".join(q(x) for x in m.EXCLUDED_IMAGES)
@@ -147,7 +149,20 @@ CTES = {
     "rules": "SELECT * FROM (VALUES " + ", ".join(
         f"({q(r[0])}, {r[1]}, {q(r[5])}, {q(r[2])}, {items(r[4].split())})" for r in RULES) + ") AS v(rule_id, event_id, title, severity, attack)",
     "fired": "SELECT seq, unnest([r for r in [" + ",\n".join(rule_sql(r) for r in _seen_rules) + "] if r IS NOT NULL]) AS rule_id FROM tele",
-    "det": "SELECT t.*, r.rule_id, r.title, r.severity, r.attack FROM fired f JOIN tele t USING (seq) JOIN rules r USING (rule_id)",
+    # Detections: what rules and detectors found, with the event they stand on; beat, breadth and evidence size of the latter.
+    "rdet": "SELECT t.*, r.rule_id, r.title, r.severity, r.attack, 0 AS source, NULL::DOUBLE AS beat, NULL::BIGINT AS breadth, 0 AS ev FROM fired f JOIN tele t USING (seq) JOIN rules r USING (rule_id)",
+    "beacon_found": f"""SELECT t.*, {q(m.BEACON_RULE)} AS rule_id, 'Periodic outbound connection: ' || a.process || ' to ' || a.dest_ip || ':' || a.dest_port || ' every ~' || round_even(a.med / 1e6, 0)::BIGINT || 's' AS title,
+        CASE WHEN a.regularity >= 0.92 THEN 'critical' ELSE 'high' END AS severity, {items(m.BEACON_TECHNIQUES)} AS attack, 1 AS source, printf('%.1f', a.med / 1e6)::DOUBLE AS beat, NULL::BIGINT AS breadth, 6 AS ev
+        FROM beacon_alerts a JOIN tele t ON t.seq = a.seq""",
+    "disc_found": f"""SELECT t.* REPLACE (NULL::VARCHAR AS cmd), {q(m.DISCOVERY_RULE)} AS rule_id, 'Reconnaissance burst: ' || len(a.attack) || ' distinct discovery techniques in ' || a.span || 's' AS title,
+        CASE WHEN a.kinds >= 5 THEN 'high' ELSE 'medium' END AS severity, a.attack, 2 AS source, NULL::DOUBLE AS beat, a.kinds AS breadth, 4 AS ev FROM (SELECT a.seq, a.kinds, list_sort(list(DISTINCT s.technique)) AS attack,
+        round_even((max(s.us) - min(s.start_us)) / 1e6, 0)::BIGINT AS span FROM disc_alerts a JOIN disc_sess s ON s.host = a.host AND s.root = a.root AND s.us >= a.us - 1800000000
+        AND (s.us < a.us OR (s.us = a.us AND s.seq <= a.seq)) GROUP BY a.seq, a.kinds) a JOIN tele t ON t.seq = a.seq""",
+    "scan_found": f"""SELECT t.*, {q(m.SCAN_RULE)} AS rule_id, 'Network ' || CASE WHEN ips >= 2 AND ports >= 3 THEN 'network scan' WHEN ips >= 2 THEN 'host sweep' ELSE 'port scan' END || ': ' || a.process || ' reached ' || ips || ' distinct host(s) and '
+        || ports || ' distinct port(s) in ' || round_even(span / 1e6, 0)::BIGINT || 's' AS title, CASE WHEN ips >= 4 OR ports >= 6 THEN 'critical' ELSE 'high' END AS severity,
+        CASE WHEN ips >= 2 THEN {items((m.SCAN_TECHNIQUE, m.SWEEP_TECHNIQUE))} ELSE {items((m.SCAN_TECHNIQUE,))} END AS attack, 3 AS source, NULL::DOUBLE AS beat, NULL::BIGINT AS breadth, 6 AS ev
+        FROM scan_alerts a JOIN tele t ON t.seq = a.seq""",
+    "det": "SELECT * FROM rdet UNION ALL SELECT * FROM beacon_found UNION ALL SELECT * FROM disc_found UNION ALL SELECT * FROM scan_found",
     "nodes": f"""SELECT host, guid, arg_min(parent, seq) AS parent, arg_min(image, seq) AS image, arg_min(cmd, seq) AS cmd,
         arg_min(us, seq) AS first_us, max(us) AS last_us, {BASE.format('arg_min(image, seq)')} AS name FROM tele GROUP BY host, guid""",
     "anc": """SELECT host, guid, guid AS cur, 0 AS depth FROM nodes
@@ -208,9 +223,9 @@ CTES = {
         SELECT incident_id, list(lower(status) ORDER BY changed_us DESC, seq DESC) FILTER (lower(status) IN ('open', 'closed', 'false_positive'))[1] AS status,
           list(notes ORDER BY changed_us DESC, seq DESC) FILTER (notes IS NOT NULL)[1] AS notes FROM triage_log GROUP BY incident_id) t ON t.incident_id = i.id""",
     "phase_of": "SELECT * FROM (VALUES " + tactic_values(m.NARRATIVE_TACTICS) + ") AS v(technique, tactic)",
-    "member_phase": """SELECT DISTINCT x.incident_id, x.seq, x.rule_id, x.attack, coalesce(a.tactic, b.tactic) AS tactic FROM (SELECT incident_id, seq, rule_id, attack, unnest(attack) AS t FROM members) x
+    "member_phase": """SELECT DISTINCT x.incident_id, x.us, x.seq, x.source, x.rule_id, x.attack, x.beat, x.breadth, coalesce(a.tactic, b.tactic) AS tactic FROM (SELECT *, unnest(attack) AS t FROM members) x
         LEFT JOIN phase_of a ON a.technique = x.t LEFT JOIN phase_of b ON b.technique = split_part(x.t, '.', 1)""",
-    "phase0": """SELECT incident_id, tactic, list_sort(list(DISTINCT rule_id)) AS rule_ids, list_distinct(flatten(list(attack))) AS techniques FROM member_phase WHERE tactic IS NOT NULL GROUP BY incident_id, tactic""",
+    "phase0": f"""SELECT incident_id, tactic, list(breadth ORDER BY {ORD}) FILTER (breadth > 0)[1] AS breadth, list(beat ORDER BY {ORD}) FILTER (beat > 0)[1] AS beat, list_sort(list(DISTINCT rule_id)) AS rule_ids, list_distinct(flatten(list(attack))) AS techniques FROM member_phase WHERE tactic IS NOT NULL GROUP BY incident_id, tactic""",
     "phase_exact": """SELECT x.incident_id, x.tactic, list_sort(list(x.t)) AS exact FROM (SELECT incident_id, tactic, unnest(techniques) AS t FROM phase0) x
         JOIN phase_of o ON o.technique = x.t AND o.tactic = x.tactic GROUP BY x.incident_id, x.tactic""",
     "phases": f"""SELECT p.incident_id, list_position({items(m.PHASE_ORDER)}, p.tactic) AS position, p.tactic, {phrase_sql().replace('tactic =', 'p.tactic =')} AS phrase, rule_ids,
@@ -224,12 +239,14 @@ def sql(body: str, **extra: str) -> str:
     `extra` adds blocks for this query alone; they may name shared ones.
     """
     blocks = {**CTES, **extra}
-    need, todo = set(), [body]
-    while todo:
-        text = todo.pop()
+    parts: dict[str, str] = {}
+
+    def place(text: str, within: tuple[str, ...] = ()) -> None:
+        """What a text names goes before it; a recursive block names itself."""
         for name in blocks:
-            if name not in need and re.search(rf"\b{name}\b", text):
-                need.add(name)
-                todo.append(blocks[name])
-    parts = [f"{name} AS ({blocks[name]})" for name in blocks if name in need]
-    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body
+            if name not in parts and name not in within and re.search(rf"\b{name}\b", text):
+                place(blocks[name], (*within, name))
+                parts[name] = f"{name} AS ({blocks[name]})"
+
+    place(body)
+    return ("WITH RECURSIVE " + ",\n".join(parts.values()) + "\n" if parts else "") + body

@@ -59,7 +59,7 @@ class Data:
 
     @cached_property
     def plan(self) -> Detection:
-        return Detection(self.events)
+        return Detection(self.events, settings={"beacon": BEACON, "discovery": DISCOVERY, "scan": SCAN})
 
     @cached_property
     def conns(self) -> DataFrame:
@@ -243,7 +243,7 @@ def _(d):
 
 
 @query("detection_view", """SELECT rule_id, title, severity, array_to_string(attack, ',') AS attack, host, image, parent_image, cmd AS command_line, guid AS process_guid,
-    incident_id, us, usr AS user_name, 0 AS evidence_size FROM members""")
+    incident_id, us, usr AS user_name, ev AS evidence_size FROM members""")
 def _(d):
     v = evidence.detection_view(d.plan.members)
     return v.select("rule_id", "title", "severity", joined("attack").alias("attack"), "host", "image", "parent_image", "command_line",
@@ -501,10 +501,10 @@ def _(d):
 
 
 @query("indicators", f"""SELECT incident_id, kind, value, coalesce(detail, '') AS detail, coalesce(list(img ORDER BY {o.ORD})[1], '') AS image, min(us) AS us FROM (
-    SELECT incident_id, us, seq, rule_id, 'user' AS kind, usr AS value, NULL AS detail, NULL AS img FROM members
-    UNION ALL SELECT incident_id, us, seq, rule_id, 'destination', dest_ip, dest_port || '|', NULL FROM members
-    UNION ALL SELECT incident_id, us, seq, rule_id, 'hash', regexp_extract(hashes, 'SHA256=([0-9a-f]+)', 1), NULL, {o.BASE.format('image')} FROM members WHERE hashes IS NOT NULL
-    UNION ALL SELECT incident_id, us, seq, rule_id, 'registry', target_object, NULL, NULL FROM members) WHERE value IS NOT NULL GROUP BY incident_id, kind, value, detail""")
+    SELECT incident_id, us, seq, source, rule_id, 'user' AS kind, usr AS value, NULL AS detail, NULL AS img FROM members
+    UNION ALL SELECT incident_id, us, seq, source, rule_id, 'destination', dest_ip, dest_port || '|', NULL FROM members
+    UNION ALL SELECT incident_id, us, seq, source, rule_id, 'hash', regexp_extract(hashes, 'SHA256=([0-9a-f]+)', 1), NULL, {o.BASE.format('image')} FROM members WHERE hashes IS NOT NULL
+    UNION ALL SELECT incident_id, us, seq, source, rule_id, 'registry', target_object, NULL, NULL FROM members) WHERE value IS NOT NULL GROUP BY incident_id, kind, value, detail""")
 def _(d):
     return evidence.indicators(d.plan.members).select("incident_id", "kind", "value", F.coalesce("detail", F.lit("")).alias("detail"),
                                                       F.coalesce("image", F.lit("")).alias("image"), "us")
@@ -555,7 +555,7 @@ def _(d):
     return stats.severity_distribution(d.plan.incidents)
 
 
-@query("top_rules", "SELECT rule_id, count(*) AS detections, any_value(title) AS title FROM det GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("top_rules", "SELECT rule_id, count(*) AS detections, list(title ORDER BY us, seq, source)[1] AS title FROM det GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def _(d):
     return stats.top_rules(d.plan.detections)
 
@@ -682,7 +682,7 @@ def _(d):
 
 # -- 2.8 sorts, limits, top-k ------------------------------------------------------------------
 
-@query("latest_detections", "SELECT seq, rule_id, us, (SELECT count(*) FROM det) AS total FROM det ORDER BY us DESC, seq DESC, rule_id DESC LIMIT 100")
+@query("latest_detections", "SELECT seq, rule_id, us, (SELECT count(*) FROM det) AS total FROM det ORDER BY us DESC, seq DESC, source DESC, rule_id DESC LIMIT 100")
 def _(d):
     rows = stats.latest_detections(d.plan.detections, 100).select("seq", "rule_id", us("matched_at").alias("us"))
     return rows.withColumn("total", F.lit(d.plan.detections.count()))
@@ -727,11 +727,11 @@ def _(d):
 
 # -- 2.9 set operations ---------------------------------------------------------------------------
 
-@query("all_detections", """SELECT 'rule' AS source, count(*) AS detections, sum(seq)::BIGINT AS seqs FROM det UNION ALL SELECT 'beacon', count(*), sum(seq)::BIGINT FROM beacon_alerts HAVING count(*) > 0
+@query("all_detections", """SELECT 'rule' AS source, count(*) AS detections, sum(seq)::BIGINT AS seqs FROM rdet UNION ALL SELECT 'beacon', count(*), sum(seq)::BIGINT FROM beacon_alerts HAVING count(*) > 0
     UNION ALL SELECT 'discovery', count(*), sum(seq)::BIGINT FROM disc_alerts HAVING count(*) > 0
     UNION ALL SELECT 'scan', count(*), sum(seq)::BIGINT FROM scan_alerts HAVING count(*) > 0""")
 def _(d):
-    plan = Detection(d.events, settings={"beacon": BEACON, "discovery": DISCOVERY, "scan": SCAN})
+    plan = d.plan
     name = F.element_at(F.lit(["rule", "beacon", "discovery", "scan"]), F.col("source") + 1)
     return plan.detections.groupBy(name.alias("source")).agg(F.count("*").alias("detections"), F.sum("seq").alias("seqs"))
 
@@ -927,7 +927,7 @@ def _(d):
 @query("incident_report_rows", """SELECT id AS incident_id, 'summary' AS section, '01' AS position, 'Severity' AS label, severity || ' (score ' || score || ')' AS content FROM inc
     UNION ALL SELECT id, 'summary', '05', 'Process chain', array_to_string(chain, ' -> ') FROM inc UNION ALL SELECT id, 'summary', '03', 'First seen', strftime(make_timestamp(first_us), '%Y-%m-%d %H:%M:%S UTC') FROM inc
     UNION ALL SELECT incident_id, 'behavior', lpad(position::VARCHAR, 2, '0'), upper(replace(tactic, '-', ' ')), phrase FROM phases
-    UNION ALL SELECT incident_id, 'timeline', lpad(us::VARCHAR, 17, '0') || '-' || lpad(seq::VARCHAR, 19, '0') || '-0-' || rule_id, rule_id, strftime(make_timestamp(us), '%H:%M:%S') || ' ' || severity FROM members""")
+    UNION ALL SELECT incident_id, 'timeline', lpad(us::VARCHAR, 17, '0') || '-' || lpad(seq::VARCHAR, 19, '0') || '-' || source || '-' || rule_id, rule_id, strftime(make_timestamp(us), '%H:%M:%S') || ' ' || severity FROM members""")
 def _(d):
     members = d.plan.members
     profile = evidence.behavior_profile(d.plan.incidents, evidence.behavior_phases(members))
@@ -964,12 +964,12 @@ def _(d):
     return rows.groupBy("event_id", "host").agg(F.count("*").alias("events"))
 
 
-@query("stream_match_rules", "SELECT seq, rule_id FROM det")
+@query("stream_match_rules", "SELECT seq, rule_id FROM rdet")
 def _(d):
     return _finished(d, flow.stream_match_rules(_stream(d), d.plan.rules).select("seq", "rule_id"))
 
 
-@query("live_push", "SELECT rule_id, count(*) AS detections FROM det GROUP BY 1")
+@query("live_push", "SELECT rule_id, count(*) AS detections FROM rdet GROUP BY 1")
 def _(d):
     rows = _finished(d, flow.stream_match_rules(_stream(d), d.plan.rules).select("seq", "rule_id", "title"))
     return rows.groupBy("rule_id").agg(F.count("*").alias("detections"))
@@ -991,7 +991,7 @@ def _(d):
     return _finished(d, live.stream_scan(_stream(d), **SCAN))
 
 
-@query("stream_incidents", "SELECT id, score, detection_count, actionable FROM inc WHERE last_us + 600000000 <= (SELECT (max(us) // 1000) * 1000 FROM det) - 600000000")
+@query("stream_incidents", "SELECT id, score, detection_count, actionable FROM inc WHERE last_us + 600000000 <= (SELECT (max(us) // 1000) * 1000 FROM det) - 600000000", det="SELECT * FROM rdet")
 def _(d):
     # A session closes once the watermark, ten minutes behind the newest detection, passes its end.
     rooted = inc.attach_tree(flow.stream_match_rules(_stream(d), d.plan.rules), d.plan.chains)

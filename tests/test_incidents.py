@@ -51,7 +51,7 @@ def test_incident_gap_score_and_orphans(make_events):
     events = make_events([
         dict(at=0, process_guid="p", command_line="x", image="C:\\a.exe"), dict(at=600, process_guid="p", command_line="x"),
         dict(at=1201, process_guid="p", command_line="xy"), dict(at=5, command_line="x", image="C:\\b.exe", parent_image="C:\\c.exe")])
-    rows = {r.id.rsplit("/", 1)[0] + str(i): r for i, r in enumerate(Detection(events, ANY).incidents.orderBy("root_guid", "first_seen").collect())}
+    rows = {r.id.rsplit("/", 1)[0] + str(i): r for i, r in enumerate(Detection(events, ANY, {}).incidents.orderBy("root_guid", "first_seen").collect())}
     orphan, first, second = rows["H/orphan:H:R10"], rows["H/p1"], rows["H/p2"]
     assert (orphan.chain, orphan.root_image, orphan.actionable) == (["c.exe", "b.exe"], "C:\\c.exe", False)
     assert (first.score, first.severity, first.detection_count, first.actionable) == (10, "high", 2, False)
@@ -61,7 +61,7 @@ def test_incident_gap_score_and_orphans(make_events):
 
 def test_search_levels(make_events):
     events = make_events([dict(process_guid="p", command_line="x", image="C:\\w3wp.exe", User="bob"), dict(at=9000, process_guid="q", command_line="y", image="C:\\z.exe")])
-    plan = Detection(events, ANY)
+    plan = Detection(events, ANY, {})
     find = lambda **kw: sorted((r.incident_id.split("/")[1], r.match_count) for r in search.search_incidents(plan.incidents, plan.members, **kw).collect())
     assert find() == []
     assert find(terms=["w3wp"]) == [("p", 1)]
@@ -140,7 +140,7 @@ def test_indicator_kinds(spark):
 
 def test_stix_report_splits_only_when_long(make_events):
     events = make_events([dict(at=i, process_guid="p", command_line="x", event_id=1, DestinationIp=f"8.8.8.{i}") for i in range(7)])
-    plan = Detection(events, ANY)
+    plan = Detection(events, ANY, {})
     summaries = evidence.behavior_profile(plan.incidents, evidence.behavior_phases(plan.members))
     build = lambda n: [json.loads(r.object) for r in exports.stix_objects(plan.incidents, evidence.indicators(plan.members), summaries, refs_per_report=n).collect()]
     one, many = build(1000), build(3)
@@ -164,7 +164,7 @@ def test_other_roundings_are_exact_too(spark):
 
 
 def test_fallback_chain_is_the_opening_detections(make_events):
-    chain = lambda *rows: Detection(make_events(list(rows)), ANY).incidents.first().chain
+    chain = lambda *rows: Detection(make_events(list(rows)), ANY, {}).incidents.first().chain
     first = dict(at=0, command_line="x", image="C:\\a.exe")
     assert chain(first, dict(at=5, command_line="x", image="C:\\b.exe", parent_image="C:\\p.exe")) == ["a.exe"]
     tree_rows = [dict(at=0, process_guid="r", image="C:\\r.exe", command_line="x"),
