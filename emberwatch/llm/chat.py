@@ -123,31 +123,60 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     return main.unionByName(lost, allowMissingColumns=True).unionByName(stray, allowMissingColumns=True)
 
 
+def chain_ends(single: DataFrame, nodes: int) -> DataFrame:
+    """(conv_id, call_id, at, distance) of calls that need one other: the end of their chain and the steps to it.
+
+    An end needs none or several. Pointers double, so the rounds grow with the logarithm of a chain's length; calls that
+    have not come to an end after as many rounds as `nodes` allows go round in a cycle and are left out.
+    """
+    known = single.select("conv_id", F.col("call_id").alias("at"), F.lit(False).alias("end"))
+    open_ = checkpointed(single.join(known, ["conv_id", "at"], "left").select(
+        "conv_id", "call_id", "at", F.lit(1).alias("distance"), F.coalesce("end", F.lit(True)).alias("end")))
+    for _ in range(nodes.bit_length() + 1):
+        if open_.filter("not end").isEmpty():
+            break
+        ahead = open_.select("conv_id", F.col("call_id").alias("at"), F.col("at").alias("to"), F.col("distance").alias("more"),
+                             F.col("end").alias("there"))
+        moved = open_.filter("not end").join(ahead, ["conv_id", "at"]).select(
+            "conv_id", "call_id", F.col("to").alias("at"), (F.col("distance") + F.col("more")).alias("distance"),
+            F.col("there").alias("end"))
+        open_ = checkpointed(open_.filter("end").unionByName(moved))
+    return open_.filter("end").drop("end")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 for a call that needs no other, else one more than the highest that it needs.
 
-    One join per level of depth; a round carries only the calls of its level. Calls in or behind a cycle get none.
-    Needs that name no call of the conversation, or the call itself, are left out.
+    Chains of calls that need one other are jumped over by doubling. What is left takes a round per level of calls that
+    need several. Calls in or behind a cycle get no level. Needs that name no call of the conversation, or the call
+    itself, are left out.
     """
     keys = ["conv_id", "call_id"]
     nodes = calls.select(*keys, "needs")
-    pairs = nodes.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need"))
-    pairs = pairs.join(nodes.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"])
-    pairs = checkpointed(pairs.filter("need <> call_id"))
-    open_ = nodes.select(*keys).join(pairs.groupBy(*keys).agg(F.count("*").alias("waits")), keys, "left")
-    placed = checkpointed(open_.filter("waits is null").select(*keys, F.lit(0).alias("level")))
-    waiting = checkpointed(open_.filter("waits is not null"))
-    done, level = placed, 0
-    while not placed.isEmpty():
-        level += 1
-        met = pairs.join(placed.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"])
-        met = met.groupBy(*keys).agg(F.count("*").alias("met"))
+    pairs = nodes.select(*keys, F.explode(F.array_distinct("needs")).alias("at")).filter("at <> call_id")
+    pairs = checkpointed(pairs.join(nodes.select("conv_id", F.col("call_id").alias("at")), ["conv_id", "at"]))
+    counts = pairs.groupBy(*keys).agg(F.count("*").alias("waits"))
+    open_ = checkpointed(nodes.select(*keys).join(counts, keys, "left"))
+    chains = chain_ends(pairs.join(open_.filter("waits = 1").select(*keys), keys), open_.count())
+    # From here on, an edge leads from a call that needs several to the end of a chain.
+    ends = chains.select("conv_id", F.col("call_id").alias("at"), F.col("at").alias("to"), "distance")
+    several = pairs.join(open_.filter("waits > 1").select(*keys), keys).join(ends, ["conv_id", "at"], "left")
+    edges = checkpointed(several.select(*keys, F.coalesce("to", "at").alias("at"), F.coalesce(
+        F.col("distance") + 1, F.lit(1)).alias("distance")))
+    done = placed = checkpointed(open_.filter("waits is null").select(*keys, F.lit(0).alias("level")))
+    waiting = checkpointed(open_.filter("waits > 1").withColumn("level", F.lit(0)))
+    while not (placed.isEmpty() or waiting.isEmpty()):
+        met = edges.join(placed.select("conv_id", F.col("call_id").alias("at"), F.col("level").alias("below")), ["conv_id", "at"])
+        met = met.groupBy(*keys).agg(F.count("*").alias("met"), F.max(F.col("below") + F.col("distance")).alias("reached"))
         waiting = checkpointed(waiting.join(met, keys, "left").select(
-            *keys, (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")).filter("waits >= 0"))
-        placed = checkpointed(waiting.filter("waits = 0").select(*keys, F.lit(level).alias("level")))
+            *keys, (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits"),
+            F.greatest("level", F.coalesce("reached", F.lit(0))).alias("level")))
+        placed = waiting.filter("waits = 0").drop("waits")
         waiting = waiting.filter("waits > 0")
         done = done.unionByName(placed)
-    return done
+    at_end = done.withColumnsRenamed({"call_id": "at", "level": "below"})
+    on_chains = chains.join(at_end, ["conv_id", "at"]).select(*keys, (F.col("below") + F.col("distance")).alias("level"))
+    return done.unionByName(on_chains)
 
 
 def exchanges(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:

@@ -178,6 +178,21 @@ def test_calls_are_linked_and_ordered(spark):
     assert chat.exchanges(c.limit(0), r.limit(0), SCHEMAS).count() == 0
 
 
+def test_levels_match_the_longest_paths(spark):
+    rng = random.Random(6)
+    needs = {(c, i): sorted({rng.randrange(max(0, i - 6), i) for _ in range(rng.choice([0, 1, 1, 1, 1, 2, 3]))} if i else set())
+             for c in range(3) for i in range(120)}
+    needs.update({(9, i): [i - 1] if i else [] for i in range(200)} | {(8, 0): [2], (8, 1): [0], (8, 2): [1], (8, 3): [1, 4], (8, 4): []})
+    want = {}
+    for (c, i), below in needs.items():
+        if c != 8:
+            want[c, str(i)] = 1 + max((want[c, str(b)] for b in below), default=-1)
+    want[8, "4"] = 0
+    rows = [(c, str(i), [*map(str, n), "missing", str(i)]) for (c, i), n in needs.items()]
+    got = chat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, needs array<string>"))
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in got.collect()} == want
+
+
 def test_pipeline_against_the_operators(spark, tmp_path):
     import corpus_pipeline
 
