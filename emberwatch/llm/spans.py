@@ -87,4 +87,5 @@ def section_tokens(docs: DataFrame, path: str, sections: Callable[[str], list[tu
             yield pd.Series(out)
 
     rows = docs.select("doc_id", counted("text").alias("s"))
-    return rows.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.*")
+    # An inner explode would have the planner test for empty lists first, by encoding everything once more.
+    return rows.select("doc_id", F.explode_outer("s").alias("s")).select("doc_id", "s.*")
