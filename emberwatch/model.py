@@ -87,39 +87,61 @@ DISCOVERY_SIGNATURES = (
 
 # Tactic -> techniques, as incident titles group them.
 TITLE_TACTICS = {
-    "delivery": "T1566 T1566.001",
-    "execution": "T1204 T1204.001 T1204.002 T1204.004 T1059 T1059.001 T1027 T1047 T1569.002 T1204.003 T1059.005",
-    "download": "T1105 T1218 T1218.011 T1218.008 T1218.014",
-    "persistence": "T1547.001 T1546.012 T1053.005 T1098 T1136.001 T1505.003 T1543.003 T1546.003 T1546.015 "
-                   "T1546.008 T1547.004 T1547.005 T1547.014 T1136.002",
-    "defense-evasion": "T1685 T1562.001 T1070.001 T1070.004 T1127.001 T1134 T1134.001 T1140 T1197 T1202 T1211 "
-                       "T1216 T1548.002 T1562.004 T1070.006 T1564.004 T1006 T1562.002 T1562.009 T1562.006 "
-                       "T1112 T1564.001 T1574.001 T1574.002 T1553.004",
-    "masquerading": "T1036.005 T1036.007",
-    "credential-access": "T1003.001 T1552.001 T1003 T1558.003 T1552.004 T1552.005 T1555.003 T1555 T1558.004 "
-                         "T1003.004 T1003.005 T1558.001 T1552.002 T1552.006 T1003.003",
-    "discovery": "T1087 T1082 T1016 T1033 T1069 T1018 T1057 T1049 T1046 T1482 T1083 T1518.001",
-    "command-and-control": "T1071 T1071.001 T1573 T1090.001 T1571 T1219 T1102 T1568 T1090.003",
-    "injection": "T1055 T1055.012",
-    "impact": "T1490 T1486 T1489 T1491.001 T1485 T1531",
-    "initial-access": "T1190",
-    "lateral-movement": "T1021.001 T1021.002 T1021.006 T1563.002 T1550.002 T1550.003 T1021.003 T1021.004",
-    "collection": "T1560.001 T1113 T1115 T1074 T1119 T1560.002",
-    "exfiltration": "T1567.002 T1048",
-    "privilege-escalation": "T1484.001 T1484.002 T1611",
+    "delivery": ("T1566", "T1566.001"),
+    "execution": (
+        "T1204", "T1204.001", "T1204.002", "T1204.004", "T1059", "T1059.001", "T1027", "T1047", "T1569.002",
+        "T1204.003", "T1059.005",
+    ),
+    "download": ("T1105", "T1218", "T1218.011", "T1218.008", "T1218.014"),
+    "persistence": (
+        "T1547.001", "T1546.012", "T1053.005", "T1098", "T1136.001", "T1505.003", "T1543.003", "T1546.003",
+        "T1546.015", "T1546.008", "T1547.004", "T1547.005", "T1547.014", "T1136.002",
+    ),
+    "defense-evasion": (
+        "T1685", "T1562.001", "T1070.001", "T1070.004", "T1127.001", "T1134", "T1134.001", "T1140", "T1197",
+        "T1202", "T1211", "T1216", "T1548.002", "T1562.004", "T1070.006", "T1564.004", "T1006", "T1562.002",
+        "T1562.009", "T1562.006", "T1112", "T1564.001", "T1574.001", "T1574.002", "T1553.004",
+    ),
+    "masquerading": ("T1036.005", "T1036.007"),
+    "credential-access": (
+        "T1003.001", "T1552.001", "T1003", "T1558.003", "T1552.004", "T1552.005", "T1555.003", "T1555", "T1558.004",
+        "T1003.004", "T1003.005", "T1558.001", "T1552.002", "T1552.006", "T1003.003",
+    ),
+    "discovery": (
+        "T1087", "T1082", "T1016", "T1033", "T1069", "T1018", "T1057", "T1049", "T1046", "T1482", "T1083",
+        "T1518.001",
+    ),
+    "command-and-control": (
+        "T1071", "T1071.001", "T1573", "T1090.001", "T1571", "T1219", "T1102", "T1568", "T1090.003",
+    ),
+    "injection": ("T1055", "T1055.012"),
+    "impact": ("T1490", "T1486", "T1489", "T1491.001", "T1485", "T1531"),
+    "initial-access": ("T1190",),
+    "lateral-movement": (
+        "T1021.001", "T1021.002", "T1021.006", "T1563.002", "T1550.002", "T1550.003", "T1021.003", "T1021.004",
+    ),
+    "collection": ("T1560.001", "T1113", "T1115", "T1074", "T1119", "T1560.002"),
+    "exfiltration": ("T1567.002", "T1048"),
+    "privilege-escalation": ("T1484.001", "T1484.002", "T1611"),
 }
 
 # Where the behaviour narrative groups techniques differently from the titles:
 # it has no delivery, download or masquerading phase, and keeps one injection id.
 NARRATIVE_TACTICS = {
-    "initial-access": "T1566 T1566.001 T1190",
-    "execution": "T1204 T1204.002 T1204.001 T1204.004 T1059 T1059.001 T1027 T1059.005 T1059.007 T1047 "
-                 "T1569.002 T1204.003",
-    "command-and-control": "T1105 T1071 T1071.001 T1573 T1571 T1090.001 T1219 T1102 T1568 T1090.003",
-    "defense-evasion": "T1218 T1218.011 T1218.002 T1036.005 T1562.001 T1685 T1055 T1070.001 T1070.004 "
-                       "T1127.001 T1134 T1134.001 T1140 T1197 T1202 T1211 T1216 T1548.002 T1562.004 T1070.006 "
-                       "T1564.004 T1006 T1218.008 T1218.014 T1562.002 T1562.009 T1036.007 T1562.006 T1112 "
-                       "T1564.001 T1574.001 T1574.002 T1553.004",
+    "initial-access": ("T1566", "T1566.001", "T1190"),
+    "execution": (
+        "T1204", "T1204.002", "T1204.001", "T1204.004", "T1059", "T1059.001", "T1027", "T1059.005", "T1059.007",
+        "T1047", "T1569.002", "T1204.003",
+    ),
+    "command-and-control": (
+        "T1105", "T1071", "T1071.001", "T1573", "T1571", "T1090.001", "T1219", "T1102", "T1568", "T1090.003",
+    ),
+    "defense-evasion": (
+        "T1218", "T1218.011", "T1218.002", "T1036.005", "T1562.001", "T1685", "T1055", "T1070.001", "T1070.004",
+        "T1127.001", "T1134", "T1134.001", "T1140", "T1197", "T1202", "T1211", "T1216", "T1548.002", "T1562.004",
+        "T1070.006", "T1564.004", "T1006", "T1218.008", "T1218.014", "T1562.002", "T1562.009", "T1036.007",
+        "T1562.006", "T1112", "T1564.001", "T1574.001", "T1574.002", "T1553.004",
+    ),
     "persistence": TITLE_TACTICS["persistence"],
     "credential-access": TITLE_TACTICS["credential-access"],
     "discovery": TITLE_TACTICS["discovery"],
@@ -128,7 +150,7 @@ NARRATIVE_TACTICS = {
     "collection": TITLE_TACTICS["collection"],
     "exfiltration": TITLE_TACTICS["exfiltration"],
     "privilege-escalation": TITLE_TACTICS["privilege-escalation"],
-    "injection": "T1055.012",
+    "injection": ("T1055.012",),
 }
 
 PHASE_ORDER = (
@@ -215,10 +237,10 @@ def score_severity(score: Column) -> Column:
 
 
 def tactic_map(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for tactic, ids in table.items() for t in ids.split() for x in (t, tactic)])
+    return F.create_map(*[F.lit(x) for tactic, ids in table.items() for t in ids for x in (t, tactic)])
 
 
-def technique_tactic(technique: Column, table: dict[str, str] = TITLE_TACTICS) -> Column:
+def technique_tactic(technique: Column, table: dict[str, tuple[str, ...]] = TITLE_TACTICS) -> Column:
     """Tactic of a technique, falling back to the parent technique."""
     lookup = tactic_map(table)
     return F.coalesce(lookup[technique], lookup[F.substring_index(technique, ".", 1)])

@@ -55,7 +55,7 @@ class Rule:
 
 def shipped_rules() -> list[Rule]:
     return [
-        Rule(id=rid, event_id=code, severity=sev, condition=cond, attack=tuple(attack.split()), title=title,
+        Rule(id=rid, event_id=code, severity=sev, condition=cond, attack=attack, title=title,
              detection=detection)
         for rid, code, sev, cond, attack, title, detection in RULES
     ]

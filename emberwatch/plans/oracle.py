@@ -94,7 +94,7 @@ def title_sql() -> str:
 
 
 def tactic_values(table) -> str:
-    return ", ".join(f"({q(t)}, {q(tactic)})" for tactic, ids in table.items() for t in ids.split())
+    return ", ".join(f"({q(t)}, {q(tactic)})" for tactic, ids in table.items() for t in ids)
 
 
 def phrase_sql() -> str:
@@ -147,7 +147,7 @@ CTES = {
           CASE WHEN event_type IN ('click', 'view') THEN 1 WHEN event_type IN ('signup', 'purchase') THEN 3 WHEN k % 2 = 0 THEN 10 ELSE 13 END AS code
         FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events)))""",
     "rules": "SELECT * FROM (VALUES " + ", ".join(
-        f"({q(r[0])}, {r[1]}, {q(r[5])}, {q(r[2])}, {items(r[4].split())})" for r in RULES) + ") AS v(rule_id, event_id, title, severity, attack)",
+        f"({q(r[0])}, {r[1]}, {q(r[5])}, {q(r[2])}, {items(r[4])})" for r in RULES) + ") AS v(rule_id, event_id, title, severity, attack)",
     "fired": "SELECT seq, unnest([r for r in [" + ",\n".join(rule_sql(r) for r in _seen_rules) + "] if r IS NOT NULL]) AS rule_id FROM tele",
     # Detections: what rules and detectors found, with the event they stand on; beat, breadth and evidence size of the latter.
     "rdet": "SELECT t.*, r.rule_id, r.title, r.severity, r.attack, 0 AS source, NULL::DOUBLE AS beat, NULL::BIGINT AS breadth, 0 AS ev FROM fired f JOIN tele t USING (seq) JOIN rules r USING (rule_id)",

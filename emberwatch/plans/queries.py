@@ -192,10 +192,10 @@ def _(d):
         F.coalesce("process_id", F.lit(-1)).cast("bigint").alias("pid"))
 
 
-@query("promote_fields", "SELECT seq, 'src.exe' AS image, 's' || guid AS process_guid, usr AS user_name FROM tele WHERE seq % 5 = 3")
+@query("promote_fields", "SELECT seq, CASE seq % 5 WHEN 0 THEN image WHEN 3 THEN 'src.exe' END AS image, CASE seq % 5 WHEN 0 THEN guid WHEN 3 THEN 's' || guid END AS process_guid, CASE WHEN seq % 5 IN (0, 3) THEN usr END AS user_name FROM tele")
 def _(d):
     data = F.try_variant_get(F.try_parse_json("value"), "$.winlog.event_data", "map<string,string>")
-    rows = tel.payloads(d.events).filter("seq % 5 = 3").withColumn("data", data)
+    rows = tel.payloads(d.events).withColumn("data", data)
     got = normalize.promote_fields(F.col("data"))
     return rows.select("seq", got["image"].alias("image"), got["process_guid"].alias("process_guid"), got["user"].alias("user_name"))
 
@@ -211,7 +211,7 @@ def _(d):
 @query("extract_host", f"SELECT seq, CASE WHEN seq % 5 = 4 THEN 'unknown' ELSE host END AS host FROM tele WHERE {ACCEPTED}")
 def _(d):
     v = F.try_parse_json("value")
-    rows = tel.payloads(d.events).filter(ACCEPTED).withColumn("v", v)
+    rows = src.intake_split(tel.payloads(d.events), max_bytes=2000).filter("outcome = 'accepted'").withColumn("v", v)
     rows = rows.withColumn("w", F.coalesce(F.try_variant_get("v", "$.winlog", "variant"), F.col("v")))
     data = F.coalesce(F.try_variant_get("w", "$.event_data", "map<string,string>"), F.try_variant_get("v", "$", "map<string,string>"))
     return rows.select("seq", normalize.extract_host(F.col("v"), F.col("w"), data).alias("host"))
@@ -849,11 +849,11 @@ def _(d):
     return runs.select("doc_id", F.size("r").cast("bigint").alias("runs"), F.md5(F.array_join("r", " ")).alias("digest"))
 
 
-@query("base64_decode_text", "SELECT doc_id, md5(CASE WHEN doc_id % 4 = 2 THEN regexp_replace(text, '[^\\x20-\\x7e]', '', 'g') ELSE text END) AS digest, (doc_id % 4 = 2) AS is_utf16 FROM documents WHERE doc_id % 2 = 0 AND length(regexp_replace(text, '[^\\x20-\\x7e]', '', 'g')) > 4")
+@query("base64_decode_text", "SELECT doc_id, md5(CASE WHEN doc_id % 4 = 2 THEN regexp_replace(text, '[^\\x20-\\x7e]', '', 'g') ELSE text END) AS digest, (doc_id % 4 = 2) AS is_utf16 FROM documents")
 def _(d):
     plain = F.regexp_replace("text", r"[^\x20-\x7e]", "")
     data = F.when(F.col("doc_id") % 4 == 2, F.encode(plain, "UTF-16LE")).otherwise(F.encode("text", "UTF-8"))
-    rows = d.table("documents").filter((F.col("doc_id") % 2 == 0) & (F.length(plain) > 4)).select("doc_id", sc.base64_decode_text(F.translate(F.base64(data), "\r\n", "")).alias("t"))
+    rows = d.table("documents").select("doc_id", sc.base64_decode_text(F.translate(F.base64(data), "\r\n", "")).alias("t"))
     return rows.select("doc_id", F.md5("t.text").alias("digest"), F.col("t.is_utf16").alias("is_utf16"))
 
 
