@@ -67,7 +67,6 @@ INCIDENT_WINDOW_S = 600
 ACTIONABLE_SCORE = 12
 ACTIONABLE_COUNT = 3
 PROCESS_TTL_S = 7200
-MAX_TREE_DEPTH = 24
 
 # Ordered recon signatures: the first pattern found names the technique.
 DISCOVERY_SIGNATURES = (

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberwatch.functions.scalars import basename, present
-from emberwatch.model import MAX_TREE_DEPTH, PROCESS_TTL_S, epoch_us, severity_rank
+from emberwatch.model import PROCESS_TTL_S, epoch_us, severity_rank
 from emberwatch.session import checkpointed
 
 
@@ -40,24 +42,24 @@ def _guids(path: Column) -> Column:
     return F.transform(path, lambda s: s["guid"])
 
 
-def _cut(path: Column, depth: int) -> Column:
-    """The part of a path before its first repeated node, at most `depth` long."""
-    capped = F.slice(path, 1, depth)
-    ids = _guids(capped)
+def _cut(path: Column) -> Column:
+    """The part of a path before its first repeated node."""
+    ids = _guids(path)
     repeats = F.filter(
         F.transform(ids, lambda g, i: F.when(F.array_position(ids, g) <= i, i)), lambda i: i.isNotNull()
     )
-    return F.slice(capped, F.lit(1), F.coalesce(F.array_min(repeats).cast("int"), F.size(capped)))
+    return F.slice(path, F.lit(1), F.coalesce(F.array_min(repeats).cast("int"), F.size(path)))
 
 
-def ancestry(nodes: DataFrame, max_depth: int = MAX_TREE_DEPTH) -> DataFrame:
-    """(host, guid, path, images, seen): the observed ancestors of each node, root first.
+def ancestry(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(host, guid, path, images, seen): the observed ancestors of each node, root first; all, or the nearest `max_depth`.
 
     Upward paths double in length each round: a path is extended by the path of
-    its last node. Only unfinished paths are joined again, so the shallow trees
-    endpoints produce finish in two or three rounds. Each step carries its image
+    its last node. Only unfinished paths are joined and written again, so the shallow
+    trees endpoints produce finish in two or three rounds. Each step carries its image
     and first sighting, so chains and display rows need no further join.
     """
+    limited = lambda path: path if max_depth is None else F.slice(path, 1, max_depth)
     step = F.struct("guid", "image", epoch_us(F.col("first_seen")).alias("us"))
     links = nodes.select("host", "guid", "parent_guid", step.alias("_self"))
     known = nodes.select("host", F.col("guid").alias("parent_guid"), step.alias("_parent"))
@@ -66,26 +68,26 @@ def ancestry(nodes: DataFrame, max_depth: int = MAX_TREE_DEPTH) -> DataFrame:
         F.when(F.col("_parent").isNotNull(), F.array("_self", "_parent")).otherwise(F.array("_self")).alias("up"),
         F.col("_parent").isNotNull().alias("open"),
     )
-    reach = 1
+    done, current, reach = [], checkpointed(paths), 1
     while True:
-        paths = checkpointed(paths)
-        open_paths = paths.filter("open")
-        if reach >= max_depth or open_paths.isEmpty():
+        open_paths = current.filter("open")
+        if (max_depth is not None and reach >= max_depth) or open_paths.isEmpty():
+            done.append(current)
             break
-        onward = paths.select("host", F.col("guid").alias("_tail"), F.col("up").alias("_more"), F.col("open").alias("_on"))
-        grown = (
-            open_paths.withColumn("_tail", F.element_at("up", -1)["guid"]).join(onward, ["host", "_tail"])
-            .select(
-                "host", "guid",
-                F.slice(F.concat("up", F.slice("_more", 2, max_depth)), 1, max_depth).alias("up"), F.col("_on").alias("open"),
-            )
-            .withColumn("open", F.col("open") & (F.size("up") < max_depth))
-            # A path that ran into a cycle is final: its repeats are cut below.
-            .withColumn("open", F.col("open") & (F.size(F.array_distinct(_guids(F.col("up")))) == F.size("up")))
-        )
-        paths = paths.filter("NOT open").unionByName(grown)
+        done.append(current.filter("NOT open"))
+        onward = reduce(DataFrame.unionByName, [*done, open_paths]).select(
+            "host", F.col("guid").alias("_tail"), F.col("up").alias("_more"), F.col("open").alias("_on"))
+        more = F.slice("_more", F.lit(2), F.greatest(F.size("_more") - 1, F.lit(0)))
+        grown = open_paths.withColumn("_tail", F.element_at("up", -1)["guid"]).join(onward, ["host", "_tail"]).select(
+            "host", "guid", limited(F.concat("up", more)).alias("up"), F.col("_on").alias("open"))
+        if max_depth is not None:
+            grown = grown.withColumn("open", F.col("open") & (F.size("up") < max_depth))
+        # A path that ran into a cycle is final: its repeats are cut below.
+        current = checkpointed(grown.withColumn(
+            "open", F.col("open") & (F.size(F.array_distinct(_guids(F.col("up")))) == F.size("up"))))
         reach *= 2
-    down = paths.select("host", "guid", F.reverse(_cut(F.col("up"), max_depth)).alias("_d"))
+    up = limited(F.col("up"))
+    down = reduce(DataFrame.unionByName, done).select("host", "guid", F.reverse(_cut(up)).alias("_d"))
     return down.select(
         "host", "guid", _guids(F.col("_d")).alias("path"), F.transform("_d", lambda s: s["image"]).alias("images"),
         F.transform("_d", lambda s: s["us"]).alias("seen"),
@@ -111,8 +113,8 @@ def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     Walks down level by level without a depth limit; a node reached twice is kept once.
     """
     links = nodes.select("host", F.col("parent_guid").alias("_at"), "guid")
-    reached = checkpointed(roots.select("host", "root_guid", F.col("root_guid").alias("guid")).distinct())
-    level = reached
+    level = checkpointed(roots.select("host", "root_guid", F.col("root_guid").alias("guid")).distinct())
+    reached = level
     while True:
         below = level.select("host", "root_guid", F.col("guid").alias("_at")).join(links, ["host", "_at"])
         level = checkpointed(
@@ -120,7 +122,7 @@ def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
         )
         if level.isEmpty():
             break
-        reached = checkpointed(reached.unionByName(level))
+        reached = reached.unionByName(level)
     return reached.join(
         nodes.select("host", "guid", "parent_guid", "image", "name", "command_line", "first_seen", "last_seen"),
         ["host", "guid"],

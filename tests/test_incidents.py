@@ -29,7 +29,9 @@ def test_ancestry_stops_at_unknown_cycle_and_depth(spark):
     assert got["b"] == ["a", "b"] and got["a"] == ["a"] and got["s"] == ["s"]
     assert got["x"] == ["y", "x"] and got["y"] == ["x", "y"]
     assert got["n5"] == [f"n{i}" for i in range(6)]
-    assert got["n39"] == [f"n{i}" for i in range(16, 40)]
+    assert got["n39"] == [f"n{i}" for i in range(40)]
+    near = {r.guid: r.path for r in tree.ancestry(node_frame(spark, links), max_depth=24).collect()}
+    assert near["n39"] == [f"n{i}" for i in range(16, 40)] and near["x"] == ["y", "x"] and near["b"] == ["a", "b"]
 
 
 def test_subtree_has_no_depth_limit_and_survives_cycles(spark):
