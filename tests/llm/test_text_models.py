@@ -128,3 +128,14 @@ def test_tail_classes_share_one_distribution():
     model = lm.Model(None, None, tail, 0, 0, 0)
     logs = model.inside_tail(np.append(counts, 0), np.full(7, 3))
     assert abs((10 ** logs).sum() - 1) < 1e-9
+
+
+def test_network_and_clusters_see_every_training_document(spark, monkeypatch):
+    latin = [(i, LINES["en"] + f" {i}") for i in range(1100)]
+    docs = spark.createDataFrame([*latin, (5000, "\u03b1\u03b2\u03b3 \u03b4\u03b5\u03b6 " * 30)], "doc_id long, text string")
+    seen, plain = [], lm.one_round
+    monkeypatch.setattr(lm, "one_round", lambda part, *rest: seen.extend(r[0] for r in part.select("doc_id").collect()) or plain(part, *rest))
+    model, _ = lm.train(docs)
+    assert sorted(seen) == [*range(1100), 5000]
+    classes = lm.spelled_classes(["\u03b1\u03b2\u03b3".encode(), b"cat", b"mat", b"hat"], model.lexicon.clusters)
+    assert classes[0] // 4 not in set(classes[1:] // 4)
