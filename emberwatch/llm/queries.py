@@ -19,7 +19,8 @@ MIX = mixing.Mix(weights={"domain": {"d0": 2, "d1": 3}, "lang": {"en": 4, "de":
 
 TOOLS: chat.Schemas = {
     "search": {"query": chat.Parameter("string", True), "limit": chat.Parameter("integer", True, least=1, most=100)},
-    "lookup": {"term": chat.Parameter("string", True), "exact": chat.Parameter("boolean")},
+    "lookup": {"term": chat.Parameter("string", True), "exact": chat.Parameter("boolean"),
+               "text": chat.Parameter("string")},
     "summarise": {"text": chat.Parameter("string", True), "style": chat.Parameter("string", True, ("short", "long"))},
 }
 
@@ -95,25 +96,33 @@ def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_traffic(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each assistant turn read as a call made of its text, each user turn as the result of the turn before it.
+    """Each assistant turn read as a call with its whole text, each user turn as the result of the turn before it.
 
-    A call needs the one two turns before. Turns without that neighbour give unanswered calls, orphans and needs that
-    name no call; long texts and missing styles fail their schemas.
+    All other turns are results of no call. A call needs the one two turns before; the calls numbered 1, 3, 7, 15 and so
+    on (turn div 2) also need those four and six turns before, and in one conversation of 50 the first of these needs
+    the call after it too, which closes a cycle. Turns without such neighbours give unanswered calls, orphans and needs
+    that name no call; long texts and missing styles fail their schemas.
     """
-    words = F.split(F.coalesce("text", F.lit("")), " ")
+    text = F.coalesce("text", F.lit(""))
+    words = F.split(text, " ")
     kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3))
-    search = F.to_json(F.struct(F.array_join(F.slice(words, 1, 6), " ").alias("query"), F.size(words).alias("limit")))
+    search = F.to_json(F.struct(text.alias("query"), F.size(words).alias("limit")))
     term = F.get(words, F.lit(0))
-    lookup = F.to_json(F.struct(term.alias("term"), (F.length(term) % 2 == 0).alias("exact")))
+    lookup = F.to_json(F.struct(term.alias("term"), (F.length(term) % 2 == 0).alias("exact"), F.col("text")))
     style = F.when(F.size(words) < 40, "short").when(F.size(words) > 80, "long")
     summarise = F.to_json(F.struct(style.alias("style"), F.col("text").alias("text")))
+    call = lambda step: F.concat(F.lit("call_"), F.col("turn") + step)
+    number = F.expr("turn div 2")
+    needs = F.concat(
+        F.array(call(-2)),
+        F.when((number > 0) & (number.bitwiseAND(number + 1) == 0), F.array(call(-4), call(-6))).otherwise(F.array()),
+        F.when((number == 1) & (F.pmod("conv_id", F.lit(50)) == 7), F.array(call(2))).otherwise(F.array()))
     calls = turns.filter("role = 'assistant'").select(
-        "conv_id", "turn", F.concat(F.lit("call_"), F.col("turn")).alias("call_id"),
+        "conv_id", "turn", call(0).alias("call_id"),
         F.when(kind == 0, "search").when(kind == 1, "lookup").otherwise("summarise").alias("name"),
-        F.when(kind == 0, search).when(kind == 1, lookup).otherwise(summarise).alias("arguments"),
-        F.array(F.concat(F.lit("call_"), F.col("turn") - 2)).alias("needs"))
-    results = turns.filter("role = 'user'").select(
-        "conv_id", "turn", F.concat(F.lit("call_"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+        F.when(kind == 0, search).when(kind == 1, lookup).otherwise(summarise).alias("arguments"), needs.alias("needs"))
+    results = turns.filter("role is null or role <> 'assistant'").select(
+        "conv_id", "turn", F.when(F.col("role") == "user", call(-1)).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 

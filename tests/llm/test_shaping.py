@@ -8,7 +8,7 @@ from made_texts import prose
 from pyspark.sql import functions as F
 
 from emberwatch.llm import chat, html, mixing, sketches
-from emberwatch.llm.queries import _op5_sql, op5_source_mixing
+from emberwatch.llm.queries import _op5_sql, op5_source_mixing, op8_tool_calls
 
 
 def test_sketch_keeps_every_hash_below_the_threshold(spark):
@@ -208,3 +208,21 @@ def test_pipeline_against_the_operators(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_tool_traffic_carries_whole_turns(spark, tmp_path):
+    rows = [(conv, 0, "system", f"rules {conv}") for conv in range(6, 9)]
+    rows += [(conv, turn, "user" if turn % 2 else "assistant", prose(10 * conv + turn, 30))
+             for conv in range(6, 9) for turn in range(1, 10)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    got = op8_tool_calls(spark, str(tmp_path)).collect()
+    for conv, turn, role, text in rows:
+        have = [json.loads(r["message"]) for r in got if r["conv_id"] == conv]
+        if role == "assistant":
+            assert sum(text in ((m["call"] or {}).get("arguments") or {}).values() for m in have) == 1, (conv, turn)
+        else:
+            assert sum(m["result"] == text and (role == "user" or m["id"] is None) for m in have) == 1, (conv, turn)
+    levels = {(r["conv_id"], r["call_id"]): (r["level"], r["status"]) for r in got if r["turn"] is not None}
+    assert [levels[6, f"call_{t}"][0] for t in (2, 4, 6, 8)] == [0, 1, 2, 3]
+    assert {levels[7, f"call_{t}"] for t in (2, 4, 6, 8)} == {(None, "cycle")}
