@@ -10,6 +10,8 @@ from emberwatch.session import checkpointed
 SHINGLE_WORDS = 5
 #: One hash in 2 ** FRACTION_BITS is kept: the kept ones are those that are 0 in so many leading bits.
 FRACTION_BITS = 4
+#: The fingerprints of documents are denser, so that short texts have some; likeness is told from all hashes.
+DENSE_BITS = 1
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Neighbouring ids per cell when rows are put next to their neighbours.
 CELL_IDS = 1024
@@ -20,7 +22,11 @@ def word_hashes(text: str) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def kept_hashes(hashes: str) -> Column:
+def below_threshold(hashes: Column, bits: int) -> Column:
+    return F.filter(hashes, lambda s: F.shiftrightunsigned(s, 64 - bits) == 0) if bits else hashes
+
+
+def kept_hashes(hashes: str, bits: int = FRACTION_BITS) -> Column:
     """The sketch: hashes below the threshold of all runs of SHINGLE_WORDS words, sorted, each once.
 
     A text with fewer words is one shingle. Sketches made at one fraction merge by union, and the share of one in
@@ -30,13 +36,12 @@ def kept_hashes(hashes: str) -> Column:
     rest = lambda i: [F.get(h, i + k) for k in range(1, SHINGLE_WORDS)]  # noqa: E731  nulls behind the end are skipped
     shingles = F.transform(h, lambda x, i: F.xxhash64(x, *rest(i)))
     whole = F.slice(shingles, F.lit(1), F.greatest(F.size(h) - (SHINGLE_WORDS - 1), F.lit(1)))
-    low = F.filter(whole, lambda s: (s >= 0) & (s < (1 << (64 - FRACTION_BITS))))
-    return F.sort_array(F.array_distinct(low))
+    return F.sort_array(F.array_distinct(below_threshold(whole, bits)))
 
 
-def fingerprint(sketch: str, text: str) -> Column:
-    """The sketch as 15 hex digits per hash; a text with none under the threshold is told by '=' and its own hash."""
-    digits = (64 - FRACTION_BITS + 3) // 4
+def fingerprint(sketch: str, text: str, bits: int = FRACTION_BITS) -> Column:
+    """The sketch as hex digits, 15 or 16 per hash; a text with none under the threshold is told by '=' and its own hash."""
+    digits = (64 - bits + 3) // 4
     hexed = F.array_join(F.transform(sketch, lambda s: F.lower(F.lpad(F.hex(s), digits, "0"))), "")
     alone = F.concat(F.lit("="), F.lower(F.lpad(F.hex(F.xxhash64(text)), 16, "0")))
     return F.when(F.size(sketch) > 0, hexed).when(F.coalesce(F.col(text), F.lit("")) == "", F.lit("")).otherwise(alone)
@@ -46,15 +51,15 @@ def shared(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
-def likeness(a: str, b: str, fp_a: str, fp_b: str) -> Column:
-    """Resemblance of two sketches; 1 for equal fingerprints, 0 where one has no hash."""
+def likeness(a: str, b: str, text_a: str, text_b: str) -> Column:
+    """Resemblance of two sets of hashes; where neither has one, 1 for equal texts and else 0."""
     both = shared(a, b)
     union = F.size(a) + F.size(b) - both
-    return F.when(F.col(fp_a) == F.col(fp_b), F.lit(1.0)).when(union == 0, F.lit(0.0)).otherwise(both / union)
+    return F.when(union == 0, (F.col(text_a) == F.col(text_b)).cast("double")).otherwise(both / union)
 
 
 def containment(a: str, b: str) -> Column:
-    """Estimated share of a's shingles that b has; null where a's sketch is empty."""
+    """Share of a's shingles that b has, estimated if sketches are given; null where a has no hash."""
     return F.when(F.size(a) > 0, shared(a, b) / F.size(a))
 
 
@@ -108,20 +113,23 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 
     One row per row of `docs`, only built-in functions. The edited text is the text with its last floor(n_chars / 2)
     code points replaced by the first as many of the next document (see with_next). A null text counts as empty; an
-    empty text has the fingerprint ''. Likeness is the resemblance of two sketches; equal fingerprints have 1. Repeated
-    rows are neighbours of each other. Other columns are ignored; an empty table gives no rows.
+    empty text has the fingerprint ''. Fingerprints hold one hash in 2 ** DENSE_BITS; likeness and containment are those of
+    all shingles, so they have no sampling error. Repeated rows are neighbours of each other. Other columns are ignored; an empty table gives no rows.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = texts.withColumn("h", word_hashes("text")).withColumn("hs", kept_hashes("h")).drop("h")
-    rows = with_next(own.withColumn("fingerprint", fingerprint("hs", "text")), "hs", "fingerprint")
+    rows = with_next(texts)
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     kept = F.left("text", F.col("n_chars").cast("int") - half)
-    rows = rows.withColumn("edited", F.concat(kept, F.left("next_text", half))).drop("text", "next_text")
-    rows = rows.withColumn("h", word_hashes("edited")).withColumn("es", kept_hashes("h")).drop("h")
-    rows = rows.withColumn("edited_fingerprint", fingerprint("es", "edited"))
+    rows = rows.withColumn("edited", F.concat(kept, F.left("next_text", half)))
+    for text, name in (("text", "hs"), ("next_text", "next_hs"), ("edited", "es")):
+        rows = rows.withColumn("h", word_hashes(text)).withColumn(name, kept_hashes("h", 0)).drop("h")
+    for name, low in (("hs", "low"), ("es", "edited_low")):
+        rows = rows.withColumn(low, below_threshold(F.col(name), DENSE_BITS))
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness("hs", "es", "fingerprint", "edited_fingerprint").alias("near_edited"),
-        likeness("hs", "next_hs", "fingerprint", "next_fingerprint").alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint("low", "text", DENSE_BITS).alias("fingerprint"),
+        fingerprint("edited_low", "edited", DENSE_BITS).alias("edited_fingerprint"),
+        likeness("hs", "es", "text", "edited").alias("near_edited"),
+        likeness("hs", "next_hs", "text", "next_text").alias("near_next"),
         containment("hs", "es").alias("contained_edited"))

@@ -226,3 +226,16 @@ def test_tool_traffic_carries_whole_turns(spark, tmp_path):
     levels = {(r["conv_id"], r["call_id"]): (r["level"], r["status"]) for r in got if r["turn"] is not None}
     assert [levels[6, f"call_{t}"][0] for t in (2, 4, 6, 8)] == [0, 1, 2, 3]
     assert {levels[7, f"call_{t}"] for t in (2, 4, 6, 8)} == {(None, "cycle")}
+
+
+def test_likeness_of_short_texts_is_exact(spark):
+    docs = [(i, prose(i // 2, n) + (" end" if i % 2 else "")) for i, n in enumerate(n for n in (1, 5, 6, 8, 12, 20, 50, 200) for _ in "ab")]
+    got = {r["doc_id"]: r for r in sketches.fingerprinted(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    shingles = lambda t: {tuple(t.split()[k:k + 5]) for k in range(max(1, len(t.split()) - 4))}
+    for i, text in docs:
+        after = docs[i - 1][1]
+        half = len(text) // 2
+        own, edited, next_ = (shingles(t) for t in (text, text[:len(text) - half] + after[:half], after))
+        assert got[i]["near_edited"] == pytest.approx(len(own & edited) / len(own | edited)), i
+        assert got[i]["near_next"] == pytest.approx(len(own & next_) / len(own | next_)), i
+        assert got[i]["contained_edited"] == pytest.approx(len(own & edited) / len(own)), i
