@@ -90,31 +90,43 @@ def value_faults(key: str, value, p: Parameter) -> list[str]:
     return out
 
 
+def further_rows(rows: DataFrame, firsts: DataFrame, fields: list[str]) -> DataFrame:
+    """The rows of the keys in `firsts` besides the first of each; `n` counts exact duplicates."""
+    keys = ["conv_id", "call_id"]
+    counted = rows.join(firsts.select(*keys), keys, "left_semi").groupBy(*keys, *fields).agg(F.count("*").alias("n"))
+    counted = counted.join(firsts, keys)
+    n = F.col("n") - F.struct(*fields).eqNullSafe(F.col("first")).cast("long")
+    return counted.withColumn("n", n).filter("n > 0").drop("first")
+
+
 def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Calls and results joined on (conv_id, call_id), a row each way that something is left over.
 
-    Of several calls with one identifier the first by turn, name and arguments is the call, the rest are "repeated"; of
-    several results the first by turn and content is the result, others are "repeated result". A call without a result
+    Of several calls with one identifier the first by turn, name, arguments and needs is the call; each other is a row of
+    its own, "repeated". Of several results the first by turn and content is the result, each other a "repeated result".
+    Only exact duplicates share a row, with their count. A call without a result
     is "unanswered", one answered before it was made is "out of order", a result without a call an "orphan". Null
     identifiers link with nothing.
     """
     keys = ["conv_id", "call_id"]
     # The least row of a key by a minimum: partial sums before the shuffle, no group in one place.
-    first_call = calls.filter("conv_id is not null and call_id is not null").groupBy(*keys).agg(
-        F.min(F.struct("turn", "name", "arguments")).alias("c"), F.count("*").alias("calls"),
-        F.min_by("needs", F.struct("turn", "name", "arguments")).alias("needs"))
-    first_result = results.filter("conv_id is not null and call_id is not null").groupBy(*keys).agg(
-        F.min(F.struct(F.col("turn"), F.col("content"))).alias("r"), F.count("*").alias("results"))
+    called = calls.filter("conv_id is not null and call_id is not null")
+    answered = results.filter("conv_id is not null and call_id is not null")
+    first_call = called.groupBy(*keys).agg(
+        F.min(F.struct("turn", "name", "arguments", "needs")).alias("c"), F.count("*").alias("calls"))
+    first_result = answered.groupBy(*keys).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("results"))
     joined = first_call.join(first_result, keys, "full")
     status = (F.when(F.col("c").isNull(), "orphan").when(F.col("r").isNull(), "unanswered")
               .when(F.col("r.turn") <= F.col("c.turn"), "out of order").otherwise("linked"))
     main = joined.select(*keys, F.col("c.turn").alias("turn"), F.col("c.name").alias("name"),
-                         F.col("c.arguments").alias("arguments"), "needs", F.col("r.turn").alias("result_turn"),
+                         F.col("c.arguments").alias("arguments"), F.col("c.needs").alias("needs"), F.col("r.turn").alias("result_turn"),
                          F.col("r.content").alias("content"), status.alias("status"), F.lit(1).cast("long").alias("n"))
-    more = [(first_call.filter("calls > 1"), "repeated", F.col("calls") - 1),
-            (first_result.filter("results > 1"), "repeated result", F.col("results") - 1)]
-    for frame, name, n in more:
-        main = main.unionByName(frame.select(*keys, F.lit(name).alias("status"), n.alias("n")), allowMissingColumns=True)
+    further = further_rows(called, first_call.filter("calls > 1").select(*keys, F.col("c").alias("first")),
+                           ["turn", "name", "arguments", "needs"]).withColumn("status", F.lit("repeated"))
+    again = further_rows(answered, first_result.filter("results > 1").select(*keys, F.col("r").alias("first")),
+                         ["turn", "content"]).withColumn("status", F.lit("repeated result"))
+    main = main.unionByName(further, allowMissingColumns=True).unionByName(
+        again.withColumnRenamed("turn", "result_turn"), allowMissingColumns=True)
     lost = calls.filter("conv_id is null or call_id is null").select(
         *keys, "turn", "name", "arguments", F.lit("unanswered").alias("status"), F.lit(1).cast("long").alias("n"))
     stray = results.filter("conv_id is null or call_id is null").select(
@@ -180,7 +192,7 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def exchanges(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """conv_id, level, turn, call_id, status, n, valid, errors, message: a row per call, result or group of repeats.
+    """conv_id, level, turn, call_id, status, n, valid, errors, message: a row per call or result.
 
     (level, turn, call_id) is the order in which a conversation's calls are to be replayed: what a call needs has a
     lower level; level is null for what is no linked call and for calls in a cycle, whose status is "cycle". `errors`
@@ -196,13 +208,11 @@ def exchanges(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFra
         for columns in batches:
             out = []
             for call_id, name, arguments, content, status in zip(*columns):
-                if status.startswith("repeated"):
-                    out.append((None, None))
-                    continue
-                value, error = parsed(arguments) if status != "orphan" else (None, None)
-                errors = None if status == "orphan" else [error] if error else faults(name, value, schemas)
+                no_call = status in ("orphan", "repeated result")
+                value, error = (None, None) if no_call else parsed(arguments)
+                errors = None if no_call else [error] if error else faults(name, value, schemas)
                 call = {"id": call_id, "name": name, "arguments": arguments if error else value}
-                message = {"result": content, "call": None if status == "orphan" else call, "id": call_id}
+                message = {"result": content, "call": None if no_call else call, "id": call_id}
                 out.append((errors, canonical(message)))
             yield pd.DataFrame(out, columns=["errors", "message"])
 

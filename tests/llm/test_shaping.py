@@ -239,3 +239,16 @@ def test_likeness_of_short_texts_is_exact(spark):
         assert got[i]["near_edited"] == pytest.approx(len(own & edited) / len(own | edited)), i
         assert got[i]["near_next"] == pytest.approx(len(own & next_) / len(own | next_)), i
         assert got[i]["contained_edited"] == pytest.approx(len(own & edited) / len(own)), i
+
+
+def test_further_calls_and_results_keep_what_they_say(spark):
+    calls = [(1, 1, "A", "f", '{"a":1}', []), (1, 1, "A", "f", '{"a":1}', []), (1, 3, "A", "f", '{"a":2}', ["B"]),
+             (1, 5, "A", "f", '{"a":99}', None), (1, 5, "A", "f", '{"a":99}', None)]
+    results = [(1, 2, "A", "one"), (1, 4, "A", "two"), (1, 6, "A", "three"), (1, 6, "A", "three")]
+    c = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>")
+    r = spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string")
+    got = chat.exchanges(c, r, SCHEMAS).collect()
+    rows = sorted((x["status"], x["turn"] or 0, x["n"], str(x["errors"]), json.loads(x["message"])["result"] or "") for x in got)
+    assert rows == [("linked", 1, 1, "[]", "one"), ("repeated", 1, 1, "[]", ""), ("repeated", 3, 1, "[]", ""),
+                    ("repeated", 5, 2, "['a: out of range']", ""), ("repeated result", 0, 1, "None", "two"),
+                    ("repeated result", 0, 2, "None", "three")]
