@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm import bpe, chat, html, langid, lm, mixing, simhash, sketches, spans, vectors
+from emberwatch.llm import alignment, bpe, chat, codes, exact, html, langid, lm, mixing, simhash, sketches, spans, vectors
 from emberwatch.session import load_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 IN_FIVE = "crc32(cast(doc_id as string)) % 5"
 DOMAIN = "concat('d', cast(substring(source, 4) as int) % 4)"
 MIX = mixing.Mix(weights={"domain": {"d0": 2, "d1": 3}, "lang": {"en": 4, "de": 2}}, budget_share=0.75, max_epochs=3,
@@ -139,6 +140,53 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(load_table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(load_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def _op11_sql() -> str:
+    """The same rounds over one row per component; a distance and its entry are one number, so that ties go low."""
+    sql = f"""
+    with numbered as (select *, row_number() over (order by vec_id) as r from embeddings where embedding is not null),
+    scalars as (select r, len(embedding) as n, unnest(embedding)::double as v, unnest(range(len(embedding))) as i from numbered),
+    kept as (select row_number() over (order by vec_id) as k, * from numbered
+        where r not in (select r from scalars where v is null or not isfinite(v))),
+    x as (select k, i // (n // {codes.PARTS}) as p, i % (n // {codes.PARTS}) as c, floor({codes.SCALE} * v)::bigint as x
+        from scalars join kept using (r)),
+    b0 as (select p, k - 1 as e, c, x from x where k <= {codes.ENTRIES})"""
+    for i in range(codes.ROUNDS + 1):
+        sql += f""",
+    d{i} as (select k, p, e, sum((x.x - b.x) * (x.x - b.x))::bigint as d from x join b{i} b using (p, c) group by all),
+    a{i} as (select k, p, min(d * {codes.ENTRIES} + e) as best from d{i} group by all)"""
+        if i < codes.ROUNDS:
+            sql += f""",
+    m{i} as (select p, best % {codes.ENTRIES} as e, c, sum(x)::bigint as s, count(*) as n from a{i} join x using (k, p) group by all),
+    b{i + 1} as (select p, e, c, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, b.x) as x
+        from b{i} b left join m{i} m using (p, e, c))"""
+    last = codes.ROUNDS
+    return sql + f""",
+    coded as (select k, string_agg(format('{{:02x}}', best % {codes.ENTRIES}), '' order by p) as code,
+        sum(best // {codes.ENTRIES})::bigint as error from a{last} group by k)
+    select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+        (select sha256(string_agg(x::varchar, ',' order by p, e, c)) from b{last}) as codebooks_sha256
+    from coded join kept using (k)"""
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(load_table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicated(load_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = rf"""
+    with texts as (select doc_id, regexp_replace(coalesce(text, ''), '{exact.BLANKS}', ' ', 'g') as norm from documents)
+    select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by norm) as group_size,
+        row_number() over w = 1 as kept, sha256(norm) as text_sha256
+    from texts window w as (partition by norm order by doc_id)"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_html_extraction": (op1_html_extraction, None),
     "op2_language_id": (op2_language_id, None),
@@ -150,4 +198,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_tool_calls": (op8_tool_calls, None),
     "op9_token_spans": (op9_token_spans, None),
     "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
+    "op11_code_compression": (op11_code_compression, _op11_sql()),
+    "op12_token_alignment": (op12_token_alignment, None),
+    "op13_exact_dedup": (op13_exact_dedup, OP13_SQL),
 }
