@@ -17,6 +17,8 @@ BUCKET_BYTES = 64 << 20
 ROW_BYTES = 64
 #: The directory never exceeds 2^MAX_DEPTH pointers. Beyond it buckets grow; they are walked as a stream in any case.
 MAX_DEPTH = 16
+#: An overflow page has at least so many rows on average, and so few rows of one hash never overflow.
+PAGE_ROWS = 8
 
 
 def normalised(text: str = "text") -> Column:
@@ -128,28 +130,26 @@ def index_of(rows: DataFrame, bucket_bytes: int, max_depth: int) -> DataFrame:
     """(h, slot, text_sha256, first_id, first_row, copies): the index of written `rows`, one row per different text.
 
     A hash whose rows alone overfill a bucket cannot be split off by more directory bits. Its rows go to overflow pages by
-    row, each of a bucket's size, which are walked on their own; what they leave (one entry per page and text) is paged
-    again until one page takes it.
+    row, each of a bucket's size and PAGE_ROWS at least, which are walked on their own; what they leave (one entry per page
+    and text) is paged again, four times as large, until one page takes it.
     """
     entries = rows.select("h", "text_sha256", "norm", F.col("doc_id").alias("first_id"), F.col("row").alias("first_row"),
                           F.lit(1).cast("long").alias("copies"), "n_bytes")
     found = []
     while True:
-        hot = checkpointed(entries.groupBy("h").agg(F.sum("n_bytes").alias("load")).filter(F.col("load") > bucket_bytes))
+        sizes = entries.groupBy("h").agg(F.sum("n_bytes").alias("load"), F.count("*").alias("n"))
+        hot = checkpointed(sizes.filter((F.col("load") > bucket_bytes) & (F.col("n") > PAGE_ROWS)))
         cold = entries.join(F.broadcast(hot.select("h")), "h", "left_anti") if _small(hot) else entries.join(hot, "h", "left_anti")
         directory = Directory(prefix_loads(cold, max_depth), bucket_bytes)
         found.append(checkpointed(_owned(cold.withColumns({"bucket": directory.bucket_of("h"), "page": F.lit(0)})).drop("norm")))
         if hot.isEmpty():
             break
-        pages = F.ceil(F.col("load") / bucket_bytes)
+        pages = F.ceil(F.least(F.col("load") / bucket_bytes, F.col("n") / PAGE_ROWS))
         paged = entries.join(F.broadcast(hot) if _small(hot) else hot, "h").withColumns({
             "bucket": directory.bucket_of("h"), "page": (1 + F.pmod(F.xxhash64("first_row", "h"), pages)).cast("int")})
-        rest = checkpointed(_owned(paged))
-        before, after = paged.count(), rest.count()
-        entries = rest.select("h", "text_sha256", "norm", "first_id", "first_row", "copies",
-                              (F.octet_length("norm") + ROW_BYTES).alias("n_bytes"))
-        if after == before:  # nothing met its like: larger pages
-            bucket_bytes *= 4
+        entries = checkpointed(_owned(paged)).select(
+            "h", "text_sha256", "norm", "first_id", "first_row", "copies", (F.octet_length("norm") + ROW_BYTES).alias("n_bytes"))
+        bucket_bytes *= 4
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionByName(more)
