@@ -15,9 +15,10 @@ from emberwatch.operators import (
 )
 from emberwatch.plans import oracle as o, telemetry as tel
 from emberwatch.plans.detection import Detection
-from emberwatch.session import load_table, scratch_path
+from emberwatch.session import checkpointed, load_table, scratch_path
 from emberwatch.sources import catalogue as cat, events as src, tables
-from emberwatch.streaming import detectors as live, flow
+from emberwatch.streaming import detectors as live, flow, forest
+from emberwatch.streaming.incidents import stream_incidents
 
 DAY_S = 86_400
 # Thresholds that fit the driver's sparse synthetic events; the operators' own defaults suit real telemetry.
@@ -940,12 +941,22 @@ def _(d):
 
 
 # -- 2.13 streaming ------------------------------------------------------------------------------------------
-# Each runs the events through a stream to its end and is checked against the batch result.
+# Each runs the events through a stream to its end, in BATCHES micro-batches by time, and is checked against the batch result.
 
-def _stream(d) -> DataFrame:
-    path = d.scratch()
-    d.events.write.parquet(path)
-    return flow.stream_events(d.spark, path, fmt="parquet")
+BATCHES = 6
+
+
+def _stream(d, rows: DataFrame | None = None, batch=None) -> DataFrame:
+    """Events as a stream of one file a micro-batch; `batch` (a column of 0 to BATCHES - 1) says which, else their time does."""
+    rows = d.events if rows is None else rows
+    if batch is None:
+        lo, hi = rows.agg(F.min(us("timestamp")), F.max(us("timestamp"))).first()
+        batch = F.expr(f"int((unix_micros(timestamp) - {lo or 0}L) div {max(1, ((hi or 0) - (lo or 0)) // BATCHES + 1)}L)")
+    kept, path = checkpointed(rows.withColumn("_batch", batch)), d.scratch()
+    files = max(1, d.spark.sparkContext.defaultParallelism // 8)
+    for b in range(BATCHES):
+        kept.filter(F.col("_batch") == b).drop("_batch").repartition(files).write.parquet(f"{path}/{b}")
+    return flow.stream_events(d.spark, f"{path}/*", fmt="parquet", files_per_trigger=files)
 
 
 def _finished(d, rows: DataFrame, mode: str = "append") -> DataFrame:
@@ -953,15 +964,15 @@ def _finished(d, rows: DataFrame, mode: str = "append") -> DataFrame:
                      "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = d.scratch()
     flow.live_push(rows, path, d.scratch(), mode=mode).awaitTermination()
-    return d.spark.read.schema(rows.schema).parquet(path)
+    return flow.published(d.spark, path, rows.schema).drop("batch")
 
 
-@query("stream_events", f"SELECT CASE WHEN seq % 5 < 3 THEN code ELSE 0 END AS event_id, CASE WHEN seq % 5 = 4 THEN 'unknown' ELSE host END AS host, count(*) AS events FROM tele WHERE seq % 25 NOT IN (4, 9, 14) AND seq % 25 <> 19 GROUP BY 1, 2")
+@query("stream_events", f"SELECT CASE WHEN seq % 5 < 3 THEN code ELSE 0 END AS event_id, CASE WHEN seq % 5 = 4 THEN 'unknown' ELSE host END AS host, count(*) AS events, count(*) AS numbers FROM tele WHERE seq % 25 NOT IN (4, 9, 14) AND seq % 25 <> 19 GROUP BY 1, 2")
 def _(d):
     path = d.scratch()
     tel.payloads(d.events).select("value").write.text(path)
-    rows = _finished(d, flow.stream_events(d.spark, path, max_bytes=2000).select("event_id", "host"))
-    return rows.groupBy("event_id", "host").agg(F.count("*").alias("events"))
+    rows = _finished(d, flow.stream_events(d.spark, path, max_bytes=2000).select("event_id", "host", "seq"))
+    return rows.groupBy("event_id", "host").agg(F.count("*").alias("events"), F.countDistinct("seq").alias("numbers"))
 
 
 @query("stream_match_rules", "SELECT seq, rule_id FROM rdet")
@@ -981,9 +992,54 @@ def _(d):
     return rows.select("host", "dest_ip", "dest_port", "us", "seq", "connections", F.round("regularity", 6).alias("regularity"))
 
 
-@query("stream_discovery", "SELECT host, root AS root_guid, us, seq, kinds AS distinct_items FROM disc_alerts")
+# Every tenth event comes one micro-batch late, the last batch's own excepted.
+ARRIVAL = "least(part + CASE WHEN seq % 10 = 3 THEN 1 ELSE 0 END, 5)"
+
+
+@query("drop_late_in_channel", f"""SELECT host, process, dest_ip, dest_port, us, seq, newest AS newest_us FROM (
+    SELECT *, max(us) OVER (PARTITION BY host, process, dest_ip, dest_port ORDER BY b, us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM (
+        SELECT *, {ARRIVAL} AS b FROM (SELECT *, (us - (SELECT min(us) FROM tele)) // (SELECT (max(us) - min(us)) // 6 + 1 FROM tele) AS part FROM conn))) WHERE newest > us""")
 def _(d):
-    return _finished(d, live.stream_discovery(_stream(d), d.plan.roots, **DISCOVERY)).select("host", "root_guid", "us", "seq", "distinct_items")
+    lo, hi = d.events.agg(F.min(us("timestamp")), F.max(us("timestamp"))).first()
+    batch = F.expr(ARRIVAL.replace("part", f"((unix_micros(timestamp) - {lo or 0}L) div {((hi or 0) - (lo or 0)) // BATCHES + 1}L)"))
+    return _finished(d, live.late_in_channel(_stream(d, batch=batch.cast("int")), watermark="400 days"))
+
+
+# Root of a process as known at an event: the topmost ancestor among the processes seen until then.
+LIVE_DISCOVERY = {
+    "node_seq": "SELECT host, guid, min(seq) AS first_seq, arg_min(parent, seq) AS parent FROM tele GROUP BY host, guid",
+    "asked": "SELECT DISTINCT r.seq AS s, r.host, w.guid FROM recon r JOIN recon w ON w.host = r.host AND w.root = r.root AND w.us >= r.us - 1800000000 AND w.seq <= r.seq",
+    "climb": """SELECT s, host, guid, guid AS cur, 0 AS depth FROM asked UNION ALL SELECT c.s, c.host, c.guid, n.parent, c.depth + 1 FROM climb c
+        JOIN node_seq n ON n.host = c.host AND n.guid = c.cur JOIN node_seq p ON p.host = c.host AND p.guid = n.parent AND p.first_seq <= c.s""",
+    "known_root": "SELECT s, host, guid, arg_max(cur, depth) AS top FROM climb GROUP BY s, host, guid",
+    "live_pair": """SELECT r.host, r.root, r.seq, r.us, r.guid, a.top, w.seq AS wseq, w.us AS wus, w.technique FROM recon r JOIN recon w ON w.host = r.host AND w.root = r.root AND w.us >= r.us - 1800000000 AND w.seq <= r.seq
+        JOIN known_root a ON a.s = r.seq AND a.host = r.host AND a.guid = r.guid JOIN known_root b ON b.s = r.seq AND b.host = w.host AND b.guid = w.guid AND b.top = a.top""",
+    "live_cand": "SELECT host, root, seq, us, top, count(DISTINCT technique) AS kinds FROM live_pair GROUP BY host, root, seq, us, top HAVING count(DISTINCT technique) >= 2",
+    "live_conf": """SELECT c.*, row_number() OVER (PARTITION BY c.host, c.root ORDER BY c.us, c.seq) AS n, coalesce(b.before, []) AS before FROM live_cand c LEFT JOIN (
+        SELECT p.host, p.seq, list(DISTINCT p.wseq) AS before FROM live_pair p JOIN live_cand k ON k.host = p.host AND k.seq = p.wseq WHERE p.wseq < p.seq AND p.us - p.wus < 600000000 GROUP BY p.host, p.seq) b ON b.host = c.host AND b.seq = c.seq""",
+    "live_kept": """SELECT host, root, 0::BIGINT AS n, []::BIGINT[] AS kept FROM live_conf WHERE n = 1 UNION ALL
+        SELECT k.host, k.root, c.n, CASE WHEN list_has_any(k.kept, c.before) THEN k.kept ELSE list_append(k.kept, c.seq) END FROM live_kept k JOIN live_conf c ON c.host = k.host AND c.root = k.root AND c.n = k.n + 1""",
+}
+
+
+@query("stream_discovery", """SELECT c.host, c.top AS root_guid, c.us, c.seq, c.kinds AS distinct_items FROM live_conf c
+    JOIN (SELECT host, root, arg_max(kept, n) AS kept FROM live_kept GROUP BY host, root) k ON k.host = c.host AND k.root = c.root AND list_contains(k.kept, c.seq)""", **LIVE_DISCOVERY)
+def _(d):
+    rows = forest.stream_discovery(_stream(d), ttl_s=30 * DAY_S, **DISCOVERY)
+    return _finished(d, rows).select("host", "root_guid", "us", "seq", "distinct_items")
+
+
+# A life ends with a pause over ten minutes, and is told once the watermark is past the last minute's timer.
+LIFE_S = 600
+
+
+@query("prune_idle_state", f"""SELECT host, guid, first_us, last_us FROM (
+    SELECT host, guid, min(us) AS first_us, max(us) AS last_us, lead(min(us)) OVER (PARTITION BY host, guid ORDER BY min(us)) AS born FROM (
+        SELECT *, sum(CASE WHEN prev IS NULL OR us - prev > {LIFE_S}000000 THEN 1 ELSE 0 END) OVER (PARTITION BY host, guid ORDER BY us, seq) AS life
+        FROM (SELECT *, lag(us) OVER (PARTITION BY host, guid ORDER BY us, seq) AS prev FROM tele)) GROUP BY host, guid, life)
+    WHERE born IS NOT NULL OR (last_us // {LIFE_S * 62500} + 1) * {LIFE_S * 62500} + {LIFE_S}000000 <= (SELECT (max(us) // 1000) * 1000 FROM tele) - 600000000""")
+def _(d):
+    return _finished(d, forest.ended_processes(_stream(d), ttl_s=LIFE_S, window_s=300, cooldown_s=300))
 
 
 @query("stream_scan", "SELECT host, process, guid, us, seq, ips AS distinct_ips, ports AS distinct_ports FROM scan_alerts")
@@ -991,9 +1047,20 @@ def _(d):
     return _finished(d, live.stream_scan(_stream(d), **SCAN))
 
 
-@query("stream_incidents", "SELECT id, score, detection_count, actionable FROM inc WHERE last_us + 600000000 <= (SELECT (max(us) // 1000) * 1000 FROM det) - 600000000", det="SELECT * FROM rdet")
+@query("expire_window_entries", """SELECT s.host, s.process, s.guid, s.dest_ip, s.dest_port, s.us, min(c.seq) AS seq FROM (
+    SELECT host, process, guid, dest_ip, dest_port, max(us) AS us FROM (
+        SELECT *, sum(CASE WHEN prev IS NULL OR us - prev > 600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY host, process, guid, dest_ip, dest_port ORDER BY us, seq) AS life
+        FROM (SELECT *, lag(us) OVER (PARTITION BY host, process, guid, dest_ip, dest_port ORDER BY us, seq) AS prev FROM conn)) GROUP BY host, process, guid, dest_ip, dest_port, life) s
+    JOIN conn c ON c.host = s.host AND c.process = s.process AND c.guid = s.guid AND c.us > s.us + 600000000 GROUP BY ALL""")
+def _(d):
+    # State outlives the pauses of the sparse events: an entry leaves only when its process goes on.
+    return _finished(d, live.expired_destinations(_stream(d), window_s=600, cooldown_s=30 * DAY_S))
+
+
+@query("stream_incidents", """SELECT id, CASE WHEN last_us + 600000000 <= (SELECT (max(us) // 1000) * 1000 FROM det) - 600000000 THEN 'closed' ELSE 'open' END AS status, score, severity, detection_count, actionable,
+    array_to_string(rule_ids, ',') AS rules, array_to_string(techniques, ',') AS techniques, array_to_string(chain, '>') AS chain, root_image, classification, title, first_us, last_us FROM inc""", det="SELECT * FROM rdet")
 def _(d):
-    # A session closes once the watermark, ten minutes behind the newest detection, passes its end.
     rooted = inc.attach_tree(flow.stream_match_rules(_stream(d), d.plan.rules), d.plan.chains)
-    rows = _finished(d, flow.stream_incidents(rooted))
-    return rows.select("id", F.col("score").cast("bigint").alias("score"), "detection_count", "actionable")
+    rows = flow.current_incidents(_finished(d, stream_incidents(rooted), mode="update"))
+    return rows.select("id", "status", "score", "severity", "detection_count", "actionable", joined("rule_ids").alias("rules"), joined("techniques").alias("techniques"),
+                       joined("chain", ">").alias("chain"), "root_image", "classification", "title", us("first_seen").alias("first_us"), us("last_seen").alias("last_us"))
