@@ -48,7 +48,7 @@ def plain_numbers(value):
 
 
 def parsed(source: str | None):
-    """(value, error): JSON text; repeated keys, NaN and infinities are errors."""
+    """(value, error): JSON text; repeated keys, NaN, numbers beyond a double and lone surrogates are errors."""
     def unique(pairs):
         out = dict(pairs)
         if len(out) < len(pairs):
@@ -58,8 +58,14 @@ def parsed(source: str | None):
     def refuse(name):
         raise ValueError(f"no JSON: {name}")
 
+    def number(text):
+        value = float(text)
+        return value if abs(value) < float("inf") else refuse(text)
+
     try:
-        return plain_numbers(json.loads(source or "", object_pairs_hook=unique, parse_constant=refuse)), None
+        value = plain_numbers(json.loads(source or "", object_pairs_hook=unique, parse_constant=refuse, parse_float=number))
+        canonical(value).encode()  # an escaped lone surrogate is no text
+        return value, None
     except (ValueError, RecursionError):
         return None, "arguments: not JSON"
 
@@ -115,7 +121,7 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     first_call = called.groupBy(*keys).agg(
         F.min(F.struct("turn", "name", "arguments", "needs")).alias("c"), F.count("*").alias("calls"))
     first_result = answered.groupBy(*keys).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("results"))
-    joined = first_call.join(first_result, keys, "full")
+    joined = first_call.hint("shuffle_hash").join(first_result, keys, "full")
     status = (F.when(F.col("c").isNull(), "orphan").when(F.col("r").isNull(), "unanswered")
               .when(F.col("r.turn") <= F.col("c.turn"), "out of order").otherwise("linked"))
     main = joined.select(*keys, F.col("c.turn").alias("turn"), F.col("c.name").alias("name"),
@@ -197,7 +203,8 @@ def exchanges(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFra
     (level, turn, call_id) is the order in which a conversation's calls are to be replayed: what a call needs has a
     lower level; level is null for what is no linked call and for calls in a cycle, whose status is "cycle". `errors`
     are those of the arguments, null where there is no call. `message` is canonical JSON of the call with its result.
-    Null and repeated identifiers: see linked. Columns besides CALL_COLUMNS and RESULT_COLUMNS are ignored.
+    Null and repeated identifiers: see linked. Arguments that parsed refuses are kept as their text, with one error. A text
+    of any length is one value of one row; no rows in, no rows out. Columns besides CALL_COLUMNS and RESULT_COLUMNS are ignored.
     """
     rows = checkpointed(linked(calls.select(*CALL_COLUMNS), results.select(*RESULT_COLUMNS)))
     heads = rows.filter("status in ('linked', 'unanswered', 'out of order') and conv_id is not null and call_id is not null")

@@ -15,13 +15,15 @@ from emberwatch.session import checkpointed
 
 UNKNOWN = "und"
 ORDER = 4
-#: An n-gram is put into a language's filter if it makes up so much of the language's training n-grams; at most
-#: 1 / MIN_SHARE of them per language can, which bounds the filter for any corpus.
-MIN_SHARE = 2e-5
-SLOTS = 1 << 20
 PROBES = 2
+#: A filter has the least power of two of slots at which the language with most n-grams fills FILL of them, within these
+#: bounds. Beyond the upper one (128 MB for each 64 languages) filters are fuller, and scores are corrected for it: every
+#: n-gram goes in at any size.
+FILL = 0.3
+SLOTS = (1 << 16, 1 << 24)
 #: A prediction below this score names no language that the text is in; the stage rejects it.
 MIN_SCORE = 0.2
+FEW = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,7 +62,7 @@ def ngram_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return ids[whole], owner[:n][whole]
 
 
-def slots_of(ids: np.ndarray, slots: int = SLOTS, probes: int = PROBES) -> Iterator[np.ndarray]:
+def slots_of(ids: np.ndarray, slots: int, probes: int = PROBES) -> Iterator[np.ndarray]:
     mixed = (ids ^ (ids >> np.uint64(29))) * _MIX
     mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
     step = (mixed >> np.uint64(40)) | np.uint64(1)
@@ -111,7 +113,7 @@ class LanguageFilter:
         found = np.zeros((len(texts), len(self.languages)))
         for w, plane in enumerate(self.planes):
             mask = None
-            for slot in slots_of(ids):
+            for slot in slots_of(ids, len(plane)):
                 bits = plane[slot]
                 mask = bits if mask is None else mask & bits
             for b in range(min(64, len(self.languages) - 64 * w)):
@@ -133,30 +135,40 @@ class LanguageFilter:
         return names, np.where(lettered, score, 0.0)
 
 
+def slots_for(most: int) -> int:
+    """Slots of a filter for languages with at most so many n-grams."""
+    slots = SLOTS[0]
+    while slots < SLOTS[1] and most * PROBES > FILL * slots:
+        slots *= 2
+    return slots
+
+
 def train_filter(docs: DataFrame) -> LanguageFilter:
-    """Count all training n-grams in Spark, set bits for the frequent ones there, and gather the slots (at most SLOTS).
+    """Count all training n-grams in Spark, set bits for all of them there, and gather the planes.
 
-    Languages are the non-null values of `lang`, in order of name; rows without text teach nothing.
+    A row per slot and 64 languages reaches the driver, no more than the filter has. Languages are the non-null values of
+    `lang`, in order of name; rows without text teach nothing.
     """
-    counts = checkpointed(ngram_counts(docs))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    languages = sorted(r["lang"] for r in totals.select("lang").collect())
-    words = max(1, -(-len(languages) // 64))
-    planes, fill = np.zeros((words, SLOTS), dtype=np.uint64), np.zeros(len(languages))
+    counts = checkpointed(ngram_counts(docs).select("lang", "ngram"))
+    sizes = counts.groupBy("lang").count().orderBy("lang").collect()
+    languages = [r["lang"] for r in sizes]
+    slots, words = slots_for(max([r["count"] for r in sizes], default=0)), -(-len(languages) // 64)
+    planes, fill = np.zeros((max(1, words), slots), dtype=np.uint64), np.zeros(len(languages))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ids = frame["ngram"].to_numpy().view(np.uint64)
-            for slot in slots_of(ids):
-                yield pd.DataFrame({"lang": frame["lang"], "slot": slot.astype(np.int64)})
-
-    frequent = counts.join(F.broadcast(totals), "lang").filter(F.col("n") >= MIN_SHARE * F.col("total"))
-    slots = frequent.select("lang", "ngram").mapInPandas(run, "lang string, slot long").distinct()
-    table = slots.toPandas()
-    for i, lang in enumerate(languages):
-        at = table["slot"].to_numpy()[table["lang"].to_numpy() == lang]
-        planes[i // 64, at] |= np.uint64(1) << np.uint64(i % 64)
-        fill[i] = len(at) / SLOTS
+            ids, number = frame["ngram"].to_numpy().view(np.uint64), frame["number"].to_numpy()
+            for slot in slots_of(ids, slots):
+                yield pd.DataFrame({"word": number // 64, "slot": slot.astype(np.int64),
+                                    "bits": (np.uint64(1) << (number % 64).astype(np.uint64)).view(np.int64)})
+
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(languages)), "number int, lang string")
+    numbered = counts.join(F.broadcast(numbers), "lang").select("ngram", "number")
+    table = numbered.mapInPandas(run, "word int, slot long, bits long").groupBy("word", "slot").agg(
+        F.bit_or("bits").alias("bits")).toPandas()
+    planes[table["word"].to_numpy(np.int64), table["slot"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64).view(np.uint64)
+    for i in range(len(languages)):
+        fill[i] = np.count_nonzero(planes[i // 64] >> np.uint64(i % 64) & np.uint64(1)) / slots
     return LanguageFilter(languages, planes, fill)
 
 
@@ -165,7 +177,8 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
     `lang_pred` is `und` with score 0 for a null text or one without a letter, and a learned language otherwise; equal
     shares go to the first language by name. Columns named lang_pred or score already are replaced. Repeated rows are
-    repeated. The filter has a fixed size (SLOTS x 8 bytes for each 64 languages) and is broadcast once.
+    repeated; no rows in, no rows out. A text of any length is read whole. The filter has at most SLOTS[1] x 8 bytes for each
+    64 languages and is broadcast once. Languages are few: labels with very many values are to be cleaned before.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -184,8 +197,13 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageFilter, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of `docs` (same columns, one named lang_pred or score too) whose text is in a learned language."""
+    """The rows of `docs` (same columns, one named lang_pred or score too) whose text is in a learned language.
+
+    Rejected are texts without a letter, and those that score less than `min_score` on FEW n-grams or more: fewer tell too
+    little to reject a text. Nulls, repeats and long texts: see identify.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
-    kept = identify(plain, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    judged = identify(plain, model).filter(F.col("lang_pred") != UNKNOWN)
+    kept = judged.filter((F.col("score") >= min_score) | (F.length(F.regexp_replace("text", r"\P{L}+", " ")) < FEW))
     return kept.select(*names).toDF(*docs.columns)

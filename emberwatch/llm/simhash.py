@@ -128,6 +128,12 @@ def simhash_groups(docs: DataFrame, width: int | None = None) -> DataFrame:
     (null where a component has no other). Repeated rows are repeated; columns besides doc_id and text are ignored.
     `width` (bytes per posting key) only changes the plan: every choice finds all links.
     """
+    return grouped(docs, width).select(
+        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(docs: DataFrame, width: int | None = None) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row; a group's root is its smallest fingerprint."""
     fps = checkpointed(fingerprints(docs))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     width = width or index_width(distinct.count())
@@ -135,21 +141,25 @@ def simhash_groups(docs: DataFrame, width: int | None = None) -> DataFrame:
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = named.join(least, "root").select("fp", "component_id")
-    return fps.join(labels, "fp").select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of `docs` (same columns) that stand for their group: the one with its smallest doc_id, once.
 
-    A row without a doc_id stays only where its group has no other, again once.
+    A row without a doc_id stays only where its group has no other, again once. A doc_id with unrelated texts stands for
+    each of their groups. No rows in, no rows out; a text of any length is hashed whole.
     """
-    groups = checkpointed(simhash_groups(docs).select("doc_id", "fp", "component_id"))
-    heads = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    kept = docs.join(heads.filter("__rows = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(heads.filter("__rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    kept = kept.unionByName(repeated)
+    groups = checkpointed(grouped(docs))
+    heads = groups.filter("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("fp").alias("__fp"))
+    rows = groups.groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    heads = checkpointed(heads.join(rows, "doc_id").select("doc_id", "__fp", "__rows"))
+    kept = docs.join(heads.filter("__rows = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # A doc_id of several rows may stand for unrelated texts, each the head of a group: there the fingerprint tells.
+    several = heads.filter("__rows > 1").select("doc_id", "__fp")
+    repeated = docs.join(several.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("__fp", fingerprint_column()("text"))
+    repeated = repeated.join(several, ["doc_id", "__fp"], "left_semi").dropDuplicates(["doc_id", "__fp"])
+    kept = kept.unionByName(repeated.select(*docs.columns))
     orphans = groups.filter("component_id is null")
     if orphans.isEmpty():
         return kept.select(*docs.columns)

@@ -89,6 +89,14 @@ def test_groups_of_odd_documents(spark, odd_docs, no_docs):
     assert simhash.one_of_each_group(no_docs).count() == 0
 
 
+def test_one_id_with_unrelated_texts_keeps_each(spark):
+    one, two, three = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(1, one), (1, two), (2, three), (5, one), (1, two), (3, two + " x"), (4, three)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each_group(docs).collect())
+    assert got == sorted([(1, one), (1, two), (2, three)])
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, unit string, id string, cell string"
 
 
