@@ -11,6 +11,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
+import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,8 @@ BATCH_BYTES = 1 << 18
 CHUNK_LINKS = 1_000_000
 #: Products of one block of rows.
 BLOCK = 1 << 20
-CACHE_ENTRIES = 400_000
+#: Words in the cache of each tokenizer, in one worker.
+CACHE_ENTRIES = 600_000
 CACHE_CHARS = 48
 BLANK = "▁"
 
@@ -115,34 +118,68 @@ class Alignment(NamedTuple):
         return row_sizes(self.a_groups, self.b_groups.transposed())
 
 
-class ByteLevel:
-    """Tokenizer A: byte-level BPE, strings of special tokens as plain text; ids are bytes of little-endian uint32."""
+class Words:
+    """Ids of texts by their words, which a tokenizer encodes on their own; a bounded cache holds the short ones."""
+
+    def __init__(self):
+        self.cache: dict[str, bytes | None] = {}
+
+    def encoded(self, words: list[str]) -> list[bytes | None]:
+        """Ids of words as bytes of little-endian uint32; None for what is not encoded word by word."""
+        raise NotImplementedError
+
+    def join(self, split: list[list[str]]) -> list[bytes | None]:
+        """Ids of each list of words. What is new to the cache is encoded together."""
+        cache = self.cache
+        if len(cache) > CACHE_ENTRIES:
+            cache.clear()
+        fresh = list(set().union(*split) - cache.keys())
+        cache.update(zip(fresh, self.encoded(fresh)))
+        out = []
+        for words in split:
+            try:
+                out.append(b"".join([cache[w] for w in words]))
+            except TypeError:  # a word without ids
+                out.append(None)
+        for w in fresh:
+            if len(w) > CACHE_CHARS:
+                del cache[w]
+        return out
+
+
+class ByteLevel(Words):
+    """Tokenizer A: byte-level BPE, strings of special tokens as plain text."""
 
     def __init__(self, path: str):
-        merges = bpe.MergeList.load(path)
-        merges.specials = {}
-        self.encoder = bpe.Encoder(merges)
-        self.lengths = np.array([len(t) for t in merges.token_bytes])
-        self.token_bytes = merges.token_bytes
+        super().__init__()
+        self.model = tokenizers.Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.model.encode_special_tokens = True
+        self.token_bytes = bpe.MergeList.load(path).token_bytes
+        self.lengths = np.array([len(t) for t in self.token_bytes])
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(self.encoder.encode(" " + text))
+    def encoded(self, words: list[str]) -> list[bytes]:
+        coded = self.model.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in coded]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.join([bpe.PIECES.findall(" " + t) for t in texts])
 
-class Pieces:
+
+class Pieces(Words):
     """Tokenizer B: pieces with a blank sign for spaces, bytes where no piece fits."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
+        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
         self.token_bytes = [bytes([int(n[1:-1], 16)]) if self.model.is_byte(i) else n.replace(BLANK, " ").encode()
                             for i, n in enumerate(names)]
         self.lengths = np.array([len(t) for t in self.token_bytes])
+        self.blank = np.array([self.model.piece_to_id(BLANK)], dtype="<u4").tobytes()
         #: No piece goes on after a blank, so what lies between blanks is encoded on its own.
         self.words = None if any(re.search(f"[^{BLANK}]{BLANK}", n) for n in names) else re.compile(" *[^ ]+| +")
-        self.cache: dict[str, bytes] = {}
 
     def _packed(self, ids: list[int], text: str) -> bytes | None:
         """Ids as bytes; None where their bytes are not the text's."""
@@ -150,30 +187,22 @@ class Pieces:
             return None
         return np.array(ids, dtype="<u4").tobytes()
 
-    def encode(self, text: str) -> bytes | None:
-        """The ids of `text`; None where their bytes are not those of a space and the text."""
-        if BLANK in text:
-            return None
-        words = self.words.findall(" " + text) if self.words else [" " + text]
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            fresh = list({w for w in words if w not in cache and w != " "})
-            known = dict(zip(fresh, self.model.encode([w[1:] for w in fresh], num_threads=1)))
-            known = {w: self._packed(ids, w) for w, ids in known.items()}
-            known[" "] = np.array([self.model.piece_to_id(BLANK)], dtype="<u4").tobytes()
-            if None in known.values():  # not encoded word by word
-                return self._packed(self.model.encode(text, num_threads=1), " " + text)
-            out = b"".join([known[w] if w in known else cache[w] for w in words])
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-            cache.update((w, ids) for w, ids in known.items() if len(w) <= CACHE_CHARS)
-            return out
+    def encoded(self, words: list[str]) -> list[bytes | None]:
+        coded = self.model.encode([w[1:] for w in words], num_threads=1)
+        return [self.blank if w == " " else self._packed(ids, w) for w, ids in zip(words, coded)]
+
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        """The ids of each text; None where their bytes are not those of a space and the text."""
+        plain = [t for t in texts if BLANK not in t]
+        split = [self.words.findall(" " + t) if self.words else [" " + t] for t in plain]
+        coded = [ids if ids is not None else self._packed(self.model.encode(t, num_threads=1), " " + t)
+                 for t, ids in zip(plain, self.join(split))]
+        left = iter(coded)
+        return [next(left) if BLANK not in t else None for t in texts]
 
 
 @lru_cache(maxsize=2)
-def tokenizers(a_path: str, b_path: str) -> tuple[ByteLevel, Pieces, np.ndarray]:
+def coders(a_path: str, b_path: str) -> tuple[ByteLevel, Pieces, np.ndarray]:
     """One per Python worker; the third are the ids in decimal."""
     a, b = ByteLevel(a_path), Pieces(b_path)
     return a, b, np.array([str(i) for i in range(max(len(a.lengths), len(b.lengths)))], dtype=object)
@@ -206,11 +235,13 @@ def _digest(decimal: np.ndarray, a: np.ndarray, b: np.ndarray, a_group: np.ndarr
 
 def aligned_texts(texts: list[str | None], a_path: str, b_path: str) -> Iterator[Aligned]:
     """One Aligned per text. The texts of a batch are the blocks of one block-diagonal product."""
-    a_coder, b_coder, decimal = tokenizers(a_path, b_path)
+    a_coder, b_coder, decimal = coders(a_path, b_path)
     coded = []
-    for text in texts:
-        b = b_coder.encode(text) if text else None
-        a = a_coder.encode(text) if b is not None else b""
+    by_pieces = b_coder.encode([t or "" for t in texts])
+    by_pieces = [ids if t else None for t, ids in zip(texts, by_pieces)]
+    by_bytes = iter(a_coder.encode([t for t, ids in zip(texts, by_pieces) if ids is not None]))
+    for b in by_pieces:
+        a = next(by_bytes) if b is not None else b""
         a, b = np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(b or b"", "<u4").astype(np.int64)
         same = a_coder.lengths[a].sum() == b_coder.lengths[b].sum()
         coded.append((a, b) if same else (a[:0], b[:0]))
@@ -327,7 +358,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     Each text is encoded once. Documents ask for the counts of their pairs in chunks of about a million links, and a chunk asks
     once for a pair, so a pair has no more rows than there are chunks, however common it is.
     """
-    width = len(tokenizers(a_path, b_path)[1].lengths)
+    width = len(coders(a_path, b_path)[1].lengths)
     table = checkpointed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_align(a_path, b_path), CHUNKED_SQL))
     asked = table.filter("pair is not null").select("chunk", "pair", "docs")
     answers = asked.join(pair_counts(asked, width), "pair").select("chunk", "pair", "count", "best")

@@ -136,14 +136,16 @@ def test_chunks_of_any_size_give_the_same(spark, tmp_path):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(PARTS), max_size=60).map("".join))
 def test_word_by_word_pieces_equal_the_library(text):
-    _, b, _ = alignment.tokenizers(A_PATH, B_PATH)
+    a, b, _ = alignment.coders(A_PATH, B_PATH)
     want = b.model.encode(text)
     spelt = b"".join(b.token_bytes[i] for i in want) == (" " + text).encode()
-    got = b.encode(text)
+    got = b.encode([text])[0]
     if text:
         assert (got is not None) == spelt
         if spelt:
             assert np.frombuffer(got, "<u4").tolist() == want
+            whole = a.model.encode(" " + text, add_special_tokens=False).ids
+            assert np.frombuffer(a.encode([text])[0], "<u4").tolist() == whole
 
 
 # -- codes ---------------------------------------------------------------------------
