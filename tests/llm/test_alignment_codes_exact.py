@@ -92,11 +92,15 @@ def plain_alignment(texts):
                 links.append((a[i], b[k]))
                 k += 1
         common = sorted(set(a_end.tolist()) & set(b_end.tolist()))
-        groups, low = [], 0
+        groups, at = [], [0, 0]
         for end in common:
-            groups.append(([str(i) for i, e in zip(a, a_end) if low < e <= end],
-                           [str(i) for i, e in zip(b, b_end) if low < e <= end]))
-            low = end
+            group = []
+            for side, (ids, ends) in enumerate(((a, a_end), (b, b_end))):
+                first = at[side]
+                while at[side] < len(ids) and ends[at[side]] <= end:
+                    at[side] += 1
+                group.append([str(i) for i in ids[first:at[side]]])
+            groups.append(group)
         for pair in set(links):
             counts[pair] = counts.get(pair, 0) + 1
         digest = hashlib.sha256(";".join("|".join(map(",".join, g)) for g in groups).encode()).hexdigest()
