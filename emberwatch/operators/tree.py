@@ -94,11 +94,63 @@ def ancestry(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     )
 
 
-def tree_root(paths: DataFrame) -> DataFrame:
-    """(host, guid, root_guid, depth): the topmost observed ancestor."""
+def tree_root(nodes: DataFrame) -> DataFrame:
+    """(host, guid, root_guid, depth): the topmost observed ancestor, without any path.
+
+    Pointers double: each node points ahead, and each round it points where its pointer points. Only nodes that have not
+    reached a root are written again, as (host, guid, pointer, steps), so the rounds grow with the logarithm of the depth.
+    Nodes at all smaller depths lie before a deep one; once a round ends no node's way, what is left goes round in a cycle
+    or leads into one, and there the root is the last node before the first repeated one, as on a path.
+    """
+    known = nodes.select("host", F.col("guid").alias("parent_guid"), F.lit(True).alias("_known"))
+    links = nodes.select("host", "guid", "parent_guid").join(known, ["host", "parent_guid"], "left")
+    ahead = checkpointed(links.select(
+        "host", "guid", F.when(F.col("_known"), F.col("parent_guid")).otherwise(F.col("guid")).alias("root_guid"),
+        F.when(F.col("_known"), 1).otherwise(0).alias("depth"), F.col("_known").isNull().alias("_there")))
+    done, left, before = [ahead.filter("_there")], ahead.filter("NOT _there"), None
+    while (now := left.count()) and now != before:
+        onward = reduce(DataFrame.unionByName, [*done, left]).select(
+            "host", F.col("guid").alias("root_guid"), F.col("root_guid").alias("_to"), F.col("depth").alias("_more"), "_there")
+        moved = checkpointed(left.drop("_there").join(onward, ["host", "root_guid"]).select(
+            "host", "guid", F.col("_to").alias("root_guid"), (F.col("depth") + F.col("_more")).alias("depth"), "_there"))
+        done.append(moved.filter("_there"))
+        left, before = moved.filter("NOT _there"), now
+    roots = reduce(DataFrame.unionByName, done).drop("_there")
+    if now:
+        looped = nodes.join(left.select("host", "guid"), ["host", "guid"], "left_semi")
+        roots = roots.unionByName(path_roots(ancestry(looped)))
+    return roots
+
+
+def path_roots(paths: DataFrame) -> DataFrame:
     return paths.select("host", "guid", F.element_at("path", 1).alias("root_guid"), (F.size("path") - 1).alias("depth"))
 
 
+def trees_with(nodes: DataFrame, roots: DataFrame, rows: DataFrame) -> DataFrame:
+    """The nodes of the trees in which a process of `rows` (host, process_guid) stands."""
+    wanted = rows.filter("process_guid <> ''").select("host", F.col("process_guid").alias("guid")).distinct()
+    trees = roots.join(wanted, ["host", "guid"], "left_semi").select("host", "root_guid").distinct()
+    members = roots.join(trees, ["host", "root_guid"], "left_semi").select("host", "guid")
+    return nodes.join(members, ["host", "guid"], "left_semi")
+
+
+def incident_process_tree(incidents: DataFrame, members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row per incident and process of its tree: what the process is, how deep it stands, and its detections there.
+
+    An incident's root is the top of a tree, so its processes are found by equality on the root, without a walk. An incident
+    of a process that was never observed has no rows.
+    """
+    placed = nodes.join(roots, ["host", "guid"]).select(
+        "host", "root_guid", "guid", "parent_guid", "depth", "name", "image", "command_line", "first_seen", "last_seen")
+    counts = members.groupBy("incident_id", F.col("process_guid").alias("guid")).agg(
+        F.count("*").alias("detections"), F.max(F.coalesce(severity_rank(F.col("severity")), F.lit(2))).alias("_rank"))
+    rows = incidents.select(F.col("id").alias("incident_id"), "host", "root_guid").join(placed, ["host", "root_guid"])
+    return rows.join(counts, ["incident_id", "guid"], "left").select(
+        "incident_id", "guid", "parent_guid", "depth", "name", "image", "command_line", "first_seen", "last_seen",
+        F.coalesce("detections", F.lit(0)).alias("detections"),
+        F.get(F.lit(["info", "low", "medium", "high", "critical"]), F.col("_rank")).alias("worst_severity"))
+
+
 def process_chain(paths: DataFrame) -> DataFrame:
     """(host, guid, root_guid, root_image, chain): image names along each path, root first."""
     return paths.select(

@@ -36,11 +36,12 @@ class Detection:
 
     @cached_property
     def roots(self) -> DataFrame:
-        return tree.tree_root(self.paths)
+        return checkpointed(tree.tree_root(self.nodes))
 
     @cached_property
     def chains(self) -> DataFrame:
-        return tree.process_chain(self.paths)
+        # Only trees in which something was detected need their paths.
+        return tree.process_chain(tree.ancestry(tree.trees_with(self.nodes, self.roots, self.detections)))
 
     @cached_property
     def detections(self) -> DataFrame:

@@ -259,6 +259,13 @@ def _(d):
         joined("techniques").alias("techniques"), "classification", "actionable", "status", "notes", us("first_seen").alias("first_us"), us("last_seen").alias("last_us"))
 
 
+@query("incident_process_tree", """SELECT i.id AS incident_id, t.guid, n.parent AS parent_guid, t.depth, n.name, coalesce(m.n, 0) AS detections, m.worst AS worst_severity, n.first_us, n.last_us FROM inc i JOIN top t ON t.host = i.host AND t.root = i.root
+    JOIN nodes n ON n.host = t.host AND n.guid = t.guid LEFT JOIN (SELECT incident_id, guid, count(*) AS n, (['info', 'low', 'medium', 'high', 'critical'])[max(list_position(['info', 'low', 'medium', 'high', 'critical'], severity))] AS worst FROM members GROUP BY 1, 2) m ON m.incident_id = i.id AND m.guid = t.guid""")
+def _(d):
+    rows = tree.incident_process_tree(d.plan.incidents, d.plan.members, d.plan.nodes, d.plan.roots)
+    return rows.select("incident_id", "guid", "parent_guid", "depth", "name", "detections", "worst_severity", us("first_seen").alias("first_us"), us("last_seen").alias("last_us"))
+
+
 # -- 2.3 predicates ---------------------------------------------------------------
 
 def _part_predicate(name: str, build, sql: str):
@@ -297,9 +304,9 @@ def _(d):
     return d.events.select("seq", _rule("any", MIXED).test().alias("fires"))
 
 
-@query("match_rules", "SELECT seq, rule_id, title, severity, array_to_string(attack, ',') AS attack, us FROM det")
+@query("match_rules", "SELECT seq, rule_id, title, severity, array_to_string(attack, ',') AS attack, us FROM rdet")
 def _(d):
-    return d.plan.detections.select("seq", "rule_id", "title", "severity", joined("attack").alias("attack"), us("matched_at").alias("us"))
+    return matching.match_rules(d.events, d.plan.rules).select("seq", "rule_id", "title", "severity", joined("attack").alias("attack"), us("matched_at").alias("us"))
 
 
 @query("rule_catalogue", "SELECT rule_id, event_id, severity, len(attack) AS techniques, coalesce(n, 0) AS fires FROM rules LEFT JOIN (SELECT rule_id, count(*) AS n FROM fired GROUP BY rule_id) USING (rule_id)")
@@ -443,7 +450,7 @@ def _(d):
 
 @query("process_chain", "SELECT host, guid, root AS root_guid, root_image, array_to_string(chain, '>') AS chain FROM top")
 def _(d):
-    return d.plan.chains.select("host", "guid", "root_guid", "root_image", joined("chain", ">").alias("chain"))
+    return tree.process_chain(d.plan.paths).select("host", "guid", "root_guid", "root_image", joined("chain", ">").alias("chain"))
 
 
 @query("tree_rows", """SELECT a.host, a.guid, t.root AS root_guid, max(a.depth) AS depth, string_agg(lpad(n.first_us::VARCHAR, 17, '0') || '|' || a.cur, '/' ORDER BY a.depth DESC) AS sort_key
@@ -480,14 +487,9 @@ def _(d):
     return d.plan.incidents.select("id", "actionable")
 
 
-@query("incident_classification", f"""SELECT id, {o.case([(" AND ".join(f"len(list_intersect(rule_ids, {o.items(ids)})) >= {n}" for n, ids in needs), o.q(name)) for name, _t, needs in m.CHAINS])} AS classification
-    FROM (SELECT host || '/' || ((us // 86400000000) // 3) AS id, list_sort(list(DISTINCT rule_id)) AS rule_ids FROM (SELECT * FROM det UNION ALL SELECT * REPLACE ('SYS-080' AS rule_id) FROM det WHERE seq % 50 = 0) GROUP BY 1)""")
+@query("incident_classification", "SELECT id, classification FROM inc")
 def _(d):
-    # Grouped by host and three days, and with some ransom-note hits added, so that chains do occur.
-    rows = d.plan.detections.select("host", "seq", us("matched_at").alias("us"), "rule_id")
-    rows = rows.unionByName(rows.filter("seq % 50 = 0").withColumn("rule_id", F.lit("SYS-080")))
-    grouped = rows.groupBy(F.concat_ws("/", "host", F.expr("(us div 86400000000) div 3").cast("string")).alias("id")).agg(F.collect_set("rule_id").alias("rule_ids"))
-    return grouped.select("id", inc.correlation_chain(F.col("rule_ids"))["name"].alias("classification"))
+    return d.plan.incidents.select("id", "classification")
 
 
 @query("incident_title", "SELECT id, title FROM inc")
@@ -765,6 +767,13 @@ def _(d):
     return hits.select("incident_id", "title", us("last_seen").alias("last_us"), "match_count")
 
 
+@query("search_hits", f"""SELECT m.incident_id, m.seq, m.rule_id, coalesce(h.hit, false) AS matched FROM (SELECT *, {HAY} AS hay FROM members) m JOIN inc i ON i.id = m.incident_id
+    LEFT JOIN found h ON h.incident_id = m.incident_id WHERE CASE WHEN h.hit THEN contains(m.hay, 'powershell') ELSE contains(lower(i.title || ' ' || array_to_string(i.chain, ' ')), 'powershell') END""",
+       found=f"SELECT DISTINCT incident_id, true AS hit FROM members WHERE contains({HAY}, 'powershell')")
+def _(d):
+    return search.search_hits(d.plan.incidents, d.plan.members, terms=["PowerShell"]).select("incident_id", "seq", "rule_id", "matched")
+
+
 @query("detection_haystack", f"SELECT seq, rule_id, md5({HAY}) AS digest FROM det")
 def _(d):
     return d.plan.detections.select("seq", "rule_id", F.md5(search.detection_haystack()).alias("digest"))
@@ -926,6 +935,9 @@ def _(d):
 
 
 @query("incident_report_rows", """SELECT id AS incident_id, 'summary' AS section, '01' AS position, 'Severity' AS label, severity || ' (score ' || score || ')' AS content FROM inc
+    UNION ALL SELECT id, 'summary', '00', 'Host', host FROM inc UNION ALL SELECT id, 'summary', '02', 'Detections', detection_count::VARCHAR FROM inc
+    UNION ALL SELECT id, 'summary', '04', 'Last seen', strftime(make_timestamp(last_us), '%Y-%m-%d %H:%M:%S UTC') FROM inc
+    UNION ALL SELECT id, 'summary', '06', 'Techniques', coalesce(nullif(array_to_string(techniques, ', '), ''), 'none') FROM inc
     UNION ALL SELECT id, 'summary', '05', 'Process chain', array_to_string(chain, ' -> ') FROM inc UNION ALL SELECT id, 'summary', '03', 'First seen', strftime(make_timestamp(first_us), '%Y-%m-%d %H:%M:%S UTC') FROM inc
     UNION ALL SELECT incident_id, 'behavior', lpad(position::VARCHAR, 2, '0'), upper(replace(tactic, '-', ' ')), phrase FROM phases
     UNION ALL SELECT incident_id, 'timeline', lpad(us::VARCHAR, 17, '0') || '-' || lpad(seq::VARCHAR, 19, '0') || '-' || source || '-' || rule_id, rule_id, strftime(make_timestamp(us), '%H:%M:%S') || ' ' || severity FROM members""")
@@ -935,9 +947,7 @@ def _(d):
     rows = evidence.incident_report_rows(d.plan.incidents, members, profile)
     get = lambda k: F.get_json_object("content", f"$.{k}")
     content = F.when(F.col("section") == "timeline", F.concat_ws(" ", get("time"), get("severity"))).otherwise(F.col("content"))
-    # The other four summary pairs repeat plain incident columns.
-    shown = (F.col("section") != "summary") | F.col("position").isin("01", "03", "05")
-    return rows.filter(shown).select("incident_id", "section", "position", "label", content.alias("content"))
+    return rows.select("incident_id", "section", "position", "label", content.alias("content"))
 
 
 # -- 2.13 streaming ------------------------------------------------------------------------------------------
@@ -1060,7 +1070,7 @@ def _(d):
 @query("stream_incidents", """SELECT id, CASE WHEN last_us + 600000000 <= (SELECT (max(us) // 1000) * 1000 FROM det) - 600000000 THEN 'closed' ELSE 'open' END AS status, score, severity, detection_count, actionable,
     array_to_string(rule_ids, ',') AS rules, array_to_string(techniques, ',') AS techniques, array_to_string(chain, '>') AS chain, root_image, classification, title, first_us, last_us FROM inc""", det="SELECT * FROM rdet")
 def _(d):
-    rooted = inc.attach_tree(flow.stream_match_rules(_stream(d), d.plan.rules), d.plan.chains)
+    rooted = inc.attach_tree(flow.stream_match_rules(_stream(d), d.plan.rules), tree.process_chain(d.plan.paths))
     rows = flow.current_incidents(_finished(d, stream_incidents(rooted), mode="update"))
     return rows.select("id", "status", "score", "severity", "detection_count", "actionable", joined("rule_ids").alias("rules"), joined("techniques").alias("techniques"),
                        joined("chain", ">").alias("chain"), "root_image", "classification", "title", us("first_seen").alias("first_us"), us("last_seen").alias("last_us"))

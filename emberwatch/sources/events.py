@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberwatch.model import MAX_EVENT_BYTES, SYSMON_CHANNEL
@@ -34,41 +31,38 @@ def intake_counts(split: DataFrame) -> DataFrame:
     return split.groupBy("outcome").agg(F.count("*").alias("payloads"))
 
 
-def _lifted(text: str | None) -> str | None:
-    try:
-        boxes = [[json.loads(text)]]
-    except (TypeError, ValueError):
-        return text
-    top = boxes[0]
-    while boxes:
-        box = boxes.pop()
-        for at, child in list(enumerate(box) if isinstance(box, list) else box.items()):
-            if isinstance(child, dict) and list(child) == ["#text"]:
-                box[at] = child["#text"]
-            elif isinstance(child, (dict, list)):
-                boxes.append(child)
-    return json.dumps(top[0], ensure_ascii=False, separators=(",", ":"))
+#: Objects and lists inside each other that are searched for text nodes; converted event records have at most five.
+TEXT_LEVELS = 6
+
+
+def _lifted(v: Column, levels: int = TEXT_LEVELS) -> Column:
+    kind = F.schema_of_variant(v)
+    fields = F.try_variant_get(v, "$", "map<string,variant>")
+    sole = (F.size(fields) == 1) & F.map_contains_key(fields, "#text")
+    text = F.try_variant_get(v, '$["#text"]', "variant")
+    if not levels:
+        return F.when(kind.startswith("OBJECT<") & sole, text).otherwise(v)
+    inside = F.to_variant_object(F.transform_values(fields, lambda _, x: _lifted(x, levels - 1)))
+    items = F.to_variant_object(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _lifted(x, levels - 1)))
+    return F.when(kind.startswith("OBJECT<"), F.when(sole, text).otherwise(inside)).when(kind.startswith("ARRAY<"), items).otherwise(v)
 
 
 def lift_text_nodes(json_text: Column) -> Column:
     """Replace each object whose only key is `#text` by that value, whatever it is; what is lifted is not searched again.
 
-    Text that is no JSON stays as it is.
+    Keys come out in order of name. Text that is no JSON stays as it is, also text nested too deeply to be parsed and
+    text with a repeated key. An escaped lone surrogate is read as "?".
     """
-
-    @F.pandas_udf("string")
-    def lifted(texts: pd.Series) -> pd.Series:
-        return texts.map(_lifted)
-
-    return lifted(json_text)
+    return F.coalesce(F.to_json(_lifted(F.try_parse_json(json_text))), json_text)
 
 
 def evtx_json_to_payload(records: DataFrame, *, record: str = "value") -> DataFrame:
-    """Event-log records already converted from XML to JSON -> (channel, value) in the enveloped shape."""
+    """Event-log records already converted from XML to JSON -> (channel, value) in the enveloped shape.
+
+    A record that cannot be parsed is left out, as is one whose data is neither an object nor absent.
+    """
     parsed = records.withColumn("_r", F.try_parse_json(F.col(record))).filter("_r IS NOT NULL")
-    lifted = lambda part: F.try_parse_json(
-        lift_text_nodes(F.try_variant_get("_r", f"$.Event.{part}", "variant").cast("string"))
-    )
+    lifted = lambda part: _lifted(F.try_variant_get("_r", f"$.Event.{part}", "variant"))
     parsed = parsed.withColumn("_s", lifted("System")).withColumn("_d", lifted("EventData"))
     read = lambda path: F.try_variant_get(F.col("_s"), path, "string")
     is_object = F.schema_of_variant("_d").startswith("OBJECT<")

@@ -10,7 +10,7 @@ from emberwatch.operators import evidence, exports, search, similarity, tree
 from emberwatch.operators.matching import Rule
 from emberwatch.operators.normalize import normalize_events
 from emberwatch.plans.detection import Detection
-from emberwatch.sources.events import intake_split, lift_text_nodes
+from emberwatch.sources.events import evtx_json_to_payload, intake_split, lift_text_nodes
 from emberwatch.sources.tables import triage_overlay
 
 SHAPES = "id string, root_image string, chain array<string>, techniques array<string>, rule_ids array<string>, last_seen int"
@@ -179,3 +179,45 @@ def test_text_nodes_are_lifted_once(spark):
              '{"a":{"#text":1,"k":2}}': '{"a":{"#text":1,"k":2}}', "broken{": "broken{", '{"t":"{\\"#text\\":1}"}': '{"t":"{\\"#text\\":1}"}'}
     df = spark.createDataFrame(list(cases.items()) + [(None, None)], "source string, want string")
     assert all(r[0] == r[1] for r in df.select(lift_text_nodes(F.col("source")), "want").collect())
+
+
+def test_hostile_records_do_not_end_an_intake(spark):
+    hostile = ["[" * 100_000, '{"#text":"\\ud800"}', '{"a":1e999}', '{"a":1,"a":2}', '{"a":1.10}', "null", ""]
+    df = spark.createDataFrame([(s,) for s in hostile], "value string")
+    got = [r[0] for r in df.select(lift_text_nodes(F.col("value"))).collect()]
+    assert [got[i] for i in (0, 3, 5, 6)] == [hostile[i] for i in (0, 3, 5, 6)]
+    assert json.loads(got[1]) == "?" and json.loads(got[4]) == {"a": 1.1}
+    record = '{"Event":{"System":{"EventID":1,"Computer":"h"},"EventData":{"Image":{"#text":%s},"More":[{"#text":"x"}]}}}'
+    values = [record % v for v in ('"a"', '"\\ud800"', "1e999", "[" * 50_000)] + ["[]", '{"Event":7}']
+    out = evtx_json_to_payload(spark.createDataFrame([(s,) for s in values], "value string")).collect()
+    assert len(out) >= 3 and json.loads(out[0]["value"])["winlog"]["event_data"] == {"Image": "a", "More": ["x"]}
+
+
+def test_roots_by_pointers_of_deep_chains_and_cycles(spark):
+    deep = [(f"d{i}", f"d{i - 1}" if i else "unseen") for i in range(5000)]
+    rng = random.Random(4)
+    bushy = [(f"b{i}", f"b{rng.randrange(i)}" if i and rng.random() < 0.9 else None) for i in range(200)]
+    loops = [("a", "b"), ("b", "c"), ("c", "a"), ("t1", "a"), ("t2", "t1"), ("self", "self"), ("s2", "self")]
+    got = {r.guid: (r.root_guid, r.depth) for r in tree.tree_root(node_frame(spark, deep + bushy + loops)).collect()}
+    parents = dict(deep + bushy + loops)
+    for guid in [*parents]:
+        at, seen = guid, [guid]
+        while guid[0] != "d" and parents[at] in parents and parents[at] not in seen:
+            at = parents[at]
+            seen.append(at)
+        assert got[guid] == (("d0", int(guid[1:])) if guid[0] == "d" and guid[1:].isdigit() else (at, len(seen) - 1)), guid
+
+
+def test_search_hits_are_rows(spark, make_events):
+    events = make_events([dict(at=0, process_guid="r", image="C:\\needle.exe", command_line="vssadmin delete shadows /all /quiet"),
+                          dict(at=5, process_guid="c", parent_process_guid="r", image="C:\\c.exe", command_line="vssadmin delete shadows /all /quiet"),
+                          dict(at=9, host="other", process_guid="o", image="C:\\o.exe", command_line="vssadmin delete shadows /all /quiet")])
+    plan = Detection(events, settings={})
+    hits = search.search_hits(plan.incidents, plan.members, terms=["needle"]).collect()
+    assert {r.seq for r in hits if r.matched} == {0} and all(r.matched for r in hits)
+    whole = search.search_hits(plan.incidents, plan.members, filters={"host": "oth"}).collect()
+    assert {r.seq for r in whole} == {2} and all(r.matched for r in whole)
+    by_title = search.search_hits(plan.incidents, plan.members, terms=["on other"]).collect()
+    assert {r.seq for r in by_title} == {2} and not any(r.matched for r in by_title)
+    counts = {r.incident_id: r.match_count for r in search.search_incidents(plan.incidents, plan.members, terms=["on other"]).collect()}
+    assert list(counts.values()) == [0]
