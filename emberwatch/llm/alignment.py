@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -133,7 +134,7 @@ class Words:
         cache = self.cache
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
-        fresh = list(set().union(*split) - cache.keys())
+        fresh = [w for w in set().union(*split) if w not in cache]
         cache.update(zip(fresh, self.encoded(fresh)))
         out = []
         for words in split:
@@ -152,6 +153,7 @@ class ByteLevel(Words):
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core: no threads of the library's own
         self.model = tokenizers.Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
