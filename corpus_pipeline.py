@@ -1,4 +1,8 @@
-"""Documents to a training mix: language ID, near-duplicates, source weights, tokens. Each stage is written and reread."""
+"""Documents to a training mix: language ID, near-duplicates, source weights, tokens. Each stage is written and reread.
+
+Every stage takes nulls in any column, repeated rows, texts of any length and an empty table. A null or empty text is in
+no language and goes in the first stage; rows without a doc_id stay, one of each group; repeated rows are copies of each other.
+"""
 
 from __future__ import annotations
 
