@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from emberwatch.session import checkpointed
 
 HOUR_US = 3_600_000_000
+#: Rows of one key and cell that one task may order; denser cells are cut by range.
+PIECE_ROWS = 200_000
 
 
 def _cell(us: str, width: int) -> Column:
@@ -44,47 +46,66 @@ def gap_sessions(df: DataFrame, keys: list[str], us: str, gap_us: int, out: str
     return celled.join(starts, [*keys, "_cell"]).drop("_cell")
 
 
+def _pieces(df: DataFrame, keys: list[str], us: str, order: list[str], cell_us: int, piece_rows: int) -> DataFrame:
+    """Add `_cell` (of time) and `_piece` (of a dense cell), which ascend with (us, *order) within a key.
+
+    Cells of more than `piece_rows` rows are sorted by range over all their rows, ties in time included, and each range
+    is a piece. The ranges are sampled, so their rows are written with the piece they fell in.
+    """
+    celled = df.withColumn("_cell", _cell(us, cell_us))
+    dense = checkpointed(
+        celled.groupBy(*keys, "_cell").agg(F.count("*").alias("_n")).filter(F.col("_n") > piece_rows))
+    crowded = dense.agg(F.sum("_n")).first()[0]
+    if not crowded:
+        return celled.withColumn("_piece", F.lit(0))
+    ranges = int(min(20_000, -(-2 * crowded // piece_rows)))
+    cut = celled.join(dense.drop("_n"), [*keys, "_cell"], "left_semi").repartitionByRange(ranges, *keys, us, *order)
+    cut = checkpointed(cut.withColumn("_piece", F.spark_partition_id()))
+    sparse = celled.join(dense, [*keys, "_cell"], "left_anti").withColumn("_piece", F.lit(0))
+    return sparse.unionByName(cut)
+
+
 def previous_time(
-    df: DataFrame, keys: list[str], us: str, order: list[str], out: str = "previous_us", cell_us: int = HOUR_US
+    df: DataFrame, keys: list[str], us: str, order: list[str], out: str = "previous_us", cell_us: int = HOUR_US,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Add the time of the preceding row of the same key, in (us, *order) order."""
-    celled = df.withColumn("_cell", _cell(us, cell_us))
-    by_key = Window.partitionBy(*keys).orderBy("_cell")
-    before = (
-        celled.groupBy(*keys, "_cell").agg(F.max(us).alias("_hi"))
-        .select(*keys, "_cell", F.lag("_hi").over(by_key).alias("_before"))
-    )
-    inside = F.lag(us).over(Window.partitionBy(*keys, "_cell").orderBy(us, *order))
+    celled = _pieces(df, keys, us, order, cell_us, piece_rows)
+    at = [*keys, "_cell", "_piece"]
+    by_key = Window.partitionBy(*keys).orderBy("_cell", "_piece")
+    before = celled.groupBy(*at).agg(F.max(us).alias("_hi")).select(*at, F.lag("_hi").over(by_key).alias("_before"))
+    inside = F.lag(us).over(Window.partitionBy(*at).orderBy(us, *order))
     return (
         celled.withColumn("_inside", inside)
-        .join(before, [*keys, "_cell"])
+        .join(before, at)
         .withColumn(out, F.coalesce("_inside", "_before"))
-        .drop("_cell", "_inside", "_before")
+        .drop("_cell", "_piece", "_inside", "_before")
     )
 
 
 def running_totals(
-    df: DataFrame, keys: list[str], us: str, order: list[str], values: dict[str, str], cell_us: int = HOUR_US
+    df: DataFrame, keys: list[str], us: str, order: list[str], values: dict[str, str], cell_us: int = HOUR_US,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Add running sums of `values` (output name -> column) in (us, *order) order."""
-    celled = df.withColumn("_cell", _cell(us, cell_us))
-    by_key = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    totals = celled.groupBy(*keys, "_cell").agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
+    celled = _pieces(df, keys, us, order, cell_us, piece_rows)
+    at = [*keys, "_cell", "_piece"]
+    by_key = Window.partitionBy(*keys).orderBy("_cell", "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = celled.groupBy(*at).agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
     carried = totals.select(
-        *keys, "_cell",
-        *[F.coalesce(F.sum(f"_t_{o}").over(by_key), F.lit(0)).alias(f"_c_{o}") for o in values],
+        *at, *[F.coalesce(F.sum(f"_t_{o}").over(by_key), F.lit(0)).alias(f"_c_{o}") for o in values],
     )
-    inside = Window.partitionBy(*keys, "_cell").orderBy(us, *order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*at).orderBy(us, *order).rowsBetween(Window.unboundedPreceding, 0)
     out = celled.select("*", *[F.sum(v).over(inside).alias(f"_i_{o}") for o, v in values.items()])
-    out = out.join(carried, [*keys, "_cell"])
+    out = out.join(carried, at)
     for o in values:
         out = out.withColumn(o, F.col(f"_i_{o}") + F.col(f"_c_{o}")).drop(f"_i_{o}", f"_c_{o}")
-    return out.drop("_cell")
+    return out.drop("_cell", "_piece")
 
 
 def trailing_frames(
     df: DataFrame, keys: list[str], us: str, seq: str, rows: int, out: str = "frame", *,
-    cell_us: int = HOUR_US, chunk: int = 100_000,
+    cell_us: int = HOUR_US, piece_rows: int = PIECE_ROWS, chunk: int = 100_000,
 ) -> DataFrame:
     """Add the ordered times of the last `rows` rows of the key, the current one included.
 
@@ -92,7 +113,7 @@ def trailing_frames(
     overlap by `rows - 1`, so each task sees a bounded slice however hot the key.
     """
     numbered = running_totals(
-        df.withColumn("_one", F.lit(1)), keys, us, [seq], {"_pos": "_one"}, cell_us
+        df.withColumn("_one", F.lit(1)), keys, us, [seq], {"_pos": "_one"}, cell_us, piece_rows
     ).drop("_one").withColumn("_pos", F.col("_pos") - 1)
     home = F.expr(f"_pos div {chunk}")
     spill = F.expr(f"_pos % {chunk}") >= chunk - (rows - 1)
@@ -108,7 +129,7 @@ def trailing_frames(
 
 def active_breadth(
     sightings: DataFrame, keys: list[str], items: dict[str, str], us: str, seq: str, window_us: int,
-    cell_us: int = HOUR_US,
+    cell_us: int = HOUR_US, piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Add, per row, how many distinct values of each item were seen in the trailing window.
 
@@ -131,7 +152,7 @@ def active_breadth(
                                  F.lit(-(2 ** 63) + 1).cast("bigint").alias("_seq"), F.lit(0).alias("_row"),
                                  *deltas(-1))
         marks = marks.unionByName(opened).unionByName(lapsed)
-    counted = running_totals(marks, keys, "_us", ["_seq", "_row"], {o: f"_d_{o}" for o in items}, cell_us)
+    counted = running_totals(marks, keys, "_us", ["_seq", "_row"], {o: f"_d_{o}" for o in items}, cell_us, piece_rows)
     return counted.filter("_row = 1").select(
         *keys, F.col("_us").alias(us), F.col("_seq").alias(seq), *items
     )

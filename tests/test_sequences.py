@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from emberwatch.operators import detectors as det
+from emberwatch.operators import detectors as det, ordering
 from emberwatch.operators.ordering import active_breadth, cooldown_filter, gap_sessions, previous_time, trailing_frames
 
 random.seed(7)
@@ -106,3 +106,34 @@ def test_group_query_is_permission_discovery(spark):
     df = spark.createDataFrame([('net group "domain admins" /domain',), ("dsquery computer",), ("dir",)], "c string")
     got = [r[0] and r[0].technique for r in df.select(det.discovery_classify(F.col("c"))).collect()]
     assert got == ["T1069", "T1087", None]
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """One key, all in one hour: half of the rows at one microsecond, so that only their seq orders them."""
+    data = [("a", 500 if i % 2 else random.randint(0, 2000), i, i % 13) for i in range(1500)] + [("b", 1, 0, 0)]
+    random.shuffle(data)
+    return data, spark.createDataFrame(data, "k string, us bigint, seq bigint, item bigint")
+
+
+def test_a_crowded_hour_is_cut_into_pieces(crowd):
+    _, frame = crowd
+    pieces = ordering._pieces(frame, ["k"], "us", ["seq"], ordering.HOUR_US, 200)
+    sizes = {tuple(r)[:2]: r["count"] for r in pieces.groupBy("k", "_piece").count().collect()}
+    assert len(sizes) > 8 and max(sizes.values()) < 300 and sum(sizes.values()) == 1501
+    spans = pieces.filter("k = 'a'").groupBy("_piece").agg(F.min(F.struct("us", "seq")), F.max(F.struct("us", "seq"))).orderBy("_piece").collect()
+    assert all(before[2] < after[1] for before, after in zip(spans, spans[1:]))
+
+
+def test_order_holds_across_pieces(crowd):
+    data, frame = crowd
+    order = sorted((u, s, item) for k, u, s, item in data if k == "a")
+    at = {s: i for i, (_, s, _) in enumerate(order)}
+    previous = previous_time(frame, ["k"], "us", ["seq"], piece_rows=200).filter("k = 'a'").collect()
+    frames = trailing_frames(frame, ["k"], "us", "seq", 7, piece_rows=200, chunk=90).filter("k = 'a'").collect()
+    breadth = active_breadth(frame, ["k"], {"n": "item"}, "us", "seq", 30, piece_rows=200).filter("k = 'a'").collect()
+    assert len(previous) == len(frames) == len(breadth) == 1500
+    for p, f, n in zip(previous, frames, breadth):
+        assert p.previous_us == (order[at[p.seq] - 1][0] if at[p.seq] else None)
+        assert list(f.frame) == [u for u, _, _ in order[max(0, at[f.seq] - 6):at[f.seq] + 1]]
+        assert n.n == len({item for u, _, item in order[:at[n.seq] + 1] if u >= n.us - 30})
