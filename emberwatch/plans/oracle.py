@@ -218,10 +218,10 @@ CTES = {
     "covered": "SELECT coalesce(c.id, r.id) AS id, coalesce(c.name, '') AS name, coalesce(c.tactics, []) AS tactics, coalesce(r.rule_count, 0) AS rule_count FROM catalogue c FULL JOIN raised r ON r.id = c.id",
     # Analyst triage: log rows come from detections.
     "triage_log": """SELECT incident_id, us AS changed_us, seq, (['closed', 'false_positive', 'OPEN', 'bogus'])[seq // 2 % 4 + 1] AS status,
-        CASE WHEN seq % 3 = 0 THEN 'note ' || seq END AS notes FROM members WHERE seq % 2 = 0""",
+        CASE WHEN seq % 35 = 0 THEN repeat('word ', 501) WHEN seq % 3 = 0 THEN 'note ' || seq END AS notes FROM members WHERE seq % 2 = 0""",
     "triage": """SELECT i.*, coalesce(t.status, 'open') AS status, coalesce(t.notes, '') AS notes FROM inc i LEFT JOIN (
         SELECT incident_id, list(lower(status) ORDER BY changed_us DESC, seq DESC) FILTER (lower(status) IN ('open', 'closed', 'false_positive'))[1] AS status,
-          list(notes ORDER BY changed_us DESC, seq DESC) FILTER (notes IS NOT NULL)[1] AS notes FROM triage_log GROUP BY incident_id) t ON t.incident_id = i.id""",
+          list(notes ORDER BY changed_us DESC, seq DESC) FILTER (notes NOT LIKE 'word%')[1] AS notes FROM triage_log GROUP BY incident_id) t ON t.incident_id = i.id""",
     "phase_of": "SELECT * FROM (VALUES " + tactic_values(m.NARRATIVE_TACTICS) + ") AS v(technique, tactic)",
     "member_phase": """SELECT DISTINCT x.incident_id, x.us, x.seq, x.source, x.rule_id, x.attack, x.beat, x.breadth, coalesce(a.tactic, b.tactic) AS tactic FROM (SELECT *, unnest(attack) AS t FROM members) x
         LEFT JOIN phase_of a ON a.technique = x.t LEFT JOIN phase_of b ON b.technique = split_part(x.t, '.', 1)""",

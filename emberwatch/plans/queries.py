@@ -84,7 +84,7 @@ class Data:
         return self.plan.members.filter(seq % 2 == 0).select(
             "incident_id", F.col("us").alias("changed_at"), "seq",
             F.element_at(F.lit(["closed", "false_positive", "OPEN", "bogus"]), F.expr("int(seq div 2 % 4 + 1)")).alias("status"),
-            F.when(seq % 3 == 0, F.concat(F.lit("note "), seq.cast("string"))).alias("notes"),
+            F.when(seq % 35 == 0, F.repeat(F.lit("word "), 501)).when(seq % 3 == 0, F.concat(F.lit("note "), seq.cast("string"))).alias("notes"),
         )
 
     @cached_property
@@ -153,6 +153,12 @@ def _(d):
     return d.triaged.select("id", "status", "notes")
 
 
+@query("triage_refused", """SELECT incident_id, seq, concat_ws(',', CASE WHEN status = 'bogus' THEN 'status' END, CASE WHEN seq % 35 = 0 THEN 'notes' END) AS refused
+    FROM triage_log WHERE status = 'bogus' OR seq % 35 = 0""")
+def _(d):
+    return tables.triage_refused(d.triage_log).select("incident_id", "seq", joined("refused").alias("refused"))
+
+
 @query("attack_catalogue", "SELECT id, name, description, tactics[1] AS tactic, len(tactics) AS tactic_count, url FROM catalogue")
 def _(d):
     return d.catalogue.select("id", "name", "description", F.get("tactics", F.lit(0)).alias("tactic"), F.size("tactics").cast("bigint").alias("tactic_count"), "url")

@@ -24,15 +24,30 @@ def incidents_upsert(current: DataFrame, changed: DataFrame) -> DataFrame:
     return kept.unionByName(updated)
 
 
+def _known_status() -> Column:
+    return F.coalesce(F.lower("status").isin(*STATUSES), F.lit(False))
+
+
+def triage_refused(log: DataFrame) -> DataFrame:
+    """Rows of a triage log of which triage_overlay does not take all, with `refused`: 'status', 'notes' or both.
+
+    A status or note that is not given is not refused.
+    """
+    refused = F.array_compact(F.array(
+        F.when(F.col("status").isNotNull() & ~_known_status(), "status"),
+        F.when(F.col("notes").isNotNull() & ~note_accepted(F.col("notes")), "notes")))
+    return log.withColumn("refused", refused).filter(F.size("refused") > 0)
+
+
 def triage_overlay(incidents: DataFrame, log: DataFrame) -> DataFrame:
     """Incidents with analyst state from a triage log (incident_id, changed_at, seq, status, notes).
 
     The latest accepted status and the latest accepted note win separately; notes
-    over the word limit and unknown statuses are refused. Defaults: open, no note.
+    over the word limit and unknown statuses are refused (see triage_refused). Defaults: open, no note.
     """
     order = F.struct("changed_at", "seq")
     status = F.lower("status")
-    valid = F.coalesce(status.isin(*STATUSES), F.lit(False))
+    valid = _known_status()
     noted = F.coalesce(F.col("notes").isNotNull() & note_accepted(F.col("notes")), F.lit(False))
     latest = log.groupBy("incident_id").agg(
         F.max_by(status, F.when(valid, order)).alias("status"), F.max_by("notes", F.when(noted, order)).alias("notes"),

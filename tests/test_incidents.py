@@ -11,7 +11,7 @@ from emberwatch.operators.matching import Rule
 from emberwatch.operators.normalize import normalize_events
 from emberwatch.plans.detection import Detection
 from emberwatch.sources.events import evtx_json_to_payload, intake_split, lift_text_nodes
-from emberwatch.sources.tables import triage_overlay
+from emberwatch.sources.tables import triage_overlay, triage_refused
 
 SHAPES = "id string, root_image string, chain array<string>, techniques array<string>, rule_ids array<string>, last_seen int"
 NODES = "host string, guid string, parent_guid string, image string, command_line string, first_seen timestamp, last_seen timestamp, name string"
@@ -112,6 +112,8 @@ def test_triage_overlay_defaults_and_limits(spark):
                                 "incident_id string, changed_at int, seq int, status string, notes string")
     got = {r.id: (r.status, r.notes) for r in triage_overlay(incidents, log).collect()}
     assert got == {"a": ("closed", "n"), "b": ("open", "")}
+    more = log.unionByName(spark.createDataFrame([("b", 3, 3, None, "w " * 500), ("b", 4, 4, "open", "w " * 501)], log.schema))
+    assert [(r.seq, r.refused) for r in triage_refused(more).orderBy("seq").collect()] == [(2, ["status", "notes"]), (4, ["notes"])]
 
 
 def test_normalize_shapes(spark):
