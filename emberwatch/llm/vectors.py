@@ -20,6 +20,8 @@ SHRINK = 0.7
 LEVELS = 24
 #: What is still larger then is compared block by block, each pair of blocks on its own.
 BLOCK_ROWS = 4000
+#: Rows of a cell that are compared with the whole cell at once.
+ROWS_AT_ONCE = 256
 #: Rounding of distances: replication may be wider than needed, never narrower.
 SLACK = 1e-6
 
@@ -80,42 +82,43 @@ def homes(members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
     return members.drop(columns="block").assign(home=d.argmin(axis=1), near=d.min(axis=1), d=list(d))
 
 
+def join(low: np.ndarray, members: np.ndarray) -> None:
+    """Makes one group of those of `members`; `low` points from each position to one of its group that is no higher."""
+    roots = low[members]
+    while (low[roots] != roots).any():
+        roots = low[roots]
+    low[roots] = low[members] = roots.min()
+
+
 def cell_links(threshold: float):
-    """Links inside a cell (or between two blocks of one): partial counts per vector and edges to each group's least."""
+    """Links inside a cell (or between two blocks of one): partial counts per vector and edges to each group's least.
+
+    ROWS_AT_ONCE rows at a time are compared and reduced to counts and groups, so no list of pairs is kept.
+    """
 
     def links(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        left = frame[frame["side"] <= 1]
-        right = frame[frame["side"] >= 1] if (frame["side"] != 1).any() else left
-        same = right is left
-        ids = [f["id"].to_numpy() for f in (left, right)]
-        away = [f["away"].to_numpy() for f in (left, right)]
-        copies = [f["copies"].to_numpy() for f in (left, right)]
-        units = [np.stack(f["unit"]) if len(f) else np.zeros((0, 1)) for f in (left, right)]
-        found = []
-        for at in range(0, len(ids[0]), 1024):
-            if not len(ids[1]):
-                break
-            i, j = np.nonzero(units[0][at:at + 1024] @ units[1].T >= threshold)
-            i = i + at
-            keep = (away[0][i] & away[1][j]) == 0
+        # Positions in order of ids: the least position of a group is its least id.
+        frame = frame.sort_values("id", ignore_index=True)
+        left, right = (np.flatnonzero(on) for on in (frame["side"] <= 1, frame["side"] >= 1))
+        same = (frame["side"] == 1).all()
+        ids, away, copies = (frame[c].to_numpy(np.int64) for c in ("id", "away", "copies"))
+        n, low = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        units = np.stack(frame["unit"])
+        others = units[right]
+        for at in range(0, len(left) if len(right) else 0, ROWS_AT_ONCE):
+            i, j = left[at:at + ROWS_AT_ONCE], right[at:] if same else right
+            hit = units[i] @ (others[at:] if same else others).T >= threshold
+            hit &= (away[i][:, None] & away[j]) == 0
             if same:
-                keep &= i < j
-            found.append((i[keep], j[keep]))
-        i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
-        a, b = ids[0][i], ids[1][j]
-        n = pd.Series(np.concatenate([copies[1][j], copies[0][i]])).groupby(np.concatenate([a, b])).sum()
-        nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-        a, b = ends[:len(a)], ends[len(a):]
-        low = np.arange(len(nodes))
-        while True:
-            new = low.copy()
-            np.minimum.at(new, a, low[b])
-            np.minimum.at(new, b, low[a])
-            new = new[new]
-            if (new == low).all():
-                break
-            low = new
-        return pd.DataFrame({"id": n.index.to_numpy(np.int64), "links": n.to_numpy(np.int64), "low": nodes[low]})
+                hit = np.triu(hit, 1)
+            n[i] += (hit @ copies[j].astype(float)).astype(np.int64)
+            n[j] += (copies[i].astype(float) @ hit).astype(np.int64)
+            for row in np.flatnonzero(hit.any(axis=1)):
+                join(low, np.append(j[hit[row]], i[row]))
+        while (low[low] != low).any():
+            low = low[low]
+        linked = np.flatnonzero(n)
+        return pd.DataFrame({"id": ids[linked], "links": n[linked], "low": ids[low[linked]]})
 
     return links
 
