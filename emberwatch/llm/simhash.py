@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.llm.base import components, sorted_runs, words_of
@@ -21,6 +21,8 @@ MAX_BITS = 3
 BYTES = 8
 #: Fingerprints that differ in MAX_BITS bits differ in no more bytes, so at least this many bytes agree in place.
 MIN_SHARED = BYTES - MAX_BITS
+#: Posting lists over this many fingerprints are cut by further positions, until at most as many remain.
+LIST_ROWS = 4096
 
 
 def fingerprint(text: str | None) -> int:
@@ -102,20 +104,58 @@ def posting_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": np.full(len(members), root).view(np.int64), "b": members.view(np.int64)})
 
 
+def byte_mask(positions: Iterable[int]) -> int:
+    return sum(255 << 8 * p for p in positions)
+
+
+def signed(masks: Iterable[int]) -> Column:
+    return F.array(*[F.lit(int(np.uint64(m).view(np.int64))) for m in masks])
+
+
+def deeper_bytes(mask: int) -> list[int]:
+    """`mask` with every choice of further bytes that makes MIN_SHARED: a pair in reach agrees in one of them."""
+    held = [p for p in range(BYTES) if mask >> 8 * p & 1]
+    free = [p for p in range(BYTES) if p not in held]
+    return [mask | byte_mask(more) for more in combinations(free, MIN_SHARED - len(held))]
+
+
+def deeper_halves(mask: int) -> list[int]:
+    """`mask` of MIN_SHARED bytes with three of the six half bytes left: MAX_BITS bits differ in no more than three.
+
+    12 bits stay free, so a list holds LIST_ROWS distinct fingerprints at most.
+    """
+    free = [h for h in range(2 * BYTES) if not mask >> 4 * h & 1]
+    return [mask | sum(15 << 4 * h for h in more) for more in combinations(free, len(free) - MAX_BITS)]
+
+
+def cut_lists(rows: DataFrame, deeper: dict[int, list[int]]) -> tuple[DataFrame, DataFrame]:
+    """The rows of lists up to LIST_ROWS as they are, and those of longer lists under each of the masks in `deeper`."""
+    keys = ["slot", "posting"]
+    long = checkpointed(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > LIST_ROWS).select(*keys))
+    further = F.create_map(*[x for mask, masks in deeper.items() for x in (signed([mask])[0], signed(masks))])
+    cut = rows.join(long, keys, "left_semi").select("fp", F.explode(further[F.col("slot")]).alias("slot"))
+    cut = cut.select("slot", F.col("fp").bitwiseAND(F.col("slot")).alias("posting"), "fp").distinct()
+    return rows.join(long, keys, "left_anti"), cut
+
+
 def fingerprint_links(distinct: DataFrame, width: int) -> DataFrame:
     """Edges (a, b) that connect the distinct `fp`s within MAX_BITS of each other, a forest per posting list.
 
-    Every pair in reach shares a posting. Lists are walked in sorted order, and a list yields fewer edges than it has
-    fingerprints, however dense it is.
+    A posting is a mask of byte positions and the fingerprint's bytes there; every pair in reach shares one. A list over
+    LIST_ROWS is cut by further bytes, then by half bytes, in such a way that each pair in reach still shares a list.
+    Lists are walked in sorted order, and a list yields fewer edges than it has fingerprints, however dense it is.
     """
-    byte = [F.shiftrightunsigned("fp", 8 * i).bitwiseAND(255) for i in range(BYTES)]
-    postings = []
-    for slot, positions in enumerate(position_sets(width)):
-        key = F.lit(0).cast("long")
-        for p in positions:
-            key = key * 256 + byte[p]
-        postings.append(F.struct(F.lit(slot).alias("slot"), key.alias("posting")))
-    rows = distinct.select("fp", F.explode(F.array(*postings)).alias("p")).select("p.slot", "p.posting", "fp")
+    masks = [byte_mask(s) for s in position_sets(width)]
+    rows = distinct.select("fp", F.explode(signed(masks)).alias("slot")).select(
+        "slot", F.col("fp").bitwiseAND(F.col("slot")).alias("posting"), "fp")
+    whole = [byte_mask(s) for s in combinations(range(BYTES), MIN_SHARED)]
+    if width < MIN_SHARED:
+        lists, rows = cut_lists(rows, {m: deeper_bytes(m) for m in masks})
+        more, rows = cut_lists(rows, {m: deeper_halves(m) for m in whole})
+        rows = lists.unionByName(more).unionByName(rows)
+    else:
+        lists, rows = cut_lists(rows, {m: deeper_halves(m) for m in whole})
+        rows = lists.unionByName(rows)
     return rows.repartition("slot", "posting").sortWithinPartitions("slot", "posting").mapInPandas(
         posting_links, "a long, b long")
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from made_texts import prose
@@ -43,10 +44,12 @@ def test_position_sets_cover_every_agreement():
             assert any(set(s) <= set(agreed) for s in simhash.position_sets(width))
 
 
-@pytest.mark.parametrize("width", [3, 4, 5])
-def test_links_match_brute_force(spark, width):
+@pytest.mark.parametrize("width, list_rows", [(3, 4096), (4, 4096), (5, 4096), (3, 5), (5, 5)])
+def test_links_match_brute_force(spark, monkeypatch, width, list_rows):
+    monkeypatch.setattr(simhash, "LIST_ROWS", list_rows)
     rng = random.Random(width)
     fps = [rng.getrandbits(64) for _ in range(40)]
+    fps += [fps[0] ^ rng.getrandbits(24) << 20 for _ in range(60)]  # they share bytes, few of them are in reach
     for _ in range(160):
         x = rng.choice(fps)
         for _ in range(rng.randint(1, 4)):
@@ -138,6 +141,26 @@ def test_near_vectors_match_brute_force(spark, monkeypatch, cell_rows):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_a_dense_cell_is_reduced_as_it_is_read():
+    rng = np.random.default_rng(3)
+    units = np.abs(rng.standard_normal((1500, 8))) * 0.05 + np.eye(8)[rng.integers(0, 3, 1500)]
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    frame = pd.DataFrame({"id": rng.permutation(1500), "copies": rng.integers(1, 4, 1500), "away": rng.integers(0, 3, 1500),
+                          "unit": list(units), "side": 1})
+    away, copies = frame["away"].to_numpy(), frame["copies"].to_numpy()
+    hit = (units @ units.T >= 0.98) & ((away[:, None] & away) == 0)
+    np.fill_diagonal(hit, False)
+    group = roots(1500, list(zip(*np.nonzero(np.tril(hit)))))
+    ids = frame["id"].to_numpy()
+    least = {}
+    for i, g in enumerate(group):
+        least[g] = min(ids[i], least.get(g, 1500))
+    linked = hit.any(axis=1)
+    want = {ids[i]: ((hit[i] * copies).sum(), least[group[i]]) for i in np.flatnonzero(linked)}
+    found = vectors.cell_links(0.98)(("c", "0-0"), frame)
+    assert {r.id: (r.links, r.low) for r in found.itertuples()} == want
+
+
 def test_near_vectors_repeated_and_nameless(spark):
     rows = [(5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (None, [1.0, 0.001], 1), (None, None, 1)]
     got = sorted(map(str, vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()))
