@@ -940,6 +940,24 @@ def _(d):
     return out.select("incident_id", "type", "id", get("created").alias("created"), F.coalesce(get("pattern"), get("name")).alias("name"))
 
 
+BUNDLE_REFS = ("SELECT id AS incident_id, 2 AS place, " + STIX_ID.format(kind="attack-pattern", seed="t") + " AS oid FROM (SELECT id, unnest(techniques) AS t FROM inc) "
+               "UNION ALL SELECT incident_id, 3, " + STIX_ID.format(kind="indicator", seed="pattern") + " FROM patterns")
+BUNDLE_IDS = ("SELECT id AS incident_id, " + STIX_ID.format(kind="bundle", seed="inc.id") + " AS bundle, " + STIX_ID.format(kind="identity", seed="'emberwatch'")
+              + " AS producer, " + STIX_ID.format(kind="report", seed="inc.id") + " AS report FROM inc")
+
+
+@query("stix_bundles", """SELECT incident_id, 0 AS place, bundle AS id, '{"type":"bundle","id":"' || bundle || '","objects":[' AS line FROM bundle_ids
+    UNION ALL SELECT incident_id, 1, producer, NULL FROM bundle_ids UNION ALL SELECT incident_id, place, oid, NULL FROM bundle_refs
+    UNION ALL SELECT incident_id, 4, report, NULL FROM bundle_ids UNION ALL SELECT incident_id, 5, oid, ',"' || oid || '"' FROM bundle_refs
+    UNION ALL SELECT incident_id, 6, bundle, ']}]}' FROM bundle_ids""", patterns=PATTERN, bundle_refs=BUNDLE_REFS, bundle_ids=BUNDLE_IDS)
+def _(d):
+    members = d.plan.members
+    summaries = evidence.behavior_profile(d.plan.incidents, evidence.behavior_phases(members))
+    lines = exports.stix_bundle_lines(d.plan.incidents, evidence.indicators(members), summaries)
+    framing = F.col("place").isin(exports.BUNDLE_OPEN, exports.BUNDLE_REF, exports.BUNDLE_CLOSE)
+    return lines.withColumn("line", F.when(framing, F.col("line")))
+
+
 @query("incident_report_rows", """SELECT id AS incident_id, 'summary' AS section, '01' AS position, 'Severity' AS label, severity || ' (score ' || score || ')' AS content FROM inc
     UNION ALL SELECT id, 'summary', '00', 'Host', host FROM inc UNION ALL SELECT id, 'summary', '02', 'Detections', detection_count::VARCHAR FROM inc
     UNION ALL SELECT id, 'summary', '04', 'Last seen', strftime(make_timestamp(last_us), '%Y-%m-%d %H:%M:%S UTC') FROM inc

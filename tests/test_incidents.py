@@ -1,6 +1,7 @@
 import itertools
 import json
 import random
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,26 @@ def test_stix_report_splits_only_when_long(make_events):
     assert reports(one)[0]["id"] in {r["id"] for r in reports(many)}
 
 
+def test_stix_bundles_are_documents(make_events, tmp_path):
+    events = make_events([dict(at=i, host=f"h{i % 2}", process_guid=f"p{i % 2}", command_line="x \\ }", event_id=1, DestinationIp=f"8.8.8.{i}")
+                          for i in range(9)])
+    plan = Detection(events, ANY, {})
+    summaries = evidence.behavior_profile(plan.incidents, evidence.behavior_phases(plan.members))
+    args = plan.incidents, evidence.indicators(plan.members), summaries
+    exports.write_stix_bundles(exports.stix_bundle_lines(*args), str(tmp_path / "out"))
+    rows = exports.stix_objects(*args).collect()
+    folders = list((tmp_path / "out").glob("incident_id=*"))
+    assert len(folders) == len({r.incident_id for r in rows} - {None}) > 0
+    for folder in folders:
+        bundle = json.loads("".join(f.read_text() for f in sorted(folder.glob("part-*"))))
+        incident = unquote(folder.name.split("=", 1)[1])  # Spark escapes names of folders
+        want = {r.id: json.loads(r.object) for r in rows if r.incident_id in (incident, None)}
+        got = {o["id"]: o for o in bundle["objects"]}
+        assert bundle["type"] == "bundle" and bundle["id"].startswith("bundle--") and len(got) == len(bundle["objects"])
+        report = next(o for o in bundle["objects"] if o["type"] == "report")
+        assert got == want and set(report["object_refs"]) == got.keys() - {report["id"]}
+
+
 def test_scores_round_by_their_exact_value(spark):
     values = [i / 1000 for i in range(0, 1001)] + [0.8250000000000001, 0.625, 0.875]
     df = spark.createDataFrame([(v,) for v in values if v >= 0.01], "v double")
