@@ -43,15 +43,25 @@ class Detection:
         # Only trees in which something was detected need their paths.
         return tree.process_chain(tree.ancestry(tree.trees_with(self.nodes, self.roots, self.detections)))
 
+    @cached_property
+    def connections(self) -> DataFrame:
+        # Written once: every step of two detectors reads them.
+        return checkpointed(detectors.connections(self.events))
+
+    def _connected(self, detector: str) -> dict:
+        """Settings of a detector of connections, with those written here unless it excludes other images."""
+        settings = self.settings[detector]
+        return settings if "excluded" in settings else {**settings, "conns": self.connections}
+
     @cached_property
     def detections(self) -> DataFrame:
         frames = [matching.match_rules(self.events, self.rules)]
         if "beacon" in self.settings:
-            frames.append(detectors.beacon_detect(self.events, **self.settings["beacon"]))
+            frames.append(detectors.beacon_detect(self.events, **self._connected("beacon")))
         if "discovery" in self.settings:
             frames.append(detectors.discovery_burst(self.events, self.roots, **self.settings["discovery"]))
         if "scan" in self.settings:
-            frames.append(detectors.scan_detect(self.events, **self.settings["scan"]))
+            frames.append(detectors.scan_detect(self.events, **self._connected("scan")))
         # Written once: the rules scan every event, what follows reads the few that fired.
         return checkpointed(matching.all_detections(*frames))
 
