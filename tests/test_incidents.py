@@ -107,6 +107,28 @@ def test_the_oldest_of_many_false_positives_can_be_the_best_match(spark):
     assert [(r.matched_id, r.score) for r in top] == [("old", 1.0), ("p699", 0.63), ("p698", 0.63)]
 
 
+def test_likeness_over_blocks_gives_the_same_best_matches_and_shuffles_no_pairs(spark):
+    random.seed(5)
+    pick = lambda pool, n: random.sample(pool, random.randint(0, n))
+    rows = [(f"i{i}", random.choice([None, "", "a", "b"]), pick(["a", "b", "c"], 3), None if i % 11 == 0 else pick(["T1", "T2", "T3"], 3),
+             None if i % 5 == 0 else pick(["R1", "R2", "R3", "R4"], 4), i // 3) for i in range(240)]
+    rows += [(f"w{i}", "a", [f"c{k}" for k in range(2500)], ["T1"], [f"R{k}" for k in range(i, 2400)], i) for i in (0, 1)]
+    frame = similarity.with_digest(spark.createDataFrame(rows, SHAPES))
+    open_, history = frame.filter("int(substr(id, 2)) % 2 = 0"), frame.filter("int(substr(id, 2)) % 2 = 1")
+    pairs = similarity.noise_join(open_, history, block=48)
+    measured = similarity.noise_similarity()
+    plain = open_.dropDuplicates(["fp"]).alias("a").crossJoin(history.dropDuplicates(["fp"]).alias("b")).select(
+        "a.fp", F.col("b.fp").alias("matched_fp"), measured["score"].alias("score"), measured["matched_on"].alias("matched_on")).filter("score >= 0.6")
+    as_set = lambda df: sorted((r.fp, r.matched_fp, r.score, tuple(r.matched_on)) for r in df.collect())
+    assert as_set(pairs) == as_set(plain) and pairs.count() > 500
+    # Nothing that holds pairs is exchanged or sorted.
+    above = pairs._jdf.queryExecution().sparkPlan().toString().split("FlatMapGroups")[0]
+    assert "Exchange" not in above and "Join" not in above
+    ranked = lambda p: sorted(tuple(r) for r in similarity.noise_top3(open_, history, p).collect())
+    few = similarity.noise_join(open_, history, block=64, best=3)
+    assert few.count() < pairs.count() and ranked(few) == ranked(pairs)
+
+
 def test_triage_overlay_defaults_and_limits(spark):
     incidents = spark.createDataFrame([("a",), ("b",)], "id string")
     log = spark.createDataFrame([("a", 1, 1, "Closed", "n"), ("a", 2, 2, "bogus", "w " * 501)],
