@@ -178,3 +178,14 @@ def test_texts_too_short_to_score_stay(spark, spoken):
     model = langid.train_filter(spoken)
     docs = spark.createDataFrame([(1, "A."), (2, "!!"), (3, "qzx " * 40)], "doc_id long, text string")
     assert [r["doc_id"] for r in langid.keep_identified(docs, model).collect()] == [1]
+
+
+def test_language_counts_hold_a_bounded_part_of_a_batch(spark, monkeypatch):
+    texts = [f"{'abcdefgh'[i % 8] * 5} word{i} über {i * i} " * (1 + i % 7) for i in range(300)] + [None, "", "x" * 5000]
+    assert [t for part in langid.slices(texts, 1000) for t in part] == texts
+    assert all(len(part) == 1 or sum(len(t or "") + 2 for t in part) <= 1000 for part in langid.slices(texts, 1000))
+    docs = spark.createDataFrame([(("de", "en", "fr")[i % 3], t) for i, t in enumerate(texts)], "lang string, text string")
+    counted = lambda df: {(r["lang"], r["ngram"]): r["n"] for r in df.collect()}
+    whole = counted(langid.ngram_counts(docs))
+    assert counted(langid.ngram_counts(docs, flush=50)) == whole == counted(langid.ngram_counts(docs, flush=2000))
+    assert sum(whole.values()) == sum(len(langid.ngram_ids([t])[0]) for t in texts)
