@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import chain, count, pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +31,9 @@ BLOCK = 1 << 20
 CACHE_ENTRIES = 600_000
 CACHE_CHARS = 48
 BLANK = "▁"
+#: bpe.PIECES for texts of ASCII alone.
+ASCII_PIECES = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r 0-9A-Za-z]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
 class Csr(NamedTuple):
@@ -139,7 +142,7 @@ class Words:
         out = []
         for words in split:
             try:
-                out.append(b"".join([cache[w] for w in words]))
+                out.append(b"".join(map(cache.__getitem__, words)))
             except TypeError:  # a word without ids
                 out.append(None)
         for w in fresh:
@@ -148,6 +151,17 @@ class Words:
         return out
 
 
+def flattened(coded: Iterable[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after the other, and where those of each list start; the last number is where the last list ends."""
+    coded = list(coded)
+    starts = np.cumsum([0, *map(len, coded)])
+    return np.fromiter(chain.from_iterable(coded), "<u4", int(starts[-1])), starts
+
+
+def cut(data: bytes, starts: np.ndarray) -> list[bytes]:
+    return [data[i:j] for i, j in pairwise(starts.tolist())]
+
+
 class ByteLevel(Words):
     """Tokenizer A: byte-level BPE, strings of special tokens as plain text."""
 
@@ -162,11 +176,11 @@ class ByteLevel(Words):
         self.lengths = np.array([len(t) for t in self.token_bytes])
 
     def encoded(self, words: list[str]) -> list[bytes]:
-        coded = self.model.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in coded]
+        ids, starts = flattened(e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False))
+        return cut(ids.tobytes(), 4 * starts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self.join([bpe.PIECES.findall(" " + t) for t in texts])
+        return self.join([(ASCII_PIECES if t.isascii() else bpe.PIECES).findall(" " + t) for t in texts])
 
 
 class Pieces(Words):
@@ -190,8 +204,11 @@ class Pieces(Words):
         return np.array(ids, dtype="<u4").tobytes()
 
     def encoded(self, words: list[str]) -> list[bytes | None]:
-        coded = self.model.encode([w[1:] for w in words], num_threads=1)
-        return [self.blank if w == " " else self._packed(ids, w) for w, ids in zip(words, coded)]
+        ids, starts = flattened(self.model.encode([w[1:] for w in words], num_threads=1))
+        spelled = np.concatenate([[0], np.cumsum(self.lengths[ids])])[starts]
+        spelled = cut(b"".join([self.token_bytes[i] for i in ids.tolist()]), spelled)
+        return [self.blank if w == " " else packed if text == w.encode() else None
+                for w, packed, text in zip(words, cut(ids.tobytes(), 4 * starts), spelled)]
 
     def encode(self, texts: list[str]) -> list[bytes | None]:
         """The ids of each text; None where their bytes are not those of a space and the text."""
@@ -204,10 +221,11 @@ class Pieces(Words):
 
 
 @lru_cache(maxsize=2)
-def coders(a_path: str, b_path: str) -> tuple[ByteLevel, Pieces, np.ndarray]:
-    """One per Python worker; the third are the ids in decimal."""
+def coders(a_path: str, b_path: str) -> tuple[ByteLevel, Pieces, dict[str, np.ndarray]]:
+    """One per Python worker; the third are the ids in decimal, by the sign that follows them."""
     a, b = ByteLevel(a_path), Pieces(b_path)
-    return a, b, np.array([str(i) for i in range(max(len(a.lengths), len(b.lengths)))], dtype=object)
+    ids = range(max(len(a.lengths), len(b.lengths)))
+    return a, b, {sign: np.array([f"{i}{sign}" for i in ids], dtype=object) for sign in ",|;"}
 
 
 class Aligned(NamedTuple):
@@ -223,16 +241,15 @@ class Aligned(NamedTuple):
     times: np.ndarray = np.zeros(0, dtype=np.int64)
 
 
-def _digest(decimal: np.ndarray, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> str:
+def _digest(decimal: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> str:
     """Hash of a1,a2|b1;a3|b2,b3: the ids of A, then of B, group by group."""
-    ids = np.empty(2 * (len(a) + len(b)), dtype=object)
-    a_at = 2 * (np.arange(len(a)) + np.searchsorted(b_group, a_group))
-    b_at = 2 * (np.arange(len(b)) + np.searchsorted(a_group, b_group, side="right"))
-    ids[a_at], ids[b_at] = decimal[a], decimal[b]
+    ids = np.empty(len(a) + len(b), dtype=object)
+    a_at = np.arange(len(a)) + np.searchsorted(b_group, a_group)
+    b_at = np.arange(len(b)) + np.searchsorted(a_group, b_group, side="right")
     last = lambda g: np.concatenate([g[1:] != g[:-1], [True]])
-    ids[a_at + 1] = np.where(last(a_group), "|", ",")
-    ids[b_at + 1] = np.where(last(b_group), ";", ",")
-    return hashlib.sha256("".join(ids[:-1].tolist()).encode()).hexdigest()
+    ids[a_at] = np.where(last(a_group), decimal["|"][a], decimal[","][a])
+    ids[b_at] = np.where(last(b_group), decimal[";"][b], decimal[","][b])
+    return hashlib.sha256("".join(ids.tolist())[:-1].encode()).hexdigest()
 
 
 def aligned_texts(texts: list[str | None], a_path: str, b_path: str) -> Iterator[Aligned]:

@@ -152,6 +152,23 @@ def test_word_by_word_pieces_equal_the_library(text):
             assert np.frombuffer(a.encode([text])[0], "<u4").tolist() == whole
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=127), max_size=40) | st.lists(st.sampled_from([*" \n\t'", "'s", "'ll", "a", "7", "\x1c", "-"])).map("".join))
+def test_ascii_texts_are_split_like_others(text):
+    assert alignment.ASCII_PIECES.findall(" " + text) == bpe.PIECES.findall(" " + text)
+
+
+def test_words_are_packed_together(monkeypatch):
+    """Words new to the cache become bytes in one go; those that do not spell themselves are still told apart."""
+    a, b, _ = alignment.coders(A_PATH, B_PATH)
+    words = [" ", " the", " x\x00", "  two", " a▁b", " word", " ﬁ"]
+    want = [b._packed(b.model.encode(w[1:]), w) if w != " " else b.blank for w in words]
+    assert None in want and want.count(None) < len(want)
+    monkeypatch.setattr(alignment.Pieces, "_packed", None)
+    assert b.encoded(words) == want and b.encoded([]) == a.encoded([]) == []
+    assert a.encoded(words) == [np.array(a.model.encode(w).ids, "<u4").tobytes() for w in words]
+
+
 # -- codes ---------------------------------------------------------------------------
 
 @pytest.mark.parametrize("width", [1, 3, 4])
