@@ -46,7 +46,7 @@ class Detection:
     @cached_property
     def connections(self) -> DataFrame:
         # Written once: every step of two detectors reads them.
-        return checkpointed(detectors.connections(self.events))
+        return detectors.numbered(detectors.connections(self.events))
 
     def _connected(self, detector: str) -> dict:
         """Settings of a detector of connections, with those written here unless it excludes other images."""

@@ -127,3 +127,16 @@ def test_connections_are_read_off_the_events_once(spark, monkeypatch):
     plan = Detection(telemetry.telemetry(spark, ""))
     plan.detections
     assert len(taken) == 1
+
+
+def test_numbered_connections_are_not_written_again(make_events, monkeypatch):
+    """The plan writes its connections with their numbers; a detector that is given them writes times alone."""
+    written, plain = [], detectors.checkpointed
+    monkeypatch.setattr(detectors, "checkpointed", lambda df: written.append("raw" in df.columns) or plain(df))
+    events = make_events([{"event_id": 3, "at": 60 * i, "image": "a.exe", "DestinationIp": "1.1.1.1", "DestinationPort": "443"}
+                          for i in range(8)])
+    plan = Detection(events, settings={"beacon": {}})
+    got = plan.detections.filter("source = 1").select("seq", "title").collect()
+    assert sum(written) == 1
+    want = detectors.beacon_detect(events, conns=detectors.connections(events)).select("seq", "title").collect()
+    assert sorted(got) == sorted(want) and got
