@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from emberwatch.operators import detectors, incidents, matching, tree
@@ -21,10 +23,15 @@ class Detection:
     """
 
     def __init__(self, events: DataFrame, rules: Iterable[Rule] | None = None, settings: dict[str, dict] | None = None):
-        self.events = events
+        self.source = events
         self.rules = list(rules) if rules is not None else matching.shipped_rules()
         self.settings = {"beacon": {}, "discovery": {}, "scan": {}} if settings is None else settings
 
+    @cached_property
+    def events(self) -> DataFrame:
+        # Written once: rules, forest, connections and recon each read the columns they use, and none derives them again.
+        return checkpointed(self.source)
+
     @cached_property
     def nodes(self) -> DataFrame:
         # Written once: the forest and every attribute lookup read nodes, not events again.
@@ -40,8 +47,8 @@ class Detection:
 
     @cached_property
     def chains(self) -> DataFrame:
-        # Only trees in which something was detected need their paths.
-        return tree.process_chain(tree.ancestry(tree.trees_with(self.nodes, self.roots, self.detections)))
+        # Only trees in which something was detected need their paths. Written once: members read them twice.
+        return checkpointed(tree.process_chain(tree.ancestry(tree.trees_with(self.nodes, self.roots, self.detections))))
 
     @cached_property
     def connections(self) -> DataFrame:
@@ -56,12 +63,19 @@ class Detection:
     @cached_property
     def detections(self) -> DataFrame:
         frames = [matching.match_rules(self.events, self.rules)]
-        if "beacon" in self.settings:
-            frames.append(detectors.beacon_detect(self.events, **self._connected("beacon")))
-        if "discovery" in self.settings:
-            frames.append(detectors.discovery_burst(self.events, self.roots, **self.settings["discovery"]))
-        if "scan" in self.settings:
-            frames.append(detectors.scan_detect(self.events, **self._connected("scan")))
+        # The detectors write their steps side by side: one that has little left to do leaves its cores to the others.
+        with ThreadPoolExecutor(3) as pool:
+            begin = lambda run: pool.submit(inheritable_thread_target(self.events.sparkSession)(run))
+            found = []
+            if "discovery" in self.settings:
+                found.append(begin(lambda: detectors.discovery_burst(self.events, self.roots, **self.settings["discovery"])))
+            if "beacon" in self.settings:
+                connected = self._connected("beacon")
+                found.append(begin(lambda: detectors.beacon_detect(self.events, **connected)))
+            if "scan" in self.settings:
+                reached = self._connected("scan")
+                found.append(begin(lambda: detectors.scan_detect(self.events, **reached)))
+            frames += [f.result() for f in found]
         # Written once: the rules scan every event, what follows reads the few that fired.
         return checkpointed(matching.all_detections(*frames))
 

@@ -266,3 +266,18 @@ def test_search_hits_are_rows(spark, make_events):
     assert {r.seq for r in by_title} == {2} and not any(r.matched for r in by_title)
     counts = {r.incident_id: r.match_count for r in search.search_incidents(plan.incidents, plan.members, terms=["on other"]).collect()}
     assert list(counts.values()) == [0]
+
+
+def test_plan_derives_its_events_once(spark, make_events):
+    events = make_events([{"at": 30 * i, "process_guid": f"p{i % 3}", "parent_process_guid": "p0", "image": "a.exe",
+                           "command_line": "whoami x", "event_id": 1 if i % 2 else 3, "DestinationIp": f"45.1.1.{i}"} for i in range(12)])
+    derived = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def host(name):
+        derived.add(1)
+        return name
+
+    plan = Detection(events.withColumn("host", host("host")), ANY, {})
+    assert plan.incidents.count() > 0
+    assert derived.value == 12
